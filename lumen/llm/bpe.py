@@ -14,22 +14,23 @@ columns of the input are not looked at, whatever their names; an empty table giv
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 #: Code points with the property White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Only these split Python's words and are no white space for the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-CACHE = 250_000
+CACHE = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -39,8 +40,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def code_points(category: str) -> str:
+    """The inside of a character class: all code points of a general category."""
+    known = "".join("x" if unicodedata.category(chr(c))[0] == category else "." for c in range(sys.maxunicode + 1))
+    return "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in re.finditer("x+", known))
+
+
 class Cache(dict):
-    """Keeps at most two generations of `size` results of `compute`."""
+    """Keeps at most two generations of `size` results of `compute`, for keys of under 64 letters."""
 
     def __init__(self, compute, size: int = CACHE):
         super().__init__()
@@ -50,6 +57,8 @@ class Cache(dict):
         found = self.old.get(key)
         if found is None:
             found = self.compute(key)
+            if len(key) >= 64:
+                return found
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
@@ -70,16 +79,17 @@ class MergeList:
         self.text_of = {i: t for t, i in self.vocab.items()}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.pairs = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b, c) in enumerate(self.pairs):
-            self.ranks[a, b] = (rank, c)
+        self.rank = {(a, b): rank for rank, (a, b, _) in enumerate(self.pairs)}.get
+        self.made = [c for _, _, c in self.pairs]
         letters = byte_letters()
         self.inside = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.suffix] for x in letters]
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.text_of |= {i: t for t, i in self.special.items()}
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.piece_re = regex.compile(self._pattern(data))
+        pattern = self._pattern(data)
+        self.piece_re = re.compile(pattern.replace("\\p{L}", code_points("L")).replace("\\p{N}", code_points("N")))
+        self.ascii_re = re.compile(pattern.replace("\\p{L}", "a-z").replace("\\p{N}", "0-9"))
         self.bytes_of = {x: b for b, x in enumerate(letters)}
         self.lookahead = self.sufficient_lookahead()
         self.window = self.lookahead + 256
@@ -116,41 +126,40 @@ class MergeList:
         sizes = [1] * len(ids)
         if len(ids) > 40:
             return self._merge_long(ids, sizes)
-        ranks = self.ranks
-        found = [ranks.get(p) for p in zip(ids, ids[1:])]
-        while True:
-            best, at = None, -1
-            for i, f in enumerate(found):
-                if f is not None and (best is None or f[0] < best):
-                    best, at = f[0], i
-            if at < 0:
-                return ids, sizes
-            ids[at : at + 2] = [found[at][1]]
-            sizes[at : at + 2] = [sizes[at] + sizes[at + 1]]
-            del found[at]
+        rank, made, never = self.rank, self.made, len(self.made)
+        found = [rank(p, never) for p in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best == never:
+                break
+            at = found.index(best)
+            ids[at] = made[best]
+            sizes[at] += sizes[at + 1]
+            del ids[at + 1], sizes[at + 1], found[at]
             if at < len(found):
-                found[at] = ranks.get((ids[at], ids[at + 1]))
+                found[at] = rank((ids[at], ids[at + 1]), never)
             if at:
-                found[at - 1] = ranks.get((ids[at - 1], ids[at]))
+                found[at - 1] = rank((ids[at - 1], ids[at]), never)
+        return ids, sizes
 
     def _merge_long(self, ids: list[int], sizes: list[int]) -> tuple[list[int], list[int]]:
-        n, ranks = len(ids), self.ranks
+        n, rank, made = len(ids), self.rank, self.made
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(f[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (f := ranks.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = ranks[a, b][1], -1
+            ids[i], ids[j] = made[best], -1
             sizes[i] += sizes[j]
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (f := ranks.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (f[0], x, ids[x], ids[y]))
+                if x >= 0 and y >= 0 and (r := rank((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         kept = [i for i in range(n) if ids[i] >= 0]
         return [ids[i] for i in kept], [sizes[i] for i in kept]
 
@@ -190,57 +199,61 @@ class MergeList:
 
 
 class Encoder:
-    """Encodes texts word by word; words are what white space separates, and nothing crosses it."""
+    """Encodes texts word by word and pre-token by pre-token; nothing crosses white space, no merge crosses pre-tokens.
+
+    What is known of a word or a pre-token: the number of its tokens, the tokens, and their decoded text.
+    """
 
     def __init__(self, merges: MergeList, cache: int = CACHE):
         self.m = merges
-        self.pieces = Cache(merges.piece, cache)
         self.words = Cache(self._word, cache)
+        self.pieces = Cache(lambda piece: self._known(merges.piece(piece)), cache)
+
+    def _known(self, ids: Iterable[int]) -> tuple[int, str, str]:
+        ids = list(ids)
+        return len(ids), " ".join(map(str, ids)), decode_tokens(self.m, ids)
 
     @staticmethod
     def normal(text: str) -> str:
         """NFC and lower case, letter by letter (a final sigma is like any other)."""
         return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def _plain(self, text: str) -> Iterator[int]:
-        for piece in self.m.piece_re.findall(self.normal(text)):
-            yield from self.pieces[piece] if len(piece) < 64 else self.m.piece(piece)
-
-    def ids_of_word(self, word: str) -> list[int]:
-        if self.m.special_re is None or "<" not in word:
-            return list(self._plain(word))
-        out: list[int] = []
-        for part in self.m.special_re.split(word):
-            if part in self.m.special:
-                out.append(self.m.special[part])
-            elif part:
-                out.extend(self._plain(part))
-        return out
+    @staticmethod
+    def whole(found: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+        if not found:
+            return 0, "", ""
+        n, ids, texts = zip(*found)
+        return sum(n), " ".join(ids), " ".join(texts)
 
     def _word(self, word: str) -> tuple[int, str, str]:
-        ids = self.ids_of_word(word)
-        return len(ids), " ".join(map(str, ids)), decode_tokens(self.m, ids)
+        m, pieces, found = self.m, self.pieces, []
+        for part in m.special_re.split(word) if m.special_re and "<" in word else [word]:
+            if part in m.special:
+                found.append(self._known([m.special[part]]))
+                continue
+            low = self.normal(part)
+            if low.isalpha():
+                found.append(pieces[low])
+            else:
+                found += [pieces[p] for p in (m.ascii_re if low.isascii() else m.piece_re).findall(low)]
+        return found[0] if len(found) == 1 else self.whole(found)
 
     @staticmethod
     def split(text: str) -> list[str]:
         return re.findall(f"[^{SPACE}]+", text) if SEPARATORS.search(text) else text.split()
 
-    def ids(self, text: str | None) -> list[int]:
-        """Token ids of a text; null is empty."""
-        out: list[int] = []
-        for word in self.split(text or ""):
-            out.extend(map(int, self._found(word)[1].split()))
-        return out
+    def read(self, text: str | None) -> tuple[int, str, str]:
+        """Number of tokens, the ids and the decoded text, both joined by one space; null is empty."""
+        words = self.words
+        return self.whole([words[w] for w in self.split(text or "")])
 
-    def _found(self, word: str) -> tuple[int, str, str]:
-        return self.words[word] if len(word) < 64 else self._word(word)
+    def ids(self, text: str | None) -> list[int]:
+        return [int(i) for i in self.read(text)[1].split()]
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids and of the decoded text."""
-        words = self.words
-        found = [words[w] if len(w) < 64 else self._word(w) for w in self.split(text or "")]
-        sha = lambda k: hashlib.sha256(" ".join([f[k] for f in found if f[0]]).encode("utf-8", "surrogatepass")).hexdigest()
-        return sum(f[0] for f in found), sha(1), sha(2)
+        n, ids, decoded = self.read(text)
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def decode_tokens(m: MergeList, ids: Iterable[int]) -> str:
@@ -287,15 +300,10 @@ def _loader(spark, path: str):
     return sent
 
 
-_models: dict[int, MergeList] = {}
-
-
-def _model(spec: str) -> MergeList:
-    key = hash(spec)
-    if key not in _models:
-        _models.clear()
-        _models[key] = MergeList(spec)
-    return _models[key]
+@functools.lru_cache(1)
+def encoder(spec: str) -> Encoder:
+    """One for each Python worker, kept from task to task."""
+    return Encoder(MergeList(spec))
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -303,7 +311,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
     sent = _loader(docs.sparkSession, tokenizer)
 
     def run(batches):
-        enc = Encoder(_model(sent.value))
+        enc = encoder(sent.value)
         for b in batches:
             ids = [enc.ids(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "token_ids"])
@@ -317,7 +325,7 @@ def decode(tokens: DataFrame, tokenizer: str, ids: str = "token_ids", doc_id: st
     sent = _loader(tokens.sparkSession, tokenizer)
 
     def run(batches):
-        m = _model(sent.value)
+        m = encoder(sent.value).m
         for b in batches:
             texts = []
             for x in b.column(1).to_pylist():
@@ -334,7 +342,7 @@ def digests(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "
     sent = _loader(docs.sparkSession, tokenizer)
 
     def run(batches):
-        enc = Encoder(_model(sent.value))
+        enc = encoder(sent.value)
         for b in batches:
             got = [enc.digest(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
