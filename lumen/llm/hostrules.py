@@ -94,3 +94,27 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str
         "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         F.coalesce("host_failed", F.lit(False)).alias("host_failed"), (~base & F.col("host_failed").isNull()).alias("kept"),
     )
+
+
+def judge_sql(limit: float = 0.5) -> str:
+    """The same in DuckDB's SQL, over documents with different ids and their sources as hosts."""
+    moments = ", ".join(f"avg(f_{n} / n) AS m_{n}, var_pop(f_{n} / n) AS v_{n}" for n in RULES)
+    rates = ", ".join(
+        f"CASE WHEN v_{n} > 0 THEN (f_{n} + m_{n} * greatest(m_{n} * (1 - m_{n}) / v_{n} - 1, 0.0)) / (n + greatest(m_{n} * (1 - m_{n}) / v_{n} - 1, 0.0)) ELSE m_{n} END" for n in RULES
+    )
+    fails = ", ".join(f"CAST(sum(CASE WHEN {rule} THEN 1 ELSE 0 END) AS DOUBLE) AS f_{n}" for n, rule in RULES.items())
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d WHERE len(w) >= 3),
+y AS (SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM y) GROUP BY 1),
+m AS (SELECT d.doc_id, source, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN r USING (doc_id)),
+h AS (SELECT source, count(*) AS n, {fails} FROM m WHERE source IS NOT NULL GROUP BY 1),
+p AS (SELECT {moments} FROM h),
+v AS (SELECT source FROM h, p WHERE greatest({rates}, 0.0) > {limit})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({RULES['short']} OR {RULES['repeats']}) AS base_failed,
+  NOT ({RULES['short']} OR {RULES['repeats']}) AND (source IS NULL OR source NOT IN (SELECT source FROM v)) AS kept FROM m
+"""

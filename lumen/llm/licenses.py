@@ -41,7 +41,7 @@ def canonical_lines(text: Column) -> Column:
     for a, b in SPELLINGS.items():
         x = F.replace(x, F.lit(a), F.lit(b))
     x = F.regexp_replace(x, "[^\\p{L}\\p{N}\\n]+", " ")
-    return F.filter(F.transform(F.split(x, "\n"), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(x, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:

@@ -167,3 +167,16 @@ def sanitise(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     """The rows and columns of docs with their texts sanitised."""
     found = find(docs, text, **settings)
     return found.withColumn(text, sanitised(F.col(text), F.col("spans"))).select(*docs.columns)
+
+
+def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (kind:start:end, comma-joined) of every row."""
+    found = find(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), "text", **settings)
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _is(kind: str):
+    return lambda s: s["kind"] == kind

@@ -6,6 +6,11 @@ differ by at most that much in the sum of the differences of their counts, so al
 loss: the comparison stays exact. One of two near tiles visits the other, so every pair of near tiles meets once.
 Within a block of pairs only a forest that spans its links is kept, never all pairs of a group.
 
+Tiles by counts suit radii up to three. For texts whose five-word shingles are similar by 0.8 or more, fingerprints
+differ by up to 14 bits, and nearly every tile would have to be visited. `similar_texts` deals texts to tiles by their
+least shingle under each of six hash functions instead (a pair that similar shares at least one with a probability of
+1 - 0.2 ** 6), compares within a tile as above, and keeps a pair if a sketch of 128 bins says the same similarity.
+
 Exact copies collapse before anything is compared: a third of all rows with one text is one fingerprint.
 
 Defined results: a null text is an empty text, whose fingerprint is zero and links like any other; every row gives one
@@ -29,26 +34,35 @@ from lumen.llm.shared import stored
 BLOCK = 1024
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """64 bits: bit k is set if over half of the shingles' hashes have it set. Words: runs without ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of fewer words the whole sequence; of none nothing."""
     n = max(min(len(words), 1), len(words) - width + 1)
-    if not n:
-        return 0
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if n == 1:
-        return digest(line, seed)
+    if n <= 1:
+        return np.array([digest(line, seed)] * n, np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    spans = zip(starts[:n].tolist(), ends[width - 1 :].tolist())
-    hashes = np.array([digest(line[s:e], seed) for s, e in spans], ">u8")
-    ones = np.zeros(64, np.int64)
+    return np.array([digest(line[s:e], seed) for s, e in zip(starts[:n].tolist(), ends[width - 1 :].tolist())], np.uint64)
+
+
+def words(text: str | None) -> list[bytes]:
+    """Runs without ASCII white space, A-Z in lower case, as UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: each is set if over half of the hashes have it set."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for k in range(0, n, 1 << 14):
-        bits = np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8)).reshape(-1, 64)
+        bits = np.unpackbits(hashes[k : k + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, 64)
         ones += bits.sum(0, dtype=np.uint16)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(words(text), width, seed))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3) -> DataFrame:
     """(doc_id, fp) with fp as a signed long, for every row."""
 
@@ -165,3 +179,129 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, text: str
     moved = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     alone = known.join(roots.select("root").distinct(), "root", "left_anti").select("fp", F.col("least").alias("component_id"))
     return rows.join(moved.unionByName(alone), "fp").select("doc_id", "fp", "component_id")
+
+
+MIXES = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1) for k in range(6)]
+BINS = 128
+
+
+def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
+    """(six tile keys, one-permutation sketch of 128 bins of 16 bits) of a set of shingle hashes."""
+    if not len(hashes):
+        return [0] * len(MIXES), b"\0" * (2 * BINS)
+    keys = [int(((hashes * m) ^ ((hashes * m) >> np.uint64(29))).min().view(np.int64)) ^ k for k, m in enumerate(MIXES)]
+    none = np.uint64(2**64 - 1)
+    least = np.full(BINS, none)
+    np.minimum.at(least, (hashes >> np.uint64(57)).astype(np.int64), hashes << np.uint64(7))
+    full = np.flatnonzero(least != none)
+    ahead = full[np.searchsorted(full, np.arange(BINS)) % len(full)]  # an empty bin takes the next full one's
+    least = least[ahead] + ((np.arange(BINS) - ahead) % BINS).astype(np.uint64) * MIXES[1]
+    return keys, ((least * MIXES[0]) >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
+def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, fp of three-word shingles, keys and sketch of five-word shingles) for every row."""
+
+    def run(batches):
+        for b in batches:
+            got = []
+            for t in b.column(1):
+                w = words(t.as_py())
+                got.append((majority(shingle_hashes(w, 3)), *sketch(shingle_hashes(w, 5))))
+            fps, keys, sketches = zip(*got) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "fp", "keys", "sketch"])
+
+    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, keys array<long>, sketch binary")
+
+
+def _unite(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the trees of x and y, pair by pair, in place; roots are least places."""
+    while len(x):
+        a, b = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        np.minimum.at(root, b, a)
+        while (root[root] != root).any():
+            root[:] = root[root]
+        left = root[x] != root[y]
+        x, y = x[left], y[left]
+
+
+def _alike(code: np.ndarray, marks: np.ndarray, radius: int, least: float) -> np.ndarray:
+    """Roots within one tile. Fingerprints come sorted by population count, so far blocks are skipped by it."""
+    n, count = len(code), np.bitwise_count(code).astype(np.int64)
+    root = np.arange(n)
+    for i in range(0, n, BLOCK):
+        own = slice(i, min(i + BLOCK, n))
+        for j in range(i, n, BLOCK):
+            other = slice(j, min(j + BLOCK, n))
+            if count[other.start] - count[own.stop - 1] > radius:
+                break
+            x, y = np.nonzero(np.bitwise_count(code[own, None] ^ code[None, other]) <= radius)
+            x, y = x + i, y + j
+            later = x < y
+            x, y = x[later], y[later]
+            while len(x):
+                a, b = x[:32_768], y[:32_768]
+                good = (marks[a] == marks[b]).mean(1) >= least
+                _unite(root, a[good], b[good])
+                x, y = x[32_768:], y[32_768:]
+                apart = root[x] != root[y]  # what is connected already needs no further look
+                x, y = x[apart], y[apart]
+    return root
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 14, margin: float = 0.03, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) for every row: texts linked by similar five-word shingles; component_id is the smallest doc_id.
+
+    The sketch's standard error at 0.8 is 0.035, so pairs down to `margin` below the similarity are linked too.
+    """
+    rows = stored(signatures(docs, text, doc_id).withColumn("node", F.xxhash64("fp", "sketch")))
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    least = stored(least)
+    dealt = least.select("node", "fp", "sketch", F.explode("keys").alias("tile")).repartition("tile").sortWithinPartitions("tile", F.bit_count("fp"))
+
+    def run(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        held: list[pa.RecordBatch] = []
+
+        def done(t: pa.Table):
+            tile = t["tile"].to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)]))
+            node, code = t["node"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+            marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(-1, BINS)
+            a, b = [], []
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if e - s > 1:
+                    root = _alike(code[s:e], marks[s:e], radius, similarity - margin)
+                    moved = np.flatnonzero(root != np.arange(e - s))
+                    a.append(node[s + moved])
+                    b.append(node[s + root[moved]])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            first, last = held[0].column(3)[0].as_py(), batch.column(3)[-1].as_py()
+            if first != last:
+                t = pa.Table.from_batches(held)
+                cut = int(np.flatnonzero(np.diff(t["tile"].to_numpy()))[-1]) + 1
+                held = t.slice(cut).combine_chunks().to_batches()
+                yield from done(t.slice(0, cut))
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    roots = components(dealt.mapInArrow(run, "a long, b long"))
+    known = least.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "node").join(known.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """The rows and columns of docs, one document of each group of similar texts: that with the smallest id.
+
+    Rows without an id cannot be named and stay; repeated rows of one id count as one document.
+    """
+    gone = stored(similar_texts(docs, **settings).where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
