@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Only these split Python's words and are no white space for the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-CACHE = 400_000
+CACHE = 150_000
 
 
 def byte_letters() -> list[str]:

@@ -7,17 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumen.plans.durable import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none (tests) a local one is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get()
+#: Rows in an Arrow batch: whole texts are long, and two Python workers share an executor's memory.
+BATCH = 512
 
 
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -32,8 +25,16 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH) -> None:
+    """Bounds the rows that Python workers hold at once; the session keeps a smaller bound of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The documents table, only the columns asked for."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns or ("*",))
 
 
