@@ -164,7 +164,7 @@ def image_hits(spark, d) -> DataFrame:
     return S.image_matches(f, S.face_matches(f, THRESHOLD))
 
 
-@query(f"WITH {FACES} SELECT i, j, face_count, round(least(0.1 * face_count, 0.3), 6) AS face_bonus FROM g")
+@query(f"WITH {FACES} SELECT i, j, face_count, round(least(0.1e0 * face_count, 0.3e0), 6) AS face_bonus FROM g")
 def g02_face_bonus(spark, d):
     return rounded(image_hits(spark, d).withColumn("face_bonus", S.bonus(F.col("face_count"))))
 
@@ -189,7 +189,7 @@ def text_pairs(spark, d, least: float) -> DataFrame:
     return S.cosine_pairs(rows, "vec_id", "embedding", least).select(F.expr("a div 4").alias("i"), F.expr("b div 4").alias("j"), "score")
 
 
-FUSED = "SELECT i, j, round(least(score + b, 1.0), 6) AS similarity_score, round(b, 6) AS face_bonus, CAST(f AS INTEGER) AS face_count FROM (SELECT t.i, t.j, score, coalesce(face_count, 0) AS f, least(0.1 * coalesce(face_count, 0), 0.3) AS b FROM t LEFT JOIN g ON g.i = t.i AND g.j = t.j)"
+FUSED = "SELECT i, j, round(least(score + b, 1.0), 6) AS similarity_score, round(b, 6) AS face_bonus, CAST(f AS INTEGER) AS face_count FROM (SELECT t.i, t.j, score, coalesce(face_count, 0) AS f, least(0.1e0 * coalesce(face_count, 0), 0.3e0) AS b FROM t LEFT JOIN g ON g.i = t.i AND g.j = t.j)"
 
 
 @query(f"WITH {FACES}, {TEXTS} {FUSED} WHERE least(score + b, 1.0) >= 0.35")
@@ -204,7 +204,7 @@ def v02_verify(spark, d):
     return rounded(S.fuse(text_pairs(spark, d, s.text_threshold - s.max_bonus), S.verified(image_hits(spark, d)), s))
 
 
-@query(f"WITH {FACES}, t0 AS (SELECT a // 4 AS i, b // 4 AS j, weight AS score FROM pairs WHERE a % 4 = 0 AND b % 4 = 0), z AS (SELECT avg(score) AS m, stddev_pop(score) AS sd FROM t0), t AS (SELECT i, j, (score - m) / (sd + 1e-6) AS score FROM t0, z) SELECT i, j, round(least(score + b, 1.0), 4) AS similarity_score, round(b, 4) AS face_bonus, CAST(f AS INTEGER) AS face_count FROM (SELECT t.i, t.j, score, coalesce(face_count, 0) AS f, least(0.1 * coalesce(face_count, 0), 0.3) AS b FROM t LEFT JOIN g ON g.i = t.i AND g.j = t.j) WHERE least(score + b, 1.0) >= 0.8")
+@query(f"WITH {FACES}, t0 AS (SELECT a // 4 AS i, b // 4 AS j, weight AS score FROM pairs WHERE a % 4 = 0 AND b % 4 = 0), z AS (SELECT avg(score) AS m, stddev_pop(score) AS sd FROM t0), t AS (SELECT i, j, (score - m) / (sd + 1e-6) AS score FROM t0, z) SELECT i, j, round(least(score + b, 1.0), 4) AS similarity_score, round(b, 4) AS face_bonus, CAST(f AS INTEGER) AS face_count FROM (SELECT t.i, t.j, score, coalesce(face_count, 0) AS f, least(0.1e0 * coalesce(face_count, 0), 0.3e0) AS b FROM t LEFT JOIN g ON g.i = t.i AND g.j = t.j) WHERE least(score + b, 1.0) >= 0.8")
 def v03_z_scores(spark, d):
     return rounded(S.fuse_z(text_pairs(spark, d, -1.1), image_hits(spark, d)), 4)
 
