@@ -181,22 +181,30 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, text: str
     return rows.join(moved.unionByName(alone), "fp").select("doc_id", "fp", "component_id")
 
 
-MIXES = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1) for k in range(6)]
+SALTS = [np.uint64((0x9E3779B97F4A7C15 * (k + 1) ** 3) & (2**64 - 1)) for k in range(6)]
+MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BINS = 128
 
 
+def mixed(hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """Another hash function of the same shingles: multiply and shift twice, so that orders under two salts are unrelated."""
+    z = (hashes ^ salt) * MIX_A
+    z = (z ^ (z >> np.uint64(31))) * MIX_B
+    return z ^ (z >> np.uint64(29))
+
+
 def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
     """(six tile keys, one-permutation sketch of 128 bins of 16 bits) of a set of shingle hashes."""
     if not len(hashes):
-        return [0] * len(MIXES), b"\0" * (2 * BINS)
-    keys = [int(((hashes * m) ^ ((hashes * m) >> np.uint64(29))).min().view(np.int64)) ^ k for k, m in enumerate(MIXES)]
+        return [0] * len(SALTS), b"\0" * (2 * BINS)
+    keys = [int(mixed(hashes, salt).min().view(np.int64)) for salt in SALTS]
     none = np.uint64(2**64 - 1)
     least = np.full(BINS, none)
     np.minimum.at(least, (hashes >> np.uint64(57)).astype(np.int64), hashes << np.uint64(7))
     full = np.flatnonzero(least != none)
     ahead = full[np.searchsorted(full, np.arange(BINS)) % len(full)]  # an empty bin takes the next full one's
-    least = least[ahead] + ((np.arange(BINS) - ahead) % BINS).astype(np.uint64) * MIXES[1]
-    return keys, ((least * MIXES[0]) >> np.uint64(48)).astype(np.uint16).tobytes()
+    least = least[ahead] + ((np.arange(BINS) - ahead) % BINS).astype(np.uint64) * MIX_B
+    return keys, ((least * MIX_A) >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
 def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
