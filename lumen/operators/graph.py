@@ -4,7 +4,7 @@ Nodes are the ends of edges, so isolated images are not in the graph. Betweennes
 do not; betweenness takes the weight as a length, although it is a similarity, as the reference results do.
 
 Shortest paths and spectra need the whole graph at hand: up to LOCAL_EDGES edges it is sent to the tasks that work on
-their share of the sources; larger graphs take the joins over tables below (betweenness refuses them).
+their share of the sources; larger graphs take the joins over tables below.
 """
 
 from __future__ import annotations
@@ -226,22 +226,66 @@ def _brandes(graph, source: int) -> np.ndarray:
 
 def betweenness(edges: DataFrame) -> DataFrame:
     """Share of shortest paths through a node, 2 / ((n - 1) (n - 2)) normalised, ends excluded; every task takes its share
-    of the sources and adds up what they give before the shuffle."""
+    of the sources and adds up what they give before the shuffle. Weights must be above 0."""
     if edges.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
-        raise ValueError(f"betweenness holds the graph in every task and takes at most {LOCAL_EDGES} edges")
+        return _normalised(edges, dependencies_by_joins(edges))
     kind = dict(nodes(edges).dtypes)["node"]
 
     def run(graph, sources):
         total = sum((_brandes(graph, int(s)) for s in sources), np.zeros(len(graph[0])))
         yield pa.RecordBatch.from_arrays([pa.array(graph[0]), pa.array(total)], ["node", "part"])
 
-    parts = _per_source(edges, run, f"node {kind}, part double")
+    return _normalised(edges, _per_source(edges, run, f"node {kind}, part double"))
+
+
+def _normalised(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, score) from the dependencies (node, part), summed over the sources."""
     sums = nodes(edges).join(parts.groupBy("node").agg(F.sum("part").alias("part")), "node", "left")
     n = nodes(edges).agg(F.count("*").alias("n"))
     scale = F.when(F.col("n") > 2, (F.col("n") - 1) * (F.col("n") - 2)).otherwise(1)
     return sums.crossJoin(F.broadcast(n)).select("node", (F.coalesce("part", F.lit(0.0)) / scale).alias("score"))
 
 
+def lengths_by_joins(edges: DataFrame) -> DataFrame:
+    """(source, node, far): weighted distances between all nodes that reach each other; only what got shorter goes on."""
+    step = stored(both_ways(edges))
+    far = stored(nodes(edges).select(F.col("node").alias("source"), "node", F.lit(0.0).alias("far")))
+    front = far
+    while not front.isEmpty():
+        tried = front.join(step, front.node == step.src).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("far") + F.col("weight")).alias("new"))
+        both = stored(far.join(tried, ["source", "node"], "full"))
+        front = both.where("new < far or far is null").select("source", "node", F.col("new").alias("far"))
+        far = both.select("source", "node", F.least("far", "new").alias("far"))
+    return far
+
+
+def dependencies_by_joins(edges: DataFrame) -> DataFrame:
+    """(node, part) of every source that others depend on, for graphs that no single machine should hold.
+
+    The steps of all shortest paths form a graph without cycles for each source. Paths are counted forwards by their
+    number of steps, shares go back the same way; both end after the longest path. The tables have a row for each pair of
+    nodes that reach each other, which the result needs.
+    """
+    far = stored(lengths_by_joins(edges))
+    to = far.select("source", F.col("node").alias("dst"), F.col("far").alias("there"))
+    step = stored(far.join(both_ways(edges), F.col("node") == F.col("src")).join(to, ["source", "dst"]).where("there = far + weight").select("source", "src", "dst"))
+
+    def walked(first: DataFrame, along: DataFrame, start: str, end: str, share: str) -> DataFrame:
+        now = total = first
+        while not now.isEmpty():
+            moved = now.withColumnRenamed("node", start).join(along, ["source", start])
+            now = stored(moved.groupBy("source", F.col(end).alias("node")).agg(F.sum(F.expr(f"x * {share}")).alias("x")))
+            total = total.unionByName(now)
+        return stored(total.groupBy("source", "node").agg(F.sum("x").alias("x")))
+
+    own = far.where("source = node").select("source", "node", F.lit(1.0).alias("x"))
+    count = walked(own, step, "src", "dst", "1")
+    shares = step.join(count.select("source", F.col("node").alias("src"), F.col("x").alias("a")), ["source", "src"])
+    shares = shares.join(count.select("source", F.col("node").alias("dst"), F.col("x").alias("b")), ["source", "dst"])
+    back = walked(far.select("source", "node", F.lit(1.0).alias("x")), stored(shares.select("source", "src", "dst", (F.col("a") / F.col("b")).alias("share"))), "dst", "src", "share")
+    return back.where("source <> node").select("node", (F.col("x") - 1).alias("part"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that is reachable, by star contraction; rounds grow with the logarithm of the diameter."""
     now, before = stored(edges.select("a", "b").where("a <> b").distinct()), None
