@@ -9,7 +9,9 @@ Within a block of pairs only a forest that spans its links is kept, never all pa
 Tiles by counts suit radii up to three. For texts whose five-word shingles are similar by 0.8 or more, fingerprints
 differ by up to 14 bits, and nearly every tile would have to be visited. `similar_texts` deals texts to tiles by their
 least shingle under each of six hash functions instead (a pair that similar shares at least one with a probability of
-1 - 0.2 ** 6), compares within a tile as above, and keeps a pair if a sketch of 128 bins says the same similarity.
+1 - 0.2 ** 6), compares within a tile as above, and keeps a pair if a sketch of 128 bins says the same similarity. A tile
+of more than SPLIT members is cut into bins, and every two bins meet in a task of their own: no pair is lost, and no task
+grows with a group of near copies.
 
 Exact copies collapse before anything is compared: a third of all rows with one text is one fingerprint.
 
@@ -32,6 +34,8 @@ from lumen.llm.components import components
 from lumen.llm.shared import stored
 
 BLOCK = 1024
+#: A tile of more members than this is split; the table of such tiles is broadcast up to HOT_ROWS rows (16 bytes each).
+SPLIT, HOT_ROWS = 8192, 1_000_000
 
 
 def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> np.ndarray:
@@ -258,6 +262,21 @@ def _alike(code: np.ndarray, marks: np.ndarray, radius: int, least: float) -> np
     return root
 
 
+def _split(dealt: DataFrame) -> DataFrame:
+    """The rows (node, fp, sketch, tile) with every tile of more than SPLIT members replaced by tiles of two of its bins.
+
+    A member of a tile of m bins goes to the m - 1 tiles that its bin shares with another, so any two members still meet.
+    """
+    hot = stored(dealt.groupBy("tile").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("tile", F.ceil(F.col("n") / SPLIT).alias("bins")))
+    n_hot = hot.count()
+    if not n_hot:
+        return dealt
+    own = F.pmod(F.xxhash64("node", F.lit("bin")), F.col("bins"))
+    others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1), lambda j: j != F.col("own")), lambda j: F.xxhash64("tile", F.least("own", j), F.greatest("own", j)))
+    joined = dealt.join(F.broadcast(hot) if n_hot <= HOT_ROWS else hot, "tile", "left").withColumn("own", own)
+    return joined.select("node", "fp", "sketch", F.explode(F.when(F.col("bins").isNull(), F.array("tile")).otherwise(others)).alias("tile"))
+
+
 def similar_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 14, margin: float = 0.03, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, component_id) for every row: texts linked by similar five-word shingles; component_id is the smallest doc_id.
 
@@ -266,7 +285,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 14, ma
     rows = stored(signatures(docs, text, doc_id).withColumn("node", F.xxhash64("fp", "sketch")))
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     least = stored(least)
-    dealt = least.select("node", "fp", "sketch", F.explode("keys").alias("tile")).repartition("tile").sortWithinPartitions("tile", F.bit_count("fp"))
+    dealt = _split(least.select("node", "fp", "sketch", F.explode("keys").alias("tile"))).repartition("tile").sortWithinPartitions("tile", F.bit_count("fp"))
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])

@@ -91,6 +91,19 @@ def test_similar_texts_are_found_and_others_stay(spark):
     assert simhash.without_near_duplicates(df).count() == 80
 
 
+def test_split_tiles_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    base = rng.choices(words, k=200)
+    texts = [" ".join([*base[:k], f"changed{k}", *base[k + 1 :]]) for k in range(60)] + [" ".join(rng.choices(words, k=200)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: i if i >= 60 else 0 for i in range(len(texts))}
+    for rows in (simhash.HOT_ROWS, 0):
+        monkeypatch.setattr(simhash, "SPLIT", 7)
+        monkeypatch.setattr(simhash, "HOT_ROWS", rows)
+        assert {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()} == want
+
+
 def repeats(t):
     w = WORD.findall(t or "")
     c, seen = Counter(zip(w, w[1:], w[2:])), set()
