@@ -3,7 +3,8 @@
 Every document is measured once; rule failures are summed by host; each host's rates are shrunk towards the mean of all
 hosts by a beta prior fitted to the hosts' own rates (method of moments); a host fails if a shrunk rate passes the
 limit, and its verdict is joined back to its documents. Sums by host are pre-aggregated in every task, so a host with a
-third of all rows is no hot spot; the join back is on one row a host.
+third of all rows is no hot spot; the join back is on one row a host and salt, so such a host's documents are dealt to
+SALTS tasks.
 
 Defined results: a null text has no words (and so fails the base rules); a null host has no verdict and its documents
 stay if they pass the base rules; every row gives one row, repeated and null ids too; an empty table gives an empty
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from lumen.llm.shared import stored
 
 SPACES = "[\\x20\\x09-\\x0D]+"
+#: A host's documents are dealt to so many tasks when its verdict is joined back; verdicts, one a host, are repeated as often.
+SALTS = 32
 #: A document fails a rule; the first two are the base rules.
 RULES = {
     "short": "n_words < 50",
@@ -88,9 +91,10 @@ def host_verdicts(measured: DataFrame, host: str = "host", limit: float = 0.5, r
 def judge(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", limit: float = 0.5) -> DataFrame:
     """Every document's measures, whether it fails the base rules, its host's verdict, and whether it is kept."""
     rows = stored(measure(docs.select(docs[doc_id].alias("doc_id"), docs[host].alias("host"), docs[text].alias("text"))).drop("text"))
-    failing = host_verdicts(rows, "host", limit).where("host_failed").select("host", "host_failed")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)))
+    failing = host_verdicts(rows, "host", limit).where("host_failed").select("host", "host_failed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     base = F.expr(f"({RULES['short']}) or ({RULES['repeats']})")
-    return rows.join(failing, "host", "left").select(
+    return rows.join(failing, ["host", "salt"], "left").select(
         "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         F.coalesce("host_failed", F.lit(False)).alias("host_failed"), (~base & F.col("host_failed").isNull()).alias("kept"),
     )
