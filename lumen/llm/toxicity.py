@@ -222,8 +222,14 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows and columns of docs that are not rejected; judged row by row, so repeated ids are no matter."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample=sample))
+    """The rows and columns of docs that are not rejected; judged row by row, so repeated ids are no matter.
+
+    Without labels of both classes nothing tells texts apart, and all stay.
+    """
+    model = fit(docs, labels, sample=sample)
+    if model.weights is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
