@@ -134,11 +134,14 @@ def disclosing(rows: DataFrame, near: DataFrame, disclosure: float = 0.5, suppor
 def find(docs: DataFrame, text: str = "text", disclosure: float = 0.5, support: int = 2, reach: int = 8) -> DataFrame:
     """The rows with `spans`: array of (kind, start, end, value), base kinds as listed, then terms, each by start.
 
-    The rows are held in a durable table, since the spans of the corpus decide on each text.
+    Other columns stay, whatever their names; one named spans gives way. The rows are held in a durable table, since the
+    spans of the corpus decide on each text.
     """
-    rows = base_spans(docs.withColumn("row", F.expr("uuid()")).withColumn("text", F.coalesce(docs[text], F.lit(""))))
-    rows = stored(rows.withColumn("copy", F.xxhash64("text", F.reverse("text"))))
-    return _with_terms(rows, disclosure, support, reach).drop("row", "copy", "base")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.expr("uuid()").alias("row"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    rows = stored(base_spans(rows).withColumn("copy", F.xxhash64("text", F.reverse("text"))))
+    found = _with_terms(rows, disclosure, support, reach)
+    others = [c for c in docs.columns if c.lower() not in (text.lower(), "spans")]
+    return found.select(*(F.col("doc")[c].alias(c) for c in others), F.col("text").alias(text), "spans")
 
 
 def _with_terms(rows: DataFrame, disclosure: float, support: int, reach: int) -> DataFrame:
@@ -164,9 +167,11 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
-    """The rows and columns of docs with their texts sanitised."""
-    found = find(docs, text, **settings)
-    return found.withColumn(text, sanitised(F.col(text), F.col("spans"))).select(*docs.columns)
+    """The rows and columns of docs, whatever the names of the others, with their texts sanitised."""
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), docs[text].alias("text"))
+    found = find(packed, "text", **settings)
+    clean = sanitised(F.col("text"), F.col("spans"))
+    return found.select(*((clean if c.lower() == text.lower() else F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:

@@ -182,3 +182,14 @@ def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for made in (simhash.near_duplicates(none), hostrules.judge(none), licenses.scan(none), pii.digests(none), brown.score(none), bpe.digests(none, PATH)):
         assert made.count() == 0
+
+
+def test_stages_keep_clashing_columns(spark, docs):
+    extra = ["row", "copy", "base", "spans", "terms", "doc", "node", "fp", "keys", "tile", "least", "root", "component_id", "y", "idx", "item_id", "mask", "term", "value"]
+    wide = docs.select("doc_id", "text", *(F.lit(k).alias(c) for k, c in enumerate(extra)))
+    labels, items = spark.createDataFrame([], "doc_id long, toxic int"), spark.createDataFrame([(1, "word word word")], "item_id long, text string")
+    for out in (toxicity.without_toxic(wide, labels), simhash.without_near_duplicates(wide), decontam.without_leaks(wide, items), pii.sanitise(wide)):
+        assert out.columns == wide.columns
+        assert {tuple(r)[2:] for r in out.collect()} == {tuple(range(len(extra)))}
+    for made in (pii.find(wide), bpe.encode(wide, PATH)):
+        assert made.count() == wide.count()
