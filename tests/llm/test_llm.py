@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -170,6 +171,38 @@ def test_class_lm_base_is_exact_and_blocks_do_not_matter(spark, sf, docs):
     assert brown.score(docs).count() == docs.count()
 
 
+def test_class_lm_clusters_words_under_the_share(spark):
+    rng = random.Random(6)
+    sides = [("the", "runs", [f"a{k}" for k in range(60)]), ("some", "falls", [f"b{k}" for k in range(60)])]
+    filler = [f"f{k}" for k in range(40)]
+    lines = [f"{x} {w} {y}" for x, y, ws in sides for w in ws for _ in range(8)]
+    lines += [f"{x} {y}" for x, y, _ in sides for _ in range(600)]
+    lines += [" ".join(rng.choices(filler, k=30)) for _ in range(3000)]
+    rng.shuffle(lines)
+    probes = [f"{x} {w} {y}" for x, y, _ in sides for *_, ws in sides for w in (ws[0], ws[1])]
+    rows = [*enumerate(lines), *enumerate(probes, len(lines))]
+    counts = Counter(w for k, t in rows if brown_fold(k) != 1 for w in t.split())
+    assert max(counts[w] for *_, ws in sides for w in ws) < brown.SHARE * sum(counts.values())
+    got = {r.doc_id: r for r in brown.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gain = [got[len(lines) + k].score for k in range(8)]
+    own = [x - np.log10(counts[t.split()[1]]) for x, t in zip(gain, probes)]
+    assert min(own[0], own[1], own[6], own[7]) > max(own[2:6]) + 0.5
+
+
+def test_class_lm_is_a_distribution(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    lines = [" ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(400)], k=40)) for _ in range(700)]
+    df = spark.createDataFrame([*enumerate(lines), *enumerate(words, 10**6), (2 * 10**6, "")], "doc_id long, text string")
+    rows = brown.score(df, share=0.02).where("doc_id >= 1000000").collect()
+    one = {r.doc_id: 10**r.score for r in rows}
+    assert 0 < sum(one.values()) < 1
+
+
+def brown_fold(k):
+    return zlib.crc32(str(k).encode()) % 5
+
+
 def test_classifiers_hold_out(spark, docs):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     for module, label, least in ((quality, "quality", 0.93), (toxicity, "toxic", 0.9)):
