@@ -6,12 +6,13 @@ differ by at most that much in the sum of the differences of their counts, so al
 loss: the comparison stays exact. One of two near tiles visits the other, so every pair of near tiles meets once.
 Within a block of pairs only a forest that spans its links is kept, never all pairs of a group.
 
-Tiles by counts suit radii up to three. For texts whose five-word shingles are similar by 0.8 or more, fingerprints
-differ by up to 14 bits, and nearly every tile would have to be visited. `similar_texts` deals texts to tiles by their
-least shingle under each of six hash functions instead (a pair that similar shares at least one with a probability of
-1 - 0.2 ** 6), compares within a tile as above, and keeps a pair if a sketch of 128 bins says the same similarity. A tile
-of more than SPLIT members is cut into bins, and every two bins meet in a task of their own: no pair is lost, and no task
-grows with a group of near copies.
+Tiles by counts suit radii up to three. `similar_texts` links texts by the similarity of their sets of five-word shingles
+instead. It deals texts to tiles by their least shingle under each of six hash functions (a pair that similar shares at
+least one with a probability of 1 - 0.2 ** 6). Within a tile a sketch of 128 bins only sorts out: what falls short of the
+similarity by five standard errors or less stays a candidate, and so does every pair of short texts whose sets are of
+like size. Candidates that connect are a group; each group meets once more, with the whole shingle sets, and a pair is
+linked if those sets say so. A tile of more than SPLIT members is cut into bins, and every two bins meet in a task of their
+own: no pair is lost, and no task grows with a group of near copies.
 
 Exact copies collapse before anything is compared: a third of all rows with one text is one fingerprint.
 
@@ -188,6 +189,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, text: str
 SALTS = [np.uint64((0x9E3779B97F4A7C15 * (k + 1) ** 3) & (2**64 - 1)) for k in range(6)]
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BINS = 128
+#: Hashed ids of texts whose sets are needed are marked in a table of so many bits; a mark too many costs a set, no result.
+PLACES = 1 << 24
 
 
 def mixed(hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -211,115 +214,153 @@ def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
     return keys, ((least * MIX_A) >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
+def signature(text: str | None) -> tuple[int, int, list[int], bytes, np.ndarray]:
+    """(hash of the set, size, keys, sketch, set) of the five-word shingles, each counted once."""
+    hashes = np.unique(shingle_hashes(words(text), 5))
+    node = xxhash.xxh64_intdigest(hashes.tobytes())
+    return (node, len(hashes), *sketch(hashes), hashes)
+
+
 def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp of three-word shingles, keys and sketch of five-word shingles) for every row."""
+    """(doc_id, node, size, keys, sketch) for every row; texts of one shingle set are one node."""
 
     def run(batches):
         for b in batches:
-            got = []
-            for t in b.column(1):
-                w = words(t.as_py())
-                got.append((majority(shingle_hashes(w, 3)), *sketch(shingle_hashes(w, 5))))
-            fps, keys, sketches = zip(*got) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "fp", "keys", "sketch"])
+            got = [signature(t.as_py())[:4] for t in b.column(1)]
+            nodes, sizes, keys, sketches = zip(*got) if got else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "node", "size", "keys", "sketch"])
 
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, keys array<long>, sketch binary")
-
-
-def _unite(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-    """Joins the trees of x and y, pair by pair, in place; roots are least places."""
-    while len(x):
-        a, b = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-        np.minimum.at(root, b, a)
-        while (root[root] != root).any():
-            root[:] = root[root]
-        left = root[x] != root[y]
-        x, y = x[left], y[left]
-
-
-def _alike(code: np.ndarray, marks: np.ndarray, radius: int, least: float) -> np.ndarray:
-    """Roots within one tile. Fingerprints come sorted by population count, so far blocks are skipped by it."""
-    n, count = len(code), np.bitwise_count(code).astype(np.int64)
-    root = np.arange(n)
-    for i in range(0, n, BLOCK):
-        own = slice(i, min(i + BLOCK, n))
-        for j in range(i, n, BLOCK):
-            other = slice(j, min(j + BLOCK, n))
-            if count[other.start] - count[own.stop - 1] > radius:
-                break
-            x, y = np.nonzero(np.bitwise_count(code[own, None] ^ code[None, other]) <= radius)
-            x, y = x + i, y + j
-            later = x < y
-            x, y = x[later], y[later]
-            while len(x):
-                a, b = x[:32_768], y[:32_768]
-                good = (marks[a] == marks[b]).mean(1) >= least
-                _unite(root, a[good], b[good])
-                x, y = x[32_768:], y[32_768:]
-                apart = root[x] != root[y]  # what is connected already needs no further look
-                x, y = x[apart], y[apart]
-    return root
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, size long, keys array<long>, sketch binary")
 
 
-def _split(dealt: DataFrame) -> DataFrame:
-    """The rows (node, fp, sketch, tile) with every tile of more than SPLIT members replaced by tiles of two of its bins.
+def shingle_sets(docs: DataFrame, places: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(node, sorted set as bytes) of the rows whose ids hash to one of the places (below PLACES), and of no others."""
+    marked = np.zeros(PLACES, bool)
+    marked[places] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
 
-    A member of a tile of m bins goes to the m - 1 tiles that its bin shares with another, so any two members still meet.
+    def run(batches):
+        marked = np.unpackbits(sent.value).view(bool)
+        for b in batches:
+            held = np.flatnonzero(marked[b.column(0).to_numpy()])
+            sets = [np.unique(shingle_hashes(words(b.column(1)[k].as_py()), 5)).tobytes() for k in held.tolist()]
+            nodes = np.array([xxhash.xxh64_intdigest(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    rows = docs.select(F.pmod(F.xxhash64(docs[doc_id]), F.lit(PLACES)).alias("at"), docs[text].alias("text"))
+    return rows.mapInArrow(run, "node long, hashes binary")
+
+
+def _limit(size: np.ndarray, similarity: float) -> np.ndarray:
+    """The share of equal bins that a pair of the similarity may fall to: five standard errors below it.
+
+    A set of n shingles fills 128 (1 - exp(-n / 128)) bins; the others are copies, which doubles the variance at most.
     """
-    hot = stored(dealt.groupBy("tile").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("tile", F.ceil(F.col("n") / SPLIT).alias("bins")))
-    n_hot = hot.count()
-    if not n_hot:
-        return dealt
-    own = F.pmod(F.xxhash64("node", F.lit("bin")), F.col("bins"))
-    others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1), lambda j: j != F.col("own")), lambda j: F.xxhash64("tile", F.least("own", j), F.greatest("own", j)))
-    joined = dealt.join(F.broadcast(hot) if n_hot <= HOT_ROWS else hot, "tile", "left").withColumn("own", own)
-    return joined.select("node", "fp", "sketch", F.explode(F.when(F.col("bins").isNull(), F.array("tile")).otherwise(others)).alias("tile"))
+    return similarity - 5 * np.sqrt(2 * similarity * (1 - similarity) / np.maximum(BINS * -np.expm1(-size / BINS), 1))
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, radius: int = 14, margin: float = 0.03, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, component_id) for every row: texts linked by similar five-word shingles; component_id is the smallest doc_id.
+def _groups(marks: np.ndarray, size: np.ndarray, similarity: float, confirm=None):
+    """Yields (members, links) of each group that candidates, or those that `confirm` keeps, connect.
 
-    The sketch's standard error at 0.8 is 0.035, so pairs down to `margin` below the similarity are linked too.
+    Every member looks once at all members that no group has yet, so a group of near copies costs no pairs.
     """
-    rows = stored(signatures(docs, text, doc_id).withColumn("node", F.xxhash64("fp", "sketch")))
-    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    least = stored(least)
-    dealt = _split(least.select("node", "fp", "sketch", F.explode("keys").alias("tile"))).repartition("tile").sortWithinPartitions("tile", F.bit_count("fp"))
+    left = np.arange(len(size))
+    while len(left) > 1:
+        members, links, left = [left[0]], [], left[1:]
+        for x in members:
+            if not len(left):
+                break
+            low, high = np.minimum(size[x], size[left]), np.maximum(size[x], size[left])
+            near = np.flatnonzero(low >= similarity * high - 1e-9)
+            at = left[near]
+            near = near[(marks[at] == marks[x]).mean(1) >= _limit(low[near], similarity)]
+            if confirm is not None:
+                near = np.array([k for k in near.tolist() if confirm(x, left[k])], np.int64)
+            if len(near):
+                members += left[near].tolist()
+                links += [(x, y) for y in left[near].tolist()]
+                left = np.delete(left, near)
+        if links:
+            yield members, links
+
+
+def _by_key(dealt: DataFrame, key: str, schema: str, work) -> DataFrame:
+    """work(columns of one key) makes lists of columns; rows are dealt by key and keys of one row are left out."""
+    out, names = pa.schema([(c.split()[0], pa.int64()) for c in schema.split(", ")]), dealt.columns
+    place = names.index(key)
 
     def run(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         held: list[pa.RecordBatch] = []
 
         def done(t: pa.Table):
-            tile = t["tile"].to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)]))
-            node, code = t["node"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
-            marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(-1, BINS)
-            a, b = [], []
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if e - s > 1:
-                    root = _alike(code[s:e], marks[s:e], radius, similarity - margin)
-                    moved = np.flatnonzero(root != np.arange(e - s))
-                    a.append(node[s + moved])
-                    b.append(node[s + root[moved]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
+            of = t[key].to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)]))
+            many = np.flatnonzero(np.diff(cuts) > 1)
+            found = [x for s, e in zip(cuts[many].tolist(), cuts[many + 1].tolist()) for x in work(t.slice(s, e - s))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=out)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            first, last = held[0].column(3)[0].as_py(), batch.column(3)[-1].as_py()
-            if first != last:
+            if held[0].column(place)[0].as_py() != batch.column(place)[-1].as_py():
                 t = pa.Table.from_batches(held)
-                cut = int(np.flatnonzero(np.diff(t["tile"].to_numpy()))[-1]) + 1
+                cut = int(np.flatnonzero(np.diff(t[key].to_numpy()))[-1]) + 1
                 held = t.slice(cut).combine_chunks().to_batches()
                 yield from done(t.slice(0, cut))
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    roots = components(dealt.mapInArrow(run, "a long, b long"))
+    return dealt.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def _split(dealt: DataFrame) -> DataFrame:
+    """The rows (node, size, sketch, tile) with every tile of more than SPLIT members replaced by tiles of two of its bins.
+
+    A member of a tile of m bins goes to the m - 1 tiles that its bin shares with another, so any two members still meet.
+    """
+    hot = stored(dealt.groupBy("tile").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("tile", F.ceil(F.col("n") / SPLIT).alias("bins")))
+    n_hot = hot.count()
+    if not n_hot:
+        return dealt
+    own = F.pmod(F.xxhash64("node", F.lit("bin")), F.col("bins"))
+    others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1), lambda j: j != F.col("own")), lambda j: F.xxhash64("tile", F.least("own", j), F.greatest("own", j)))
+    joined = dealt.join(F.broadcast(hot) if n_hot <= HOT_ROWS else hot, "tile", "left").withColumn("own", own)
+    return joined.select("node", "size", "sketch", F.explode(F.when(F.col("bins").isNull(), F.array("tile")).otherwise(others)).alias("tile"))
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) for every row: texts linked by similar sets of five-word shingles; component_id is the
+    smallest doc_id."""
+    rows = stored(signatures(docs, text, doc_id))
+    least = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
+    dealt = _split(least.select("node", "size", "sketch", F.explode(F.array_distinct("keys")).alias("tile")))
+
+    def meet(t: pa.Table):
+        node, size = t["node"].to_numpy(), t["size"].to_numpy()
+        for members, _ in _groups(np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(-1, BINS), size, similarity):
+            found = np.sort(node[members])
+            name = np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)
+            yield np.full(len(found), name), found
+
+    def judge(t: pa.Table):
+        node, sets = t["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()]
+        marks, size = np.stack([np.frombuffer(sketch(h)[1], np.uint16) for h in sets]), np.array([len(h) for h in sets])
+
+        def alike(x, y):
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            return both >= similarity * (size[x] + size[y] - both) - 1e-9
+
+        for _, links in _groups(marks, size, similarity, alike):
+            a, b = np.array(links).T
+            yield node[a], node[b]
+
+    groups = stored(_by_key(dealt.select("node", "size", "sketch", "tile"), "tile", "group long, node long", meet).distinct())
+    wanted = least.join(groups.select("node").distinct(), "node", "left_semi").select(F.pmod(F.xxhash64("least"), F.lit(PLACES)).alias("at")).distinct()
+    sets = shingle_sets(docs, wanted.toArrow()["at"].to_numpy(), text, doc_id).groupBy("node").agg(F.first("hashes").alias("hashes"))
+    roots = components(_by_key(groups.join(sets, "node").select("node", "hashes", "group"), "group", "a long, b long", judge))
     known = least.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "node").join(known.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -92,6 +92,39 @@ def test_similar_texts_are_found_and_others_stay(spark):
     assert simhash.without_near_duplicates(df).count() == 80
 
 
+def test_similar_texts_are_judged_by_their_sets(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+
+    def copies(n, least):
+        """A text, one that appends words until the similarity is just `least` or more, and one just under it."""
+        w = [word() for _ in range(n)]
+        more = int((n - 4) / least - (n - 4) + 1e-9)
+        tail = [word() for _ in range(more + 1)]
+        return " ".join(w), " ".join(w + tail[:-1]), " ".join(w + tail)
+
+    texts = []
+    for n in (50, 300):
+        for _ in range(40):
+            a, on, under = copies(n, 0.8)
+            texts += [a, on, word() + " " + under.split(" ", 1)[1]]
+            b, far, _ = copies(n, 0.78)
+            c, close, _ = copies(n, 0.85)
+            texts += [b, far, c, close]
+    for _ in range(20):  # one line many times over: the sets stay the same but for where it meets itself
+        w, line = [word() for _ in range(300)], [word() for _ in range(12)]
+        texts += [" ".join(w + line), " ".join(w + line * 30)]
+    sets = [set(simhash.shingle_hashes(simhash.words(t), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for y in range(len(texts)):
+        for x in range(max(0, y - 7), y):
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) - 1e-9:
+                root = [root[x] if r == root[y] else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) < len(texts) - 150
+
+
 def test_split_tiles_lose_no_pair(spark, monkeypatch):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
