@@ -181,6 +181,15 @@ def test_licenses_match_canonical_texts(spark):
     assert got == {1: ("MIT", "MIT"), 2: (None, "CC-BY-NC-4.0"), 3: (None, "")}
 
 
+def test_licenses_know_texts_and_usual_notices(spark):
+    texts = {title: (license, text) for license, title, text in licenses.TEXTS}
+    starts = "of this software and|in the Software without|to use, copy, modify, merge|copies of the Software, and|furnished to do so|The above|copies or|THE SOFTWARE IS|IMPLIED, INCL|FITNESS FOR|AUTHORS OR|LIABILITY, WHETHER|OUT OF OR|SOFTWARE\\.$"
+    wrapped = lambda t: "MIT License\n\nCopyright (c) 2020 Someone\n\n" + re.sub(f" (?={starts})", "\n", t)  # the usual lines
+    rows = [(1, wrapped(texts["MIT License"][1])), (2, texts["ISC License"][1]), (3, "code\n# SPDX-License-Identifier: MIT\nLicensed under the MIT License\n")]
+    got = {r.doc_id: (r.license, r.n_license_lines, r.line_licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][0] == "MIT" and got[2][0] == "ISC" and got[3] == (None, 2, "MIT")
+
+
 def test_decontamination_equals_brute_force(spark, sf):
     d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in decontam.matches(d, b).collect()}
