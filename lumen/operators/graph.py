@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumen.functions.text import basename
+from lumen.operators.components import components as reach
 from lumen.plans.durable import stored
 
 LOCAL_EDGES = 5_000_000
@@ -287,19 +288,8 @@ def dependencies_by_joins(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that is reachable, by star contraction; rounds grow with the logarithm of the diameter."""
-    now, before = stored(edges.select("a", "b").where("a <> b").distinct()), None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state[0] == 0 or state == before:
-            return now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component")).union(now.select(F.least("a", "b"), F.least("a", "b")).distinct())
-        before = state
-        both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        wide = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = wide.groupBy("a").agg(F.min("b").alias("m"))
-        tied = wide.join(low, "a")
-        now = stored(tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+    """(node, component): the smallest node that is reachable."""
+    return reach(edges).withColumnRenamed("root", "component")
 
 
 def face_groups(faces: DataFrame, matches: DataFrame) -> DataFrame:
