@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.shared import fold, stored
+from lumen.llm.shared import fold
+from lumen.plans.durable import stored
 
 #: What Python takes for white space beyond the six ASCII marks.
 OTHER = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")

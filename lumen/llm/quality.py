@@ -4,7 +4,8 @@ Features say which byte n-grams (one to four bytes) a whole text holds. They are
 of naive Bayes, brought to unit length, and a linear hinge-loss model is fitted to them by dual coordinate descent
 (Hsieh et al., 2008). Margins become probabilities by a logistic curve fitted on rows that the margin's model never saw.
 
-The model is fitted on at most SAMPLE labelled rows (the documented bound); scoring covers every row and whole texts.
+The model is fitted on at most SAMPLE labelled rows and shared.FEATURES indices of n-grams (the documented bounds);
+scoring covers every row and whole texts.
 
 Defined results: a null text is empty and scored like an empty text; every row gives one row, repeated and null ids
 too; without labels of both classes every score is the smoothed share of good labels; an empty table gives an empty
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.shared import fold, labelled_sample
+from lumen.llm.shared import fold, labelled, sampled
 
 BITS, SAMPLE, CHUNK = 18, 8_000, 1 << 20
 
@@ -101,6 +102,19 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(a * self.margin(idx) + b, -30, 30))))
 
 
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
+    """Fits on at most `sample` labelled rows outside the hold-out fold; only their features reach the driver."""
+    seen = np.zeros(1 << BITS, bool)
+    return Model(*sampled(labelled(docs, labels, label, sample), lambda text: ngrams(text, seen), sample))
+
+
+def score(self, idx: np.ndarray) -> float:
+        if not self.ok:
+            return self.prior
+        a, b = self.curve
+        return float(1 / (1 + np.exp(-np.clip(a * self.margin(idx) + b, -30, 30))))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fits on at most `sample` labelled rows outside the hold-out fold; only their features reach the driver."""
 

@@ -1,32 +1,27 @@
-"""Helpers that several corpus operators share: column picking, durable tables, hold-out folds, label samples."""
+"""Helpers that several corpus operators share: Arrow batches, hold-out folds, bounded samples for classifiers."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumen.plans.durable import shared_dir
+from lumen.plans.durable import stored
 
 #: Rows in an Arrow batch: whole texts are long, and two Python workers share an executor's memory.
 BATCH = 512
+#: What a sample's features may take on the driver, in indices of four bytes.
+FEATURES = 16_000_000
 
 
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and reads it back: lineage ends there, a lost executor costs nothing.
+def small_batches(spark: SparkSession, rows: int = BATCH) -> None:
+    """Bounds the rows that Python workers hold at once, for this session; it keeps a smaller bound of its own.
 
-    The tables stay until the shared folder is cleaned, because plans made from them may run at any later time.
+    The bound must hold when the query runs, which is after it is made, so it cannot be set back here.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH) -> None:
-    """Bounds the rows that Python workers hold at once; the session keeps a smaller bound of its own."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
@@ -43,11 +38,10 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, skip_fold: int = 0) -> DataFrame:
-    """At most `limit` labelled documents outside the hold-out fold: (doc_id, text, y).
+def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, skip_fold: int = 0) -> DataFrame:
+    """(doc_id, text, y) of at most `limit` labelled rows outside the hold-out fold, those with the smallest hashes.
 
-    The sample is the `limit` ids with the smallest hash, so it is the same at every run; it is the only bound in the
-    classifiers and it is documented with them. Null ids or labels are left out; of repeated ids the largest label counts.
+    Null ids or labels are left out; of repeated labels of an id the largest counts.
     """
     ids = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -56,3 +50,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+
+
+def sampled(rows: DataFrame, indices: Callable[[str | None], np.ndarray], limit: int, budget: int = FEATURES) -> tuple[list[np.ndarray], np.ndarray]:
+    """(indices of each row, y) of a bounded sample of rows (doc_id, text, y): at most `limit` rows and `budget` indices.
+
+    Rows are taken by the hash of id and text until either bound is met, so the sample is the same at every run, repeated
+    ids do not enlarge it, and very long texts only shorten it. Texts are read whole.
+    """
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([indices(t.as_py()).astype(np.int32).tobytes() for t in b.column(1)], pa.binary())], ["at", "y", "idx"])
+
+    at = F.xxhash64(F.xxhash64("doc_id"), "doc_id", "text")
+    found = stored(rows.select(at.alias("at"), "text", F.col("y").cast("int").alias("y")).mapInArrow(run, "at long, y int, idx binary"))
+    order = ["at", "y", "idx"]
+    sizes = found.select(*order).orderBy(*order).limit(limit).select("at", F.length("idx").alias("n")).toArrow()
+    total = np.cumsum(sizes["n"].to_numpy()) // 4
+    n = int(np.searchsorted(total, budget, "right"))
+    if not n:
+        return [], np.zeros(0, np.int64)
+    got = found.where(F.col("at") <= int(sizes["at"][n - 1].as_py())).orderBy(*order).limit(n).toArrow()
+    return [np.frombuffer(x, np.int32) for x in got["idx"].to_pylist()], got["y"].to_numpy().astype(np.int64)
