@@ -4,8 +4,9 @@ A merge list decides, for every pair of neighbouring tokens, whether they join.
 change a token only through a chain of conflicts: a merge (u, v) fails because a merge of lower rank takes the right
 edge of v first, which in turn depends on a merge of still lower rank, and so on. `sufficient_lookahead` follows the
 longest such chain once for the whole merge list. While encoding, a token is emitted as soon as that many symbols
-behind it have been read, and its symbols are forgotten; so memory is constant however long a run of letters is.
-Decoding is a state machine too: it keeps at most the bytes of one unfinished character.
+behind it have been read, and its symbols are forgotten; so besides the text itself (and the normal form of a word that is
+being read) memory is constant however long a run of letters is, and so it is for the digests, which are fed while tokens
+come. Decoding is a state machine too: it keeps at most the bytes of one unfinished character.
 
 Defined results: a null text is the empty text (no tokens); ids stay in row order; every row gives one row; other
 columns of the input are not looked at, whatever their names; an empty table gives an empty table.
@@ -22,6 +23,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,9 @@ from pyspark.sql import DataFrame
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Only these split Python's words and are no white space for the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-CACHE = 150_000
+WORD, BREAK = re.compile(f"[^{SPACE}]+"), re.compile(f"[{SPACE}]")
+#: Results of words and pre-tokens under SHORT letters are kept, CACHE at a time; texts are cut at white space after PART letters.
+CACHE, SHORT, PART = 150_000, 64, 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -47,7 +51,7 @@ def code_points(category: str) -> str:
 
 
 class Cache(dict):
-    """Keeps at most two generations of `size` results of `compute`, for keys of under 64 letters."""
+    """Keeps at most two generations of `size` results of `compute`, for keys of under 4 * SHORT letters."""
 
     def __init__(self, compute, size: int = CACHE):
         super().__init__()
@@ -57,7 +61,7 @@ class Cache(dict):
         found = self.old.get(key)
         if found is None:
             found = self.compute(key)
-            if len(key) >= 64:
+            if len(key) >= 4 * SHORT:
                 return found
         if len(self) >= self.size:
             self.old = dict(self)
@@ -164,140 +168,200 @@ class MergeList:
         return [ids[i] for i in kept], [sizes[i] for i in kept]
 
     def transduce(self, symbols: Iterable[int]) -> Iterator[int]:
-        """Tokens of a stream of symbols, each emitted once no later symbol can change it."""
-        held: list[int] = []
-        for s in symbols:
-            held.append(s)
-            if len(held) >= self.window:
-                tokens, sizes = self.merge(held[:])
-                settled = end = 0
-                for size in sizes:
-                    if end + size > len(held) - self.lookahead:
-                        break
-                    end += size
-                    settled += 1
-                yield from tokens[:settled]
-                held = held[end:]
-        yield from self.merge(held)[0]
-
-    def symbols(self, piece: str) -> Iterator[int]:
-        data = piece.encode("utf-8", "surrogatepass")
+        """Tokens of a stream of symbols, each emitted once no later symbol can change it; at most `window` symbols are held."""
+        source, held = iter(symbols), []
+        while True:
+            held += islice(source, self.window - len(held))
+            if len(held) < self.window:
+                yield from self.merge(held)[0]
+                return
+            tokens, sizes = self.merge(held[:])
+            settled = end = 0
+            for size in sizes:
+                if end + size > self.window - self.lookahead:
+                    break
+                end += size
+                settled += 1
+            yield from tokens[:settled]
+            del held[:end]
+
+    def symbols(self, piece: str) -> Iterable[int]:
+        """The symbols of a pre-token's bytes; the last one closes it."""
+        if len(piece) >= SHORT:
+            return self._stream(piece)
+        data, inside = piece.encode("utf-8", "surrogatepass"), self.inside
+        return [*[inside[b] for b in data[:-1]], *[self.last[b] for b in data[-1:]]]
+
+    def _stream(self, piece: str) -> Iterator[int]:
         inside = self.inside
-        for b in data[:-1]:
-            yield inside[b]
-        yield self.last[data[-1]]
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """Tokens of one pre-token, already normalised."""
-        data = piece.encode("utf-8", "surrogatepass")
-        if len(data) < self.window:
-            inside = self.inside
-            ids = [inside[b] for b in data[:-1]]
-            ids.append(self.last[data[-1]])
-            return tuple(self.merge(ids)[0])
-        return tuple(self.transduce(self.symbols(piece)))
+        for k in range(0, len(piece), 4096):
+            data = piece[k : k + 4096].encode("utf-8", "surrogatepass")
+            if k + 4096 < len(piece):
+                yield from [inside[b] for b in data]
+            else:
+                yield from [inside[b] for b in data[:-1]]
+                yield self.last[data[-1]]
 
 
 class Encoder:
-    """Encodes texts word by word and pre-token by pre-token; nothing crosses white space, no merge crosses pre-tokens.
-
-    What is known of a word or a pre-token: the number of its tokens, the tokens, and their decoded text.
-    """
+    """The transducer over whole texts. Nothing crosses white space and no merge crosses pre-tokens, so it is in its start
+    state there; what it emits for a short word or pre-token from that state is kept and not worked out again."""
 
     def __init__(self, merges: MergeList, cache: int = CACHE):
         self.m = merges
-        self.words = Cache(self._word, cache)
-        self.pieces = Cache(lambda piece: self._known(merges.piece(piece)), cache)
-
-    def _known(self, ids: Iterable[int]) -> tuple[int, str, str]:
-        ids = list(ids)
-        return len(ids), " ".join(map(str, ids)), decode_tokens(self.m, ids)
+        self.words = Cache(self._short, cache)
+        self.pieces = Cache(lambda piece: tuple(merges.transduce(merges.symbols(piece))), cache)
+        self.shown = Cache(self._shown, cache)
+
+    def _short(self, word: str) -> tuple[int, ...]:
+        low, pieces = self.normal(word), self.pieces
+        if low.isalpha():
+            return pieces[low]
+        if "<" in word:
+            return tuple(self._word(word))
+        return tuple([i for p in (self.m.ascii_re if low.isascii() else self.m.piece_re).findall(low) for i in pieces[p]])
+
+    def _shown(self, word: str) -> tuple[int, str]:
+        ids = self._short(word)
+        return len(ids), " ".join(map(str, ids))
 
     @staticmethod
     def normal(text: str) -> str:
         """NFC and lower case, letter by letter (a final sigma is like any other)."""
         return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    @staticmethod
-    def whole(found: list[tuple[int, str, str]]) -> tuple[int, str, str]:
-        if not found:
-            return 0, "", ""
-        n, ids, texts = zip(*found)
-        return sum(n), " ".join(ids), " ".join(texts)
-
-    def _word(self, word: str) -> tuple[int, str, str]:
-        m, pieces, found = self.m, self.pieces, []
+    def _word(self, word: str) -> Iterator[int]:
+        """Tokens of a word as they are settled."""
+        m = self.m
         for part in m.special_re.split(word) if m.special_re and "<" in word else [word]:
             if part in m.special:
-                found.append(self._known([m.special[part]]))
+                yield m.special[part]
                 continue
             low = self.normal(part)
-            if low.isalpha():
-                found.append(pieces[low])
-            else:
-                found += [pieces[p] for p in (m.ascii_re if low.isascii() else m.piece_re).findall(low)]
-        return found[0] if len(found) == 1 else self.whole(found)
+            for found in (m.ascii_re if low.isascii() else m.piece_re).finditer(low):
+                if found.end() - found.start() < SHORT:
+                    yield from self.pieces[found[0]]
+                else:
+                    yield from m.transduce(m.symbols(found[0]))
 
     @staticmethod
-    def split(text: str) -> list[str]:
-        return re.findall(f"[^{SPACE}]+", text) if SEPARATORS.search(text) else text.split()
-
-    def read(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, the ids and the decoded text, both joined by one space; null is empty."""
-        words = self.words
-        return self.whole([words[w] for w in self.split(text or "")])
+    def split(text: str | None) -> Iterator[list[str]]:
+        """The words of a text, some PART letters at a time; a word is never cut."""
+        text, at = text or "", 0
+        while at < len(text):
+            end = at + PART
+            if end < len(text) and (gap := BREAK.search(text, end)):
+                end = gap.start()
+            elif end < len(text):
+                end = len(text)
+            part = text[at:end]
+            yield WORD.findall(part) if SEPARATORS.search(part) else part.split()
+            at = end
+
+    def runs(self, text: str | None) -> Iterator[list[tuple[int, str]]]:
+        """Lists of (number, ids joined by one space) of the tokens of words, or of parts of a very long word."""
+        shown = self.shown
+        for words in self.split(text):
+            if max(map(len, words), default=0) < SHORT:
+                yield [shown[w] for w in words]
+                continue
+            for w in words:
+                if len(w) < SHORT:
+                    yield [shown[w]]
+                else:
+                    source = self._word(w)
+                    while part := list(islice(source, 1024)):
+                        yield [(len(part), " ".join(map(str, part)))]
 
     def ids(self, text: str | None) -> list[int]:
-        return [int(i) for i in self.read(text)[1].split()]
-
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the ids and of the decoded text."""
-        n, ids, decoded = self.read(text)
-        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
-
-
-def decode_tokens(m: MergeList, ids: Iterable[int]) -> str:
-    """What the tokenizer file's own (missing) decoder gives: the tokens as they stand, one space between them."""
-    text_of = m.text_of
-    return " ".join([text_of[i] for i in ids if i in text_of])
+        words = self.words
+        return list(chain.from_iterable(words[w] if len(w) < SHORT else self._word(w) for part in self.split(text) for w in part))
+
+    def digest(self, text: str | None, decoder: "TextDecoder") -> tuple[int, str, str]:
+        """Number of tokens, SHA-256 of the ids and of what the decoder makes of them, both fed while they come."""
+        total, ids, said, gap = 0, hashlib.sha256(), hashlib.sha256(), ""
+        decoder.reset()
+        for part in self.runs(text):
+            runs = [run for n, run in part if n]
+            if runs:
+                total += sum([n for n, _ in part])
+                ids.update((gap + " ".join(runs)).encode())
+                gap = " "
+                said.update(decoder.read(runs).encode("utf-8", "surrogatepass"))
+        said.update(decoder.end().encode("utf-8", "surrogatepass"))
+        return total, ids.hexdigest(), said.hexdigest()
 
 
 class TextDecoder:
-    """Incremental token-to-text machine: bytes become text as soon as a character is whole; word ends become spaces.
+    """Incremental token-to-text machine. State: the bytes of one unfinished character, and what is due before the next token.
 
-    State: the bytes of one unfinished character and whether a space is due.
+    `plain` is what a tokenizer file without a decoder asks for: every token as it stands in the vocabulary, one space
+    between tokens. Otherwise bytes become text as soon as a character is whole, and word ends become spaces.
     """
 
-    def __init__(self, m: MergeList):
-        self.m, self.utf8, self.due = m, codecs.getincrementaldecoder("utf-8")("replace"), False
+    def __init__(self, m: MergeList, plain: bool = False, cache: int = CACHE):
+        self.m, self.plain = m, plain
+        self.special = set(m.special.values())
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+        self.known = Cache(self._whole, cache)
+        self.reset()
+
+    def reset(self) -> None:
+        self.utf8.reset()
+        self.due = self.open = False
 
     def push(self, token: int) -> str:
         text = self.m.text_of.get(token)
         if text is None:
             return ""
-        if token in self.m.special.values():
-            out = self.utf8.decode(b"", True) + (" " if self.due else "") + text
+        due, self.due = " " if self.due else "", True
+        if self.plain:
+            return due + text
+        if token in self.special:
+            out = self.utf8.decode(b"", True) + due + text
             self.utf8.reset()
-            self.due = True
+            self.open = False
             return out
-        ends = bool(self.m.suffix) and text.endswith(self.m.suffix)
+        self.due = ends = bool(self.m.suffix) and text.endswith(self.m.suffix)
         data = bytes(self.m.bytes_of[c] for c in (text[: -len(self.m.suffix)] if ends else text))
-        out = (" " if self.due else "") + self.utf8.decode(data, ends)
+        out = due + self.utf8.decode(data, ends)
         if ends:
             self.utf8.reset()
-        self.due = ends
+        self.open = bool(self.utf8.getstate()[0])
         return out
 
     def end(self) -> str:
         return self.utf8.decode(b"", True)
 
+    def _whole(self, run: str) -> str | None:
+        """Text of a run of ids from the start state; None if it leaves a character unfinished or no space due."""
+        if self.plain:
+            return " ".join([self.m.text_of[i] for i in map(int, run.split()) if i in self.m.text_of]) or None
+        self.reset()
+        text = "".join([self.push(int(x)) for x in run.split()])
+        found = None if self.open or not self.due else text
+        self.reset()
+        return found
+
+    def read(self, runs: list[str]) -> str:
+        """Text of runs of ids, each joined by one space; the state goes on from run to run. Runs after which a space is due
+        and no character is unfinished are kept and not worked out again."""
+        out, known, due, open_ = [], self.known, self.due, self.open
+        if not open_:
+            found = [known[run] for run in runs]
+            if None not in found:
+                self.due, self.open = True, False
+                return " " + " ".join(found) if due else " ".join(found)
+        self.due, self.open = due, open_
+        for run in runs:
+            out += [self.push(int(x)) for x in run.split()]
+        return "".join(out)
+
 
 def _loader(spark, path: str):
-    """The tokenizer file, read on the driver (at most 64 MB) and sent to executors, which need not see its path."""
+    """The whole tokenizer file, read on the driver and sent to executors, which need not see its path."""
     with open(path, encoding="utf-8") as f:
-        spec = f.read(64 << 20)
-    sent = spark.sparkContext.broadcast(spec)
-    return sent
+        return spark.sparkContext.broadcast(f.read())
 
 
 @functools.lru_cache(1)
@@ -306,46 +370,72 @@ def encoder(spec: str) -> Encoder:
     return Encoder(MergeList(spec))
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Token ids of every whole text: doc_id, n_tokens, token_ids."""
+@functools.lru_cache(2)
+def decoder(spec: str, plain: bool) -> TextDecoder:
+    return TextDecoder(encoder(spec).m, plain)
+
+
+def _mapped(docs: DataFrame, tokenizer: str, columns: list[str], doc_id: str, work, kinds: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """doc_id and what work(spec) makes of each row's columns, row by row."""
     sent = _loader(docs.sparkSession, tokenizer)
 
     def run(batches):
-        enc = encoder(sent.value)
+        one = work(sent.value)
         for b in batches:
-            ids = [enc.ids(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "token_ids"])
+            got = [one(*(x.as_py() for x in row)) for row in zip(*(b.column(1 + k) for k in range(len(columns))))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], t) for k, (_, t, _) in enumerate(kinds))], ["doc_id", *(n for n, _, _ in kinds)])
+
+    rows = docs.select(docs[doc_id].alias("doc_id"), *(docs[c].alias(f"c{k}") for k, c in enumerate(columns)))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, _, t in kinds))
+
+
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Token ids of every whole text: doc_id, n_tokens, token_ids."""
+
+    def work(spec):
+        e = encoder(spec)
+        return lambda t: (lambda ids: (len(ids), ids))(e.ids(t))
+
+    return _mapped(docs, tokenizer, [text], doc_id, work, [("n_tokens", pa.int64(), "long"), ("token_ids", pa.list_(pa.int32()), "array<int>")])
+
+
+def encode_and_decode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_tokens, token_ids and decoded, the readable text of the ids as `decode` gives it."""
 
-    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, token_ids array<int>")
+    def work(spec):
+        e, d = encoder(spec), decoder(spec, False)
+
+        def one(t):
+            runs = [run for part in e.runs(t) for n, run in part if n]
+            d.reset()
+            ids = [int(x) for run in runs for x in run.split()]
+            return len(ids), ids, (d.read(runs) if runs else "") + d.end()
+
+        return one
+
+    return _mapped(docs, tokenizer, [text], doc_id, work, [("n_tokens", pa.int64(), "long"), ("token_ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string")])
 
 
 def decode(tokens: DataFrame, tokenizer: str, ids: str = "token_ids", doc_id: str = "doc_id") -> DataFrame:
     """Readable text of token ids: doc_id, text. Lower case, one space after each word: the vocabulary keeps no more."""
-    sent = _loader(tokens.sparkSession, tokenizer)
 
-    def run(batches):
-        m = encoder(sent.value).m
-        for b in batches:
-            texts = []
-            for x in b.column(1).to_pylist():
-                d = TextDecoder(m)
-                texts.append("".join([d.push(i) for i in x or []]) + d.end())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+    def work(spec):
+        d = decoder(spec, False)
 
-    rows = tokens.select(tokens[doc_id].alias("doc_id"), tokens[ids].alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+        def one(x):
+            d.reset()
+            return ("".join([d.push(i) for i in x or []]) + d.end(),)
+
+        return one
+
+    return _mapped(tokens, tokenizer, [ids], doc_id, work, [("text", pa.string(), "string")])
 
 
 def digests(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Encodes and decodes every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    sent = _loader(docs.sparkSession, tokenizer)
+    """Encodes and decodes every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256 (as the file's own decoder has it)."""
 
-    def run(batches):
-        enc = encoder(sent.value)
-        for b in batches:
-            got = [enc.digest(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def work(spec):
+        e, d = encoder(spec), decoder(spec, True)
+        return lambda t: e.digest(t, d)
 
-    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _mapped(docs, tokenizer, [text], doc_id, work, [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")])
