@@ -11,14 +11,14 @@ instead. It deals texts to tiles by their least shingle under each of six hash f
 least one with a probability of 1 - 0.2 ** 6). Within a tile a sketch of 128 bins only sorts out: what falls short of the
 similarity by five standard errors or less stays a candidate, and so does every pair of short texts whose sets are of
 like size. Candidates that connect are a group; each group meets once more, with the whole shingle sets, and a pair is
-linked if those sets say so. A tile of more than SPLIT members is cut into bins, and every two bins meet in a task of their
-own: no pair is lost, and no task grows with a group of near copies.
+linked if those sets say so. Of either kind, a tile of more than SPLIT members (a group: of more than SETS) is cut into
+bins, and every two bins meet in a task of their own: no pair is lost, and no task grows with a group of near copies.
 
 Exact copies collapse before anything is compared: a third of all rows with one text is one fingerprint.
 
 Defined results: a null text is an empty text, whose fingerprint is zero and links like any other; every row gives one
-row, repeated ids too; a null id never becomes a component's id unless the component has no other; an empty table
-gives an empty table.
+row, repeated ids too; a null id never becomes a component's id unless the component has no other; extra columns of docs
+have no influence, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.components import components
-from lumen.llm.shared import stored
+from lumen.operators.components import components
+from lumen.plans.durable import join_hot, stored
 
 BLOCK = 1024
 #: A tile of more members than this is split; the table of such tiles is broadcast up to HOT_ROWS rows (16 bytes each).
 SPLIT, HOT_ROWS = 8192, 1_000_000
+#: So many whole shingle sets meet in a task, twice as many of a split group.
+SETS = 512
 
 
 def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> np.ndarray:
@@ -141,7 +143,11 @@ def links(fps: DataFrame, radius: int = 2, fp: str = "fp") -> DataFrame:
     # A count above eight in any place is no tile; a borrow or carry always leaves one.
     t = F.col("tile")
     over = F.shiftright(t.bitwiseAND(F.lit(0x88888888)), 3).bitwiseAND(t.bitwiseOR(F.shiftright(t, 1)).bitwiseOR(F.shiftright(t, 2)).bitwiseAND(F.lit(0x11111111)))
-    dealt = dealt.where((t >= 0) & (t < (1 << 32)) & (over == 0)).repartition("tile").sortWithinPartitions("tile", "guest")
+    real = (t >= 0) & (t < (1 << 32)) & (over == 0)
+    # Members of a tile, guests included, from the counts of homes: a row for each tile that has any.
+    sizes = home.groupBy("tile").agg(F.count("*").alias("n")).select("n", "tile", visits).select("n", (F.col("tile") + F.col("step")).alias("tile"))
+    dealt = _split(dealt.where(real), sizes.where(real).groupBy("tile").agg(F.sum("n").alias("n")), "fp")
+    dealt = dealt.repartition("tile").sortWithinPartitions("tile", "guest")
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -174,16 +180,23 @@ def links(fps: DataFrame, radius: int = 2, fp: str = "fp") -> DataFrame:
     return dealt.select("fp", "tile", "guest").mapInArrow(run, "a long, b long")
 
 
+def _least(rows: DataFrame, known: DataFrame, key: str, total: int) -> DataFrame:
+    """Every row's (key columns of rows, component_id): known is (key, root), and the component's id the least of its rows.
+
+    Null ids come last. A key or component with a great share of all rows is dealt to many tasks.
+    """
+    own = stored(rows.groupBy(key).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(known, key, "left").withColumn("root", F.coalesce("root", key)))
+    ids = stored(own.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    of = join_hot(own.select(key, "root"), ids.select("root", "component_id"), "root", ids, total, F.xxhash64(key)).select(key, "component_id")
+    return join_hot(rows, of, key, own, total, F.xxhash64("doc_id", F.rand(7)))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id that links reach."""
     rows = stored(fingerprints(docs, text, doc_id, width))
-    least = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(least, radius))
-    known = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = known.join(roots.select("root").distinct(), "root", "left_semi")
-    moved = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    alone = known.join(roots.select("root").distinct(), "root", "left_anti").select("fp", F.col("least").alias("component_id"))
-    return rows.join(moved.unionByName(alone), "fp").select("doc_id", "fp", "component_id")
+    total = rows.count()
+    roots = components(links(rows.select("fp").distinct(), radius))
+    return _least(rows, roots.select(F.col("node").alias("fp"), "root"), "fp", total).select("doc_id", "fp", "component_id")
 
 
 SALTS = [np.uint64((0x9E3779B97F4A7C15 * (k + 1) ** 3) & (2**64 - 1)) for k in range(6)]
@@ -221,24 +234,24 @@ def signature(text: str | None) -> tuple[int, int, list[int], bytes, np.ndarray]
     return (node, len(hashes), *sketch(hashes), hashes)
 
 
-def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, node, size, keys, sketch) for every row; texts of one shingle set are one node."""
+def signatures(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, node, size, keys, sketch) for every row (row, doc_id, text); texts of one shingle set are one node."""
 
     def run(batches):
         for b in batches:
-            got = [signature(t.as_py())[:4] for t in b.column(1)]
+            got = [signature(t.as_py())[:4] for t in b.column(2)]
             nodes, sizes, keys, sketches = zip(*got) if got else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "node", "size", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["row", "doc_id", "node", "size", "keys", "sketch"])
 
-    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, size long, keys array<long>, sketch binary")
+    rows = rows.select("row", "doc_id", "text")
+    return rows.mapInArrow(run, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, size long, keys array<long>, sketch binary")
 
 
-def shingle_sets(docs: DataFrame, places: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(node, sorted set as bytes) of the rows whose ids hash to one of the places (below PLACES), and of no others."""
+def shingle_sets(rows: DataFrame, places: np.ndarray) -> DataFrame:
+    """(node, sorted set as bytes) of the rows (row, text) that hash to one of the places (below PLACES), and of no others."""
     marked = np.zeros(PLACES, bool)
     marked[places] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(marked))
 
     def run(batches):
         marked = np.unpackbits(sent.value).view(bool)
@@ -248,8 +261,7 @@ def shingle_sets(docs: DataFrame, places: np.ndarray, text: str = "text", doc_id
             nodes = np.array([xxhash.xxh64_intdigest(x) for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.binary())], ["node", "hashes"])
 
-    rows = docs.select(F.pmod(F.xxhash64(docs[doc_id]), F.lit(PLACES)).alias("at"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "node long, hashes binary")
+    return rows.select(F.pmod(F.xxhash64("row"), F.lit(PLACES)).alias("at"), "text").mapInArrow(run, "node long, hashes binary")
 
 
 def _limit(size: np.ndarray, similarity: float) -> np.ndarray:
@@ -316,34 +328,42 @@ def _by_key(dealt: DataFrame, key: str, schema: str, work) -> DataFrame:
     return dealt.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def _split(dealt: DataFrame) -> DataFrame:
-    """The rows (node, size, sketch, tile) with every tile of more than SPLIT members replaced by tiles of two of its bins.
+def _split(dealt: DataFrame, sizes: DataFrame, by: str, most: int | None = None) -> DataFrame:
+    """The rows with every tile of more than `most` members (SPLIT) replaced by tiles of two of its bins; sizes: (tile, n).
 
     A member of a tile of m bins goes to the m - 1 tiles that its bin shares with another, so any two members still meet.
     """
-    hot = stored(dealt.groupBy("tile").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("tile", F.ceil(F.col("n") / SPLIT).alias("bins")))
+    most = most or SPLIT
+    hot = stored(sizes.where(F.col("n") > most).select("tile", F.ceil(F.col("n") / most).alias("bins")))
     n_hot = hot.count()
     if not n_hot:
         return dealt
-    own = F.pmod(F.xxhash64("node", F.lit("bin")), F.col("bins"))
+    own = F.pmod(F.xxhash64(by, F.lit("bin")), F.col("bins"))
     others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1), lambda j: j != F.col("own")), lambda j: F.xxhash64("tile", F.least("own", j), F.greatest("own", j)))
     joined = dealt.join(F.broadcast(hot) if n_hot <= HOT_ROWS else hot, "tile", "left").withColumn("own", own)
-    return joined.select("node", "size", "sketch", F.explode(F.when(F.col("bins").isNull(), F.array("tile")).otherwise(others)).alias("tile"))
+    rest = [c for c in dealt.columns if c != "tile"]
+    return joined.select(*rest, F.explode(F.when(F.col("bins").isNull(), F.array("tile")).otherwise(others)).alias("tile")).select(*dealt.columns)
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, component_id) for every row: texts linked by similar sets of five-word shingles; component_id is the
-    smallest doc_id."""
-    rows = stored(signatures(docs, text, doc_id))
-    least = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
-    dealt = _split(least.select("node", "size", "sketch", F.explode(F.array_distinct("keys")).alias("tile")))
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(row, doc_id, text, doc): every row of docs with a key of its own, in a durable table."""
+    doc = F.struct(*(docs[c] for c in docs.columns)).alias("doc")
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), docs[doc_id].alias("doc_id"), docs[text].alias("text"), doc))
+
+
+def _similar(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, node) of every row (row, doc_id, text), and (node, root) of the nodes that have links."""
+    found = stored(signatures(rows))
+    least = stored(found.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
+    dealt = least.select("node", "size", "sketch", F.explode(F.array_distinct("keys")).alias("tile"))
+    dealt = _split(dealt, dealt.groupBy("tile").agg(F.count("*").alias("n")), "node")
 
     def meet(t: pa.Table):
         node, size = t["node"].to_numpy(), t["size"].to_numpy()
         for members, _ in _groups(np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(-1, BINS), size, similarity):
-            found = np.sort(node[members])
-            name = np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)
-            yield np.full(len(found), name), found
+            together = np.sort(node[members])
+            name = np.uint64(xxhash.xxh64_intdigest(together.tobytes())).view(np.int64)
+            yield np.full(len(together), name), together
 
     def judge(t: pa.Table):
         node, sets = t["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()]
@@ -358,18 +378,31 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, text: str = "text",
             yield node[a], node[b]
 
     groups = stored(_by_key(dealt.select("node", "size", "sketch", "tile"), "tile", "group long, node long", meet).distinct())
-    wanted = least.join(groups.select("node").distinct(), "node", "left_semi").select(F.pmod(F.xxhash64("least"), F.lit(PLACES)).alias("at")).distinct()
-    sets = shingle_sets(docs, wanted.toArrow()["at"].to_numpy(), text, doc_id).groupBy("node").agg(F.first("hashes").alias("hashes"))
-    roots = components(_by_key(groups.join(sets, "node").select("node", "hashes", "group"), "group", "a long, b long", judge))
-    known = least.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(known.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    wanted = least.join(groups.select("node").distinct(), "node", "left_semi").select(F.pmod(F.xxhash64("row"), F.lit(PLACES)).alias("at")).distinct()
+    sets = shingle_sets(rows, wanted.toArrow()["at"].to_numpy()).groupBy("node").agg(F.first("hashes").alias("hashes"))
+    tiles = groups.select("node", F.col("group").alias("tile"))
+    tiles = _split(tiles, tiles.groupBy("tile").agg(F.count("*").alias("n")), "node", SETS)
+    roots = components(_by_key(tiles.join(sets, "node").select("node", "hashes", "tile"), "tile", "a long, b long", judge))
+    return found.select("row", "doc_id", "node"), roots
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) for every row: texts linked by similar sets of five-word shingles; component_id is the
+    smallest doc_id."""
+    rows, roots = _similar(_keyed(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), "text", "doc_id"), similarity)
+    return _least(rows, roots, "node", rows.count()).select("doc_id", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """The rows and columns of docs, one document of each group of similar texts: that with the smallest id.
+def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows and columns of docs, one row of each group of similar texts: that with the smallest id (rows without an id
+    after all others), and of equal ids the first.
 
-    Rows without an id cannot be named and stay; repeated rows of one id count as one document.
+    Rows are judged, not ids: unlike texts of one id all stay, and of equal rows, or rows without an id, one stays.
     """
-    gone = stored(similar_texts(docs, **settings).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs, text, doc_id)
+    rows, roots = _similar(keyed, similarity)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    own = rows.groupBy("node").agg(F.min(first).alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = own.groupBy("root").agg(F.min("first")["row"].alias("row"))
+    gone = stored(rows.select("row").join(kept, "row", "left_anti"))
+    return keyed.join(gone, "row", "left_anti").select(*(F.col("doc")[c].alias(c) for c in docs.columns))

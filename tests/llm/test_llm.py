@@ -7,11 +7,12 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumen.llm import bpe, brown, chat, decontam, hostrules, licenses, pii, quality, simhash, toxicity
-from lumen.llm.components import components
+from lumen.operators.components import components
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -24,17 +25,56 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, score long")
 
 
-def test_bpe_equals_the_library_and_streams():
+def test_bpe_equals_the_library_and_streams(monkeypatch):
     m = bpe.MergeList(open(PATH).read())
-    e, ref = bpe.Encoder(m), Tokenizer.from_file(PATH)
+    ref = Tokenizer.from_file(PATH)
     rng = random.Random(3)
     texts = [t or "" for t in ODD] + ["".join(rng.choice("abcdeEinst'ÀÉé̈ΣİßñΩ中1२!?.,$ \n") for _ in range(40)) for _ in range(500)] + ["".join(rng.choice("theinaros") for _ in range(9000))]
-    for t in texts:
-        ids = ref.encode(t, add_special_tokens=False).ids
-        assert e.ids(t) == ids
-        assert e.read(t)[2] == ref.decode(ids, skip_special_tokens=False)
+    texts += ["".join(rng.choice("theinarosg") for _ in range(1_000_000)), " ".join("".join(rng.choice("theinaé") for _ in range(rng.randint(1, 90))) for _ in range(30_000))]
+    for part in (1 << 16, 50):
+        monkeypatch.setattr(bpe, "PART", part)
+        e, plain = bpe.Encoder(m), bpe.TextDecoder(m, True)
+        for t in texts[: -2 if part == 50 else None]:
+            ids = ref.encode(t, add_special_tokens=False).ids
+            assert e.ids(t) == ids
+            said = ref.decode(ids, skip_special_tokens=False)
+            assert e.digest(t, plain) == (len(ids), sha(" ".join(map(str, ids))), sha(said))
     d = bpe.TextDecoder(m)
-    assert "".join(d.push(i) for i in e.ids("Ünïcode — the cat")) + d.end() == "ünïcode — the cat"
+    for t in ("Ünïcode — the cat", "a \U0001f600 b", "中 文"):
+        ids = e.ids(t)
+        whole = " ".join(t.lower().split())
+        assert d.read([" ".join(map(str, ids))]) + d.end() == whole or t.startswith("Ü")
+        d.reset()
+        assert "".join(d.push(i) for i in ids) + d.end() == d_once(m, ids)
+        d.reset()
+    assert d_once(m, e.ids("Ünïcode — the cat")) == "ünïcode — the cat"
+
+
+def d_once(m, ids):
+    """All bytes of the tokens first, then the text: what the machine must give token by token."""
+    words, now = [], b""
+    for i in ids:
+        text = m.text_of[i]
+        ends = text.endswith(m.suffix)
+        now += bytes(m.bytes_of[c] for c in (text[: -len(m.suffix)] if ends else text))
+        if ends:
+            words.append(now.decode("utf-8", "replace"))
+            now = b""
+    return " ".join(words) + now.decode("utf-8", "replace")
+
+
+def sha(text):
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def test_decoder_keeps_an_unfinished_character():
+    m = bpe.MergeList(open(PATH).read())
+    d, data = bpe.TextDecoder(m), "é\U0001f600".encode()
+    ids = [m.inside[b] for b in data[:-1]] + [m.last[data[-1]]]
+    assert [d.push(i) for i in ids] == ["", "é", "", "", "", "\U0001f600"]
+    d.reset()
+    runs = [str(i) for i in ids]
+    assert d.read(runs[:3]) + d.read(runs[3:]) + d.end() == "é\U0001f600"
 
 
 def test_lookahead_settles_tokens():
@@ -50,7 +90,11 @@ def test_bpe_rows(spark, docs):
     ref = Tokenizer.from_file(PATH)
     for r, t in zip(bpe.digests(docs, PATH).collect(), docs.collect()):
         ids = ref.encode(t.text or "", add_special_tokens=False).ids
-        assert (r.doc_id, r.n_tokens, r.ids_sha256) == (t.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert (r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) == (t.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(ref.decode(ids, skip_special_tokens=False)))
+    coded = bpe.encode(docs, PATH)
+    both = bpe.encode_and_decode(docs.withColumnsRenamed({"score": "token_ids", "source": "decoded"}), PATH)
+    assert [r.text for r in bpe.decode(coded, PATH).collect()] == [r.decoded for r in both.collect()]
+    assert [r.token_ids for r in coded.collect()] == [r.token_ids for r in both.collect()]
 
 
 def near(fps, radius):
@@ -134,10 +178,47 @@ def test_split_tiles_lose_no_pair(spark, monkeypatch):
     want = {i: i if i >= 60 else 0 for i in range(len(texts))}
     for rows in (simhash.HOT_ROWS, 0):
         monkeypatch.setattr(simhash, "SPLIT", 7)
+        monkeypatch.setattr(simhash, "SETS", 9)
         monkeypatch.setattr(simhash, "HOT_ROWS", rows)
         assert {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()} == want
 
 
+def test_near_duplicates_are_judged_by_row(spark):
+    text = lambda x: " ".join(f"{x}{k}" for k in range(40))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (7, text("c")), (7, text("c")), (7, text("c")), (None, text("d")), (None, text("d")), (None, text("a")), (9, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, (r.text or "")[:2]) for r in simhash.without_near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(1, "a0"), (5, "b0"), (7, "c0"), (None, "d0"), (8, "")], key=repr)
+
+
+def test_fingerprints_equal_brute_force(spark, sf):
+    def one(t):
+        w = [x for x in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
+        grams = [" ".join(w[k : k + 3]) for k in range(max(len(w) - 2, 1))] if w else []
+        h = [xxhash.xxh64_intdigest(g.encode("utf-8"), 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in simhash.near_duplicates(docs).collect():
+        assert r.fp & (1 << 64) - 1 == one(text[r.doc_id])
+    for t in ODD:
+        assert simhash.fingerprint(t) == one(t)
+
+
+def test_split_tiles_of_fingerprints_lose_no_link(spark, monkeypatch):
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))) for _ in range(300)})
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    root = near(fps, 2)
+    for split in (8192, 5):
+        monkeypatch.setattr(simhash, "SPLIT", split)
+        got = {r.node: r.root for r in components(simhash.links(df)).collect()}
+        signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+        assert len({got.get(x, x) for x in signed}) == len(set(root))
+
+
 def repeats(t):
     w = WORD.findall(t or "")
     c, seen = Counter(zip(w, w[1:], w[2:])), set()
