@@ -6,10 +6,13 @@ up to the places (code points).
 
 Method: information-theoretic sanitisation. A protected entity is the value of a base span. How strongly a term t
 reveals an entity e is estimated from the corpus: the share of e's information that t gives,
-log(p(t, e) / (p(t) p(e))) / -log p(e), over documents. Terms are runs of four letters or more; those within `reach`
-runs of a span meet its entity. Those that meet an entity in at least `support` distinct texts and give `disclosure` of its information or more are spans of the kind
-"term"; sanitising generalises entities to their kind and removes such terms. Counts cover all documents, nothing is
-capped; candidates are aggregated before they are joined.
+log(p(t, e) / (p(t) p(e))) / -log p(e), over whole documents. Terms are runs of letters, in lower case, of any length.
+Those that stand with an entity in at least `support` distinct texts and give `disclosure` of its information or more are,
+wherever they stand in a text that holds the entity, spans of the kind "term"; sanitising generalises entities to their
+kind and removes such terms. Counts cover all documents, nothing is capped.
+
+An entity of fewer than `support` distinct texts can have no such term, so only the others' texts are spread into terms, each
+distinct text once with the number of its copies. An entity, or a text, with a great share of all rows is dealt to many tasks.
 
 Defined results: a null text is empty; every row gives one row, repeated and null ids too; exact copies of a text count
 once for the support; an empty table gives an empty table. Of overlapping spans all are listed; sanitising replaces the
@@ -18,10 +21,10 @@ leftmost, and of those the longest, and drops what overlaps it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumen.plans.durable import stored
+from lumen.plans.durable import join_hot, stored
 
 #: The four patterns. Loops that nothing follows are possessive, and a run is entered only at its start or where the
 #: last match ended; both find the same matches without recursion or restarts in long runs.
@@ -36,6 +39,8 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = tuple(PATTERNS)
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
 TERM = "\\p{L}+"
+#: Candidate terms up to this many are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def _digits(match: Column) -> Column:
@@ -92,67 +97,78 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("base", F.concat(*(_spans_of(k, t) for k in KINDS)))
 
 
-def contexts(rows: DataFrame, reach: int = 8, letters: int = 240) -> DataFrame:
-    """One row for each term near a base span: row, copy, value, term, start, end.
-
-    The `reach` runs of letters before and after a span count, as far as they lie whole within `letters` code points;
-    those under four letters are no terms, nor is what overlaps a base span.
-    """
-    s, size = F.col("s"), F.lit(letters)
-    spans = rows.select("row", "copy", "text", "base", F.explode("base").alias("s"))
-    begin = F.greatest(F.lit(0).cast("long"), s["start"] - size)
-    before = F.substring(F.col("text"), (begin + 1).cast("int"), (s["start"] - begin).cast("int"))
-    after = F.substring(F.col("text"), (s["end"] + 1).cast("int"), size)
-    cut = spans.select("row", "copy", s["value"].alias("value"), "base", F.explode(F.array(
-        F.struct(begin.alias("at"), before.alias("part"), F.lit(True).alias("left")),
-        F.struct(s["end"].alias("at"), after.alias("part"), F.lit(False).alias("left")))).alias("c"))
-    cut = cut.withColumn("words", F.regexp_extract_all(F.col("c.part"), F.lit(TERM), F.lit(0))).withColumn("gaps", F.split(F.col("c.part"), TERM, -1))
-    cut = cut.select("row", "copy", "value", "base", F.col("c.at").alias("at"), F.col("c.left").alias("left"), F.size("words").alias("n"), "gaps", "words", F.posexplode("words").alias("k", "word"))
-    lengths = lambda col, n: F.aggregate(F.slice(F.col(col), F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-    start = F.col("at") + lengths("gaps", F.col("k") + 1) + lengths("words", F.col("k"))
-    near = F.when(F.col("left"), F.col("k") >= F.greatest(F.lit(1), F.col("n") - reach)).otherwise(F.col("k") < F.least(F.col("n") - 1, F.lit(reach)))
-    found = cut.where(near & (F.length("word") >= 4)).select("row", "copy", "value", "base", start.alias("start"), (start + F.length("word")).alias("end"), F.lower("word").alias("term"))
-    return found.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).select("row", "copy", "value", "term", "start", "end")
-
-
-def disclosing(rows: DataFrame, near: DataFrame, disclosure: float = 0.5, support: int = 2) -> DataFrame:
-    """(value, term, share): terms that give `disclosure` of an entity's information or more, from at least `support` texts.
-
-    Words are counted in every task before they are shuffled.
-    """
-    pairs = stored(near.groupBy("value", "term").agg(F.count_distinct("copy").alias("n_copies"), F.count_distinct("row").alias("n_both")).where(F.col("n_copies") >= support))
-    values = rows.where(F.size("base") > 0).select(F.explode(F.array_distinct("base.value")).alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda w: F.length(w) >= 4))
-    held = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+def _terms(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^\\p{L}]+"), lambda w: w != ""))
+
+
+def _by_value(texts: DataFrame, known: DataFrame, counts: DataFrame) -> DataFrame:
+    """texts (copy, value, ...) joined with known by value; counts: (value, n_copies) of the values in question."""
+    n = counts.select("value", F.col("n_copies").alias("n"))
+    total = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_hot(texts, known, "value", n, total, F.col("copy"))
+
+
+def disclosing(rows: DataFrame, one: DataFrame, disclosure: float = 0.5, support: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(value, term, share) of the terms that give `disclosure` of an entity's information or more, and (value, n_copies) of
+    the entities in `support` distinct texts or more. `one` has each distinct text with base spans once: copy, w, text, base."""
+    spread = one.select("copy", "w", F.explode(F.array_distinct("base.value")).alias("value"))
+    values = stored(spread.groupBy("value").agg(F.sum("w").alias("n_value"), F.count("*").alias("n_copies")).where(F.col("n_copies") >= support))
+    texts = one.select("copy", "w", "text", F.explode(F.array_distinct("base.value")).alias("value"))
+    with_terms = _by_value(texts, values.select("value"), values).select("value", "w", F.explode(_terms(F.col("text"))).alias("term"))
+    pairs = stored(with_terms.groupBy("value", "term").agg(F.sum("w").alias("n_both"), F.count("*").alias("n_copies")).where(F.col("n_copies") >= support))
+    candidates = stored(pairs.select("term").distinct())
+    n_candidates = candidates.count()
+    held = rows.select(F.explode(_terms(F.col("text"))).alias("term"))
+    if n_candidates == 0:
+        held = held.limit(0)
+    elif n_candidates <= BROADCAST_ROWS:
+        held = held.join(F.broadcast(candidates), "term", "left_semi")
+    held = held.groupBy("term").agg(F.count("*").alias("n_term"))
     total = rows.agg(F.count("*").alias("n"))
-    joined = pairs.join(held, "term").join(values, "value").crossJoin(F.broadcast(total))  # one row
+    joined = pairs.join(held, "term").join(values.select("value", "n_value"), "value").crossJoin(F.broadcast(total))  # one row
     n, both = F.col("n").cast("double"), F.col("n_both")
     share = F.when(F.col("n_value") >= F.col("n"), F.lit(0.0)).otherwise(F.log(both * n / (F.col("n_term") * F.col("n_value"))) / F.log(n / F.col("n_value")))
-    return joined.select("value", "term", share.alias("share")).where(F.col("share") >= disclosure)
-
-
-def find(docs: DataFrame, text: str = "text", disclosure: float = 0.5, support: int = 2, reach: int = 8) -> DataFrame:
+    return stored(joined.select("value", "term", share.alias("share")).where(F.col("share") >= disclosure)), values
+
+
+def occurrences(one: DataFrame, known: DataFrame, values: DataFrame) -> DataFrame:
+    """(copy, terms): the places of the known terms (value, term) in every text (copy, text, base) that holds their entity,
+    outside base spans, by start. Runs of letters are numbered and their lengths summed up in order, text by text."""
+    entities = one.select("copy", F.explode(F.array_distinct("base.value")).alias("value"))
+    wanted = _by_value(entities, known.select("value", "term"), values).select("copy", "term").distinct()
+    texts = one.join(wanted.select("copy").distinct(), "copy", "left_semi")
+    words, gaps = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
+    runs = texts.select("copy", F.posexplode(F.arrays_zip(gaps.alias("gap"), words.alias("word"))).alias("k", "r")).where("r.word is not null")
+    before = Window.partitionBy("copy").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.length("r.gap") + F.length("r.word")).over(before)
+    runs = runs.select("copy", F.lower("r.word").alias("term"), (end - F.length("r.word")).alias("start"), end.alias("end"))
+    span = F.struct(F.lit("term").alias("kind"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("term").alias("value"))
+    lists = runs.join(wanted, ["copy", "term"], "left_semi").groupBy("copy").agg(F.array_sort(F.collect_list(span), lambda x, y: F.when(x["start"] < y["start"], -1).otherwise(1)).alias("terms"))
+    free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    return lists.join(one.select("copy", "base"), "copy").select("copy", free.alias("terms"))
+
+
+def find(docs: DataFrame, text: str = "text", disclosure: float = 0.5, support: int = 2) -> DataFrame:
     """The rows with `spans`: array of (kind, start, end, value), base kinds as listed, then terms, each by start.
 
     Other columns stay, whatever their names; one named spans gives way. The rows are held in a durable table, since the
     spans of the corpus decide on each text.
     """
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.expr("uuid()").alias("row"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row"), F.coalesce(docs[text], F.lit("")).alias("text"))
     rows = stored(base_spans(rows).withColumn("copy", F.xxhash64("text", F.reverse("text"))))
-    found = _with_terms(rows, disclosure, support, reach)
+    one = stored(rows.where(F.size("base") > 0).groupBy("copy").agg(F.count("*").alias("w"), F.first("text").alias("text"), F.first("base").alias("base")))
+    known, values = disclosing(rows, one, disclosure, support)
+    terms = stored(occurrences(one, known, values))
+    counts = one.join(terms.select("copy"), "copy", "left_semi").select("copy", F.col("w").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = join_hot(rows, terms, "copy", counts, total, F.col("row"), how="left")
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
+    found = found.withColumn("spans", F.concat("base", F.coalesce("terms", none)))
     others = [c for c in docs.columns if c.lower() not in (text.lower(), "spans")]
     return found.select(*(F.col("doc")[c].alias(c) for c in others), F.col("text").alias(text), "spans")
 
 
-def _with_terms(rows: DataFrame, disclosure: float, support: int, reach: int) -> DataFrame:
-    near = stored(contexts(rows.where(F.size("base") > 0), reach))
-    known = disclosing(rows, near, disclosure, support)
-    terms = near.join(known, ["value", "term"], "left_semi").select("row", F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value")).alias("s")).distinct()
-    terms = terms.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("terms"))
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
-    return rows.join(terms, "row", "left").withColumn("spans", F.concat("base", F.coalesce("terms", none))).drop("terms")
-
-
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind's label; removed terms leave their label too."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], (-s["end"]).alias("back"), s["kind"])))

@@ -245,9 +245,75 @@ def test_personal_data_and_sanitising(spark, docs):
     assert [(s.kind, s.start, s.end) for s in got[8]] == [("email", 0, 5), ("email", 5, 11), ("email", 12, 17)]
     assert [s.kind for s in got[9]] == ["ip", "card", "phone"]
     assert pii.sanitise(docs).where("doc_id = 9").first().text == "<CARD>, 999.1.1.1 <IP> <PHONE>"
-    rows = [(k, f"the secretword wrote from bob@x.org today and {k} again") for k in range(5)] + [(9 + k, "today nothing wrote again the from") for k in range(40)]
-    terms = {s.value for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.spans if s.kind == "term"}
-    assert "secretword" in terms and "today" not in terms
+
+
+PERSONAL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in PERSONAL.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            out += [(kind, m.start(), m.end(), m[0])] if ok else []
+    return out
+
+
+def disclosed(texts, disclosure=0.5, support=2):
+    """All spans of every text by plain counting."""
+    runs = [[(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t or "")] for t in texts]
+    base = [base_spans(t) for t in texts]
+    n, values, terms, both, copies = len(texts), Counter(), Counter(), Counter(), {}
+    for t, r, b in zip(texts, runs, base):
+        own, here = {x[3] for x in b}, {x[0] for x in r}
+        values.update(own)
+        terms.update(here)
+        for pair in ((v, w) for v in own for w in here):
+            both[pair] += 1
+            copies.setdefault(pair, set()).add(t)
+    known = {(v, w) for (v, w), k in both.items() if len(copies[v, w]) >= support and values[v] < n and np.log(k * n / (terms[w] * values[v])) / np.log(n / values[v]) >= disclosure}
+    out = []
+    for r, b in zip(runs, base):
+        own = {x[3] for x in b}
+        free = [x for x in r if not any(s < x[2] and e > x[1] for _, s, e, _ in b)]
+        out.append(b + [("term", s, e, w) for w, s, e in free if any((v, w) in known for v in own)])
+    return out
+
+
+def test_base_spans_equal_plain_patterns(spark, sf, docs):
+    for df in (docs, spark.read.parquet(f"{sf}/documents.parquet")):
+        for r in pii.base_spans(df.select("text")).collect():
+            assert [tuple(s) for s in r.base] == base_spans(r.text)
+
+
+def test_disclosing_terms_equal_plain_counting(spark, monkeypatch):
+    rng = random.Random(7)
+    fill = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    people = {"johannes@firm.org": ["Johannes", "Vogelsang", "Li"], "+49 30 1234567": ["Ümit"], "10.0.0.1": ["gateway"]}
+    texts = []
+    for entity, names in people.items():
+        for k in range(6):
+            body = rng.choices(fill, k=30)
+            texts.append(" ".join([names[0], *body[: 5 * k], entity, *body[5 * k :], *names[1:]]) if k else f"{names[0]}: {entity}{' x' * k}")
+    texts += [texts[0]] * 3 + [None, ""] + [" ".join(rng.choices(fill, k=20)) for _ in range(60)] + ["Johannes alone", "mail lonely@once.org Lonely"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = disclosed([t or "" for t in texts])
+    for least in (pii.BROADCAST_ROWS, 1):
+        monkeypatch.setattr(pii, "BROADCAST_ROWS", least)
+        got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(df).collect()}
+        assert got == dict(enumerate(want))
+    marked = {s[3] for spans in want for s in spans if s[0] == "term"}
+    assert {"johannes", "vogelsang", "li", "ümit", "gateway"} <= marked and not any(s[3] == "johannes" for s in want[-2])
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[0] == "<TERM>: <EMAIL>" and clean[len(texts) - 2] == "Johannes alone"
 
 
 def test_snapshots_collapse(spark):
