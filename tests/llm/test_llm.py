@@ -337,15 +337,69 @@ def test_licenses_know_texts_and_usual_notices(spark):
     assert got[1][0] == "MIT" and got[2][0] == "ISC" and got[3] == (None, 2, "MIT")
 
 
-def test_decontamination_equals_brute_force(spark, sf):
+def brute_leaks(docs, items, threshold=0.6, least=0.8):
+    """All matches by scoring every passage against every item."""
+    words = {k: decontam.WORD.findall((t or "").lower()) for k, t in items.items()}
+    words = {k: w for k, w in words.items() if w}
+    n, longest, mean = len(words), max(map(len, words.values())), sum(map(len, words.values())) / len(words)
+    df = Counter(x for w in words.values() for x in set(w))
+    idf = {x: np.log(1 + (n - c + 0.5) / (c + 0.5)) for x, c in df.items()}
+    weight = {}
+    for k, w in words.items():
+        own = {x: idf[x] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, c in Counter(w).items()}
+        weight[k] = {x: v / sum(own.values()) for x, v in own.items()}
+    out = {}
+    for d, t in docs:
+        w = decontam.WORD.findall((t or "").lower())
+        for at in range(0, len(w), longest):
+            part = w[at : at + 2 * longest]
+            here, held = set(part), decontam.shingles(part) if len(part) >= 5 else {tuple(part)}
+            for k, own in weight.items():
+                score = sum(v for x, v in own.items() if x in here)
+                if score >= threshold - 1e-9:
+                    q, a = decontam.parts(items[k])
+                    shares = [decontam.Index._share(decontam.shingles(x), held, part) for x in (q, a, q + a)]
+                    if shares[2] >= least or min(shares[:2]) >= least:
+                        out[d, k] = max(out.get((d, k), (0.0,)), (score, *shares))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, sf, monkeypatch):
     d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
-    got = {(r.doc_id, r.item_id) for r in decontam.matches(d, b).collect()}
-    items = {r.item_id: decontam.shingles(decontam.WORD.findall(r.text.lower())) for r in b.collect()}
-    want = set()
-    for r in d.collect():
-        held = decontam.shingles(decontam.WORD.findall((r.text or "").lower()))
-        want |= {(r.doc_id, i) for i, s in items.items() if len(s & held) >= 0.8 * len(s)}
-    assert got >= want and len(got - want) <= 1
+    want = brute_leaks([(r.doc_id, r.text) for r in d.collect()], {r.item_id: r.text for r in b.collect()})
+    assert want
+    for shard, block in ((decontam.SHARD, 64), (decontam.SHARD, 3), (1500, 64)):
+        monkeypatch.setattr(decontam, "SHARD", shard)
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        got = {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontam.matches(d, b).collect()}
+        assert set(got) == set(want)
+        for k, v in got.items():
+            assert v == pytest.approx(want[k])
+        kept = decontam.without_leaks(d, b)
+        assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in d.select("doc_id").collect()} - {k for k, _ in want}
+
+
+def test_block_maxima_skip_no_item():
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choices(vocab, weights=[1 / (j + 1) for j in range(60)], k=rng.randint(1, 14)))) for k in range(300)]
+    index = decontam.Index(items, decontam.Statistics.of(t for _, t in items), threshold=0.5)
+    for _ in range(8):
+        terms = [np.array(sorted(rng.sample(range(len(index.vocab)), rng.randint(1, 25)))) for _ in range(6)]
+        passage = np.repeat(np.arange(6), [len(t) for t in terms])
+        got = {(p, i): s for p, i, s in zip(*(x.tolist() for x in index.candidates(passage, np.concatenate(terms))))}
+        names = list(index.vocab)
+        want = {}
+        for i, (_, q, a) in enumerate(index.items):
+            for p, ts in enumerate(terms):
+                score = sum(index.weight[np.flatnonzero((index.item == i) & (posting_terms(index) == t))].sum() for t in ts if names[t] in q + a)
+                if score >= 0.5 - 1e-9:
+                    want[p, i] = score
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def posting_terms(index):
+    return np.repeat(index.cell // index.n_blocks, np.diff(index.cell_start))
 
 
 def test_class_lm_base_is_exact_and_blocks_do_not_matter(spark, sf, docs):
