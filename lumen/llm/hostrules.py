@@ -8,7 +8,7 @@ SALTS tasks.
 
 Defined results: a null text has no words (and so fails the base rules); a null host has no verdict and its documents
 stay if they pass the base rules; every row gives one row, repeated and null ids too; an empty table gives an empty
-table. Counts of words are whole texts', of any length up to 16 million words.
+table. Counts of words are whole texts', of any length.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from lumen.plans.durable import stored
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: A host's documents are dealt to so many tasks when its verdict is joined back; verdicts, one a host, are repeated as often.
 SALTS = 32
+#: Bits for the place of a window beside its hash.
+PLACE_BITS = 24
 #: A document fails a rule; the first two are the base rules.
 RULES = {
     "short": "n_words < 50",
@@ -29,22 +31,30 @@ RULES = {
 }
 
 
-def _near_equal(sorted_col: str) -> Column:
-    """Places of the packed values that share their upper 40 bits with a neighbour in sorted order."""
+def _near_equal(sorted_col: str, bits: int) -> Column:
+    """Places of the packed values that share all but their lower bits with a neighbour in sorted order."""
     s = F.col(sorted_col)
 
     def same(x: Column, k: Column) -> Column:
-        return F.coalesce(F.shiftrightunsigned(x.bitwiseXOR(F.get(s, k)), 24) == 0, F.lit(False))
+        return F.coalesce(F.shiftrightunsigned(x.bitwiseXOR(F.get(s, k)), bits) == 0, F.lit(False))
 
-    low = F.lit((1 << 24) - 1).cast("long")
+    low = F.lit((1 << bits) - 1).cast("long")
     return F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x.bitwiseAND(low))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+def _equal(sorted_col: str) -> Column:
+    """Places of the (hash, place) pairs that share their hash with a neighbour in sorted order."""
+    s = F.col(sorted_col)
+    same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+    return F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["k"])
+
+
+def measure(docs: DataFrame, text: str = "text", bits: int = PLACE_BITS) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) to the rows; drops nothing.
 
-    Windows of three words are compared by 64-bit hashes: sorted once by their lower and once by their upper 40 bits
-    (packed with the place in the text), and only what is found twice in both orders counts.
+    Windows of three words are compared by 64-bit hashes: sorted once by their lower and once by their upper 64 - bits
+    (packed with the place in the text), and only what is found twice in both orders counts. Texts of more than 2 ** bits
+    windows, whose places do not fit, are sorted as pairs of hash and place, with the same result.
     """
     t = F.coalesce(docs[text], F.lit(""))
     rows = docs.withColumn("_t", t)
@@ -53,10 +63,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     w = F.col("_w")
     hashes = F.transform(F.when(F.size(w) >= 3, F.slice(w, 1, F.size(w) - 2)).otherwise(F.array().cast("array<string>")), lambda x, k: F.xxhash64(x, F.get(w, k + 1), F.get(w, k + 2)))
     rows = rows.withColumn("_h", hashes)
-    low = F.lit((1 << 24) - 1).cast("long")
-    rows = rows.withColumn("_a", F.sort_array(F.transform("_h", lambda h, k: F.shiftleft(h, 24).bitwiseOR(k.cast("long")))))
-    rows = rows.withColumn("_b", F.sort_array(F.transform("_h", lambda h, k: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(k.cast("long")))))
-    rows = rows.withColumn("_p", F.sort_array(F.array_intersect(_near_equal("_a"), _near_equal("_b"))))
+    low, fits = F.lit((1 << bits) - 1).cast("long"), F.size("_h") <= 1 << bits
+    rows = rows.withColumn("_a", F.when(fits, F.sort_array(F.transform("_h", lambda h, k: F.shiftleft(h, bits).bitwiseOR(k.cast("long"))))))
+    rows = rows.withColumn("_b", F.when(fits, F.sort_array(F.transform("_h", lambda h, k: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(k.cast("long"))))))
+    rows = rows.withColumn("_c", F.when(~fits, F.sort_array(F.transform("_h", lambda h, k: F.struct(h.alias("h"), k.cast("long").alias("k"))))))
+    rows = rows.withColumn("_p", F.sort_array(F.coalesce(F.array_intersect(_near_equal("_a", bits), _near_equal("_b", bits)), _equal("_c"))))
     p = F.col("_p")
     covered = F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3).cast("long"), x - F.coalesce(F.get(p, k - 1), F.lit(-3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select(
