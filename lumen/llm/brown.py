@@ -37,6 +37,8 @@ from lumen.plans.durable import stored
 OTHER = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WORD = re.compile("[^ \t-\r]+")
 SHARE, LEAST, CLASSES, SWEEPS, FLUSH, MIX = 2e-4, 5, 48, 10, 400_000, 5.0
+#: A block ends with FLUSH different words or so many tokens, whichever comes first.
+TOKENS = 4_000_000
 #: Rows that workers build or hold at once.
 SLICE = 4096
 #: A word's neighbours: place (the symbol before, or past all symbols the one after) and count.
@@ -84,7 +86,7 @@ def encode(rows: DataFrame, frequent: list[str]) -> DataFrame:
     def run(batches):
         k = len(sent.value)
         fixed = {w: i for i, w in enumerate(sent.value)}
-        known, pairs, seen, around = dict(fixed), {}, 0, []
+        known, pairs, seen, around, size = dict(fixed), {}, 0, [], 0
         block = uuid.uuid4().int >> 65
         names = ["kind", "block", "doc_id", "held", "tokens", "word", "at", "n", "cells"]
 
@@ -122,13 +124,14 @@ def encode(rows: DataFrame, frequent: list[str]) -> DataFrame:
                 if not b.column(2)[i].as_py():
                     first.append(np.concatenate((np.minimum(seq, k), [k + 1])))
                     raw.append(seq)
-                if len(known) - k > FLUSH:
+                size += len(seq)
+                if len(known) - k > FLUSH or size > TOKENS:
                     # The texts so far go out with their dictionary; a new block begins with the next text.
                     yield table(0, len(out) - seen, id_kind, doc_id=b.column(0)[seen : i + 1], held=b.column(2)[seen : i + 1], tokens=pa.array(out[seen:], pa.binary()))
                     _count(first, k, pairs)
                     _meet(raw, k, around)
                     yield from flush(id_kind)
-                    known, pairs, seen, first, raw = dict(fixed), {}, i + 1, [], []
+                    known, pairs, seen, first, raw, size = dict(fixed), {}, i + 1, [], [], 0
                     block = uuid.uuid4().int >> 65
             yield table(0, len(out) - seen, id_kind, doc_id=b.column(0)[seen:], held=b.column(2)[seen:], tokens=pa.array(out[seen:], pa.binary()))
             _count(first, k, pairs)
@@ -337,7 +340,9 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_fold
     classed = counts.join(tail.select("word", "class"), "word", "left")
     own = coded.where("kind = 1").select("block", "word", "at").join(classed, "word", "left").select("block", F.lit(1).alias("kind"), "at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(rare)).alias("class"))
     texts = coded.where("kind = 0").select("block", F.lit(0).alias("kind"), "doc_id", "held", "tokens")
-    dealt = texts.unionByName(own, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.desc("kind"))
+    # Blocks are of like size; a task gets some TOKENS of them, however many there are.
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TOKENS))
+    dealt = texts.unionByName(own, allowMissingColumns=True).repartition(parts, "block").sortWithinPartitions("block", F.desc("kind"))
     known_end = int(n_texts > 0)
 
     def run(batches):

@@ -229,8 +229,9 @@ def repeats(t):
 
 
 def test_host_rules_count_like_python(docs):
-    for r, t in zip(hostrules.measure(docs).collect(), docs.collect()):
-        assert (r.n_words, r.n_repeat_words) == repeats(t.text)
+    for bits in (hostrules.PLACE_BITS, 3):  # places that do not fit in the bits beside a hash are kept apart
+        for r, t in zip(hostrules.measure(docs, bits=bits).collect(), docs.collect()):
+            assert (r.n_words, r.n_repeat_words) == repeats(t.text)
 
 
 def test_host_verdict_is_shrunk(spark):
@@ -322,6 +323,15 @@ def test_snapshots_collapse(spark):
     assert set(got) == {2, 4, None} and got[2][:2] == (2, 2) and got[2][2].startswith("<|im_start|>user\nhi<|im_end|>\n")
 
 
+def test_turns_without_a_conversation_and_ties(spark):
+    turns = [(None, 0, "user", "hi"), (None, 0, "user", "hi"), (None, 5, "user", "<|im_end|>"), (7, 1, "b", "x"), (7, 1, "a", "y"), (7, 1, "a", "y"), (8, None, "user", "ho"), (9, 0, "user", "hi")]
+    df = spark.createDataFrame([(*t, k) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string, own int")
+    got = sorted(((r.conv_id, r.n_turns, r.n_copies, r.rendered) for r in chat.render(df).collect()), key=repr)
+    one = lambda *t: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in t)
+    assert got == sorted([(9, 1, 3, one(("user", "hi"))), (None, 1, 1, one(("user", "< |im_end|>"))), (7, 3, 1, one(("a", "y"), ("a", "y"), ("b", "x"))), (8, 1, 1, one(("user", "ho")))], key=repr)
+    assert chat.render(df.limit(0)).count() == 0
+
+
 def test_licenses_match_canonical_texts(spark):
     rows = [(1, "(c) 2020 Someone\nreleased under the MIT  licence"), (2, "words\nLicensed under CC BY-NC 4.0.\n"), (3, None)]
     got = {r.doc_id: (r.license, r.line_licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -402,16 +412,22 @@ def posting_terms(index):
     return np.repeat(index.cell // index.n_blocks, np.diff(index.cell_start))
 
 
-def test_class_lm_base_is_exact_and_blocks_do_not_matter(spark, sf, docs):
-    whole = {r.doc_id: r for r in brown.score(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
-    keep, brown.FLUSH = brown.FLUSH, 500
-    try:
-        parts = {r.doc_id: r for r in brown.score(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
-    finally:
-        brown.FLUSH = keep
-    for k, r in whole.items():
-        assert parts[k].base_score == pytest.approx(r.base_score) and parts[k].n_known == r.n_known
-    assert brown.score(docs).count() == docs.count()
+def test_class_lm_base_is_exact_and_blocks_do_not_matter(spark, sf, docs, monkeypatch):
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for df in (table, docs.select("doc_id", "text")):
+        rows = [(r.doc_id, [w for w in WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or ""))]) for r in df.collect()]
+        held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 5 == 1
+        counts = Counter(w for k, ws in rows if not held(k) for w in [*ws, None])
+        n, v = sum(counts.values()), len(counts)
+        want = sorted((repr(k), held(k), len(ws) + 1, sum(counts[w] > 0 for w in [*ws, None]), n, round(sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*ws, None]), 5)) for k, ws in rows)
+        scores = []
+        for flush, tokens in ((400_000, 4_000_000), (500, 4_000_000), (400_000, 300)):
+            monkeypatch.setattr(brown, "FLUSH", flush)
+            monkeypatch.setattr(brown, "TOKENS", tokens)
+            got = brown.score(df).collect()
+            assert sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
+            scores.append(sorted((repr(r.doc_id), round(r.score, 5)) for r in got))
+        assert scores[0] == scores[1] == scores[2]
 
 
 def test_class_lm_clusters_words_under_the_share(spark):
