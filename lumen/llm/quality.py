@@ -108,25 +108,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return Model(*sampled(labelled(docs, labels, label, sample), lambda text: ngrams(text, seen), sample))
 
 
-def score(self, idx: np.ndarray) -> float:
-        if not self.ok:
-            return self.prior
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * self.margin(idx) + b, -30, 30))))
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled rows outside the hold-out fold; only their features reach the driver."""
-
-    def run(batches):
-        seen = np.zeros(1 << BITS, bool)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([ngrams(t, seen).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "y", "idx"])
-
-    got = labelled_sample(docs, labels, label, sample).select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, idx binary").toArrow().sort_by("doc_id")
-    return Model([np.frombuffer(x, np.int32) for x in got["idx"].to_pylist()], got["y"].to_numpy().astype(np.int64))
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and score (0 to 1) of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights
