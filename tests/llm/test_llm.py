@@ -470,9 +470,122 @@ def test_classifiers_hold_out(spark, docs):
         assert module.classify(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_label_model_is_bayes_over_all_patterns():
+    rng = np.random.default_rng(4)
+    k, n = 7, 6000
+    y = rng.random(n) < 0.3
+    votes = np.where(rng.random((n, k)) < 0.85, y[:, None], ~y[:, None]).astype(int)
+    votes[:, 1] = np.where(rng.random(n) < 0.6, votes[:, 0], votes[:, 1])  # often says what voter 0 says
+    votes[rng.random((n, k)) < 0.1] = -1
+    seen, counts = np.unique(votes, axis=0, return_counts=True)
+    m = toxicity.LabelModel(seen, counts, np.where((seen == 1).sum(1) > (seen == 0).sum(1), 0.9, 0.05))
+    assert m.parent[0] == 1 or m.parent[1] == 0
+    assert [j for j in range(2, k) if m.parent[j] >= 0] == []
+    # The joint of class and votes, by plain products over all patterns without gaps, sums up to one and gives the posterior.
+    full = np.array([[c >> j & 1 for j in range(k)] for c in range(2**k)])
+    joint = np.ones((2, 2**k))
+    for c in (0, 1):
+        for r, v in enumerate(full):
+            joint[c, r] = m.prior[c]
+            for j in range(k):
+                p = m.given[c, v[m.parent[j]], j] if m.parent[j] >= 0 else m.alone[c, j]
+                joint[c, r] *= p if v[j] else 1 - p
+    assert joint.sum() == pytest.approx(1)
+    assert m.posterior(full)[0] == pytest.approx(joint[1] / joint.sum(0))
+    right = (m.posterior(votes)[0] > 0.5) == y
+    assert right.mean() > 0.85 and abs(m.prior[1] - 0.3) < 0.08
+
+
+def test_dual_descent_reaches_the_best_hinge_loss():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.sign(x @ rng.normal(size=6) + 0.3 * rng.normal(size=80))
+    loss = lambda w: w @ w / 2 + np.maximum(0, 1 - y * (x @ w[:6] + w[6])).sum()
+    w = quality.dual_descent([np.arange(6)] * 80, list(x), y, 6, rounds=300)
+    best = np.zeros(7)
+    for step in 1 / (10 + np.arange(60_000)):  # subgradients
+        on = y * (x @ best[:6] + best[6]) < 1
+        best -= step * (best - np.append((y[on, None] * x[on]).sum(0), y[on].sum())) / 10
+    assert loss(w) <= loss(best) + 1e-2
+
+
+def test_samples_are_bounded_by_rows_and_features(spark):
+    rows = [(k % 3, "abc " * (k + 1), 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    indices = lambda t: np.arange(len(t) // 4, dtype=np.int32)
+    from lumen.llm.shared import sampled
+
+    assert len(sampled(df, indices, 7)[0]) == 7
+    got = sampled(df, indices, 40, budget=100)[0]
+    assert 0 < sum(map(len, got)) <= 100
+    assert [len(x) for x in got] == [len(x) for x in sampled(df.repartition(5), indices, 40, budget=100)[0]]
+    assert sampled(df.limit(0), indices, 5)[0] == []
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(20)
+    vocab = ["".join(rng.choice("abcdefghklmnoprst") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choices(vocab, k=n))
+    items = [(k, prose(30) + ". " + prose(10) + ".") for k in range(5)]
+    texts = [prose(rng.randint(60, 140)) for _ in range(120)]
+    toxic = {k for k in range(0, 60, 3)}
+    for k in toxic:
+        texts[k] = " ".join(w if rng.random() < 0.9 else rng.choice(["idiot", "moron", "scum", "loser", "pathetic"]) for w in texts[k].split())
+    copies = {k: 60 + k for k in range(1, 50, 6)}
+    for a, b in copies.items():
+        if a not in toxic:
+            texts[b] = texts[a] if a % 4 else texts[a] + " " + prose(4)
+    for k in range(110, 114):
+        texts[k] = prose(40) + " " + items[k - 110][1] + " " + prose(40)
+    for k in (115, 116, 117):
+        texts[k] = f"{prose(30)} write to a{k}.b@mail.example.com or +1 (377) 555-0271 now {prose(30)}"
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)] + [(500, None, None, None, 0), (501, "", "en", "s", 0), (110, "other text under a known id " + prose(40), "en", "s", 1), (None, prose(50), "en", "s", 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, int(k in toxic), int(k in toxic)) for k in range(110)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # Step by step: what is toxic by construction, one of each group by whole shingle sets, leaks by every passage, and so on.
+    left = [(k, t) for k, t, *_ in rows if k not in toxic]
+    sets = [set(simhash.shingle_hashes(simhash.words(t), 5).tolist()) for _, t in left]
+    root = list(range(len(left)))
+    for y in range(len(left)):
+        for x in range(y):
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                root = [root[x] if r == root[y] else r for r in root]
+    first = {}
+    for k, r in enumerate(root):
+        order = lambda j: (left[j][0] is None, left[j][0] or 0, j)
+        first[r] = min(first.get(r, k), k, key=order)
+    left = [left[k] for k in sorted(first.values())]
+    leaks = brute_leaks([(k, t) for k, (_, t) in enumerate(left)], dict(items))
+    left = [x for k, x in enumerate(left) if k not in {d for d, _ in leaks}]
+    spans = disclosed([t or "" for _, t in left])
+    label = lambda s: pii.LABELS[s[0]]
+
+    def clean(t, found):
+        out, at = "", 0
+        for s in sorted(found, key=lambda s: (s[1], -s[2])):
+            if s[1] >= at:
+                out, at = out + t[at : s[1]] + label(s), s[2]
+        return out + t[at:]
+
+    ref = Tokenizer.from_file(PATH)
+    want = sorted((repr(k), tuple(ref.encode(clean(t or "", s), add_special_tokens=False).ids)) for (k, t), s in zip(left, spans))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((repr(r.doc_id), tuple(r.token_ids)) for r in got) == want
+    m = bpe.MergeList(open(PATH).read())
+    assert all(r.decoded == d_once(m, r.token_ids) and r.n_tokens == len(r.token_ids) for r in got)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "pii", "bpe"]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
-    for made in (simhash.near_duplicates(none), hostrules.judge(none), licenses.scan(none), pii.digests(none), brown.score(none), bpe.digests(none, PATH)):
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
+    for made in (quality.classify(none, labels), toxicity.classify(none, labels), simhash.similar_texts(none), decontam.matches(none, items), decontam.matches(docs, items.limit(0)), simhash.without_near_duplicates(none), pii.sanitise(none),
+                 toxicity.without_toxic(none, labels), bpe.encode_and_decode(none, PATH), simhash.near_duplicates(none), hostrules.judge(none), licenses.scan(none), pii.digests(none), brown.score(none), bpe.digests(none, PATH)):
         assert made.count() == 0
 
 
