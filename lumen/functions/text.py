@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,9 +53,32 @@ def width_height(text: Column) -> Column:
     return F.when(F.size(parts) == 2, F.struct(parts[0].cast("int").alias("w"), parts[1].cast("int").alias("h")))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, although lambdas inside refer to it often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "\\s+"), lambda t: t != "")
+
+
 def token_overlap(candidate: Column, reference: Column) -> tuple[Column, Column, Column]:
     """Precision, recall and F1 of greedy token matching with one-hot token vectors (the provider without a model)."""
-    a, b = (F.filter(F.split(F.lower(x), "\\s+"), lambda t: t != "") for x in (candidate, reference))
-    p = F.coalesce(F.try_divide(F.size(F.filter(a, lambda t: F.array_contains(b, t))), F.size(a)), F.lit(0.0))
-    r = F.coalesce(F.try_divide(F.size(F.filter(b, lambda t: F.array_contains(a, t))), F.size(b)), F.lit(0.0))
+
+    def scores(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        p = F.coalesce(F.try_divide(F.size(F.filter(a, lambda t: F.array_contains(b, t))), F.size(a)), F.lit(0.0))
+        r = F.coalesce(F.try_divide(F.size(F.filter(b, lambda t: F.array_contains(a, t))), F.size(b)), F.lit(0.0))
+        return F.struct(p.alias("p"), r.alias("r"))
+
+    both = bound(F.struct(tokens(candidate).alias("a"), tokens(reference).alias("b")), scores)
+    p, r = both["p"], both["r"]
     return p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+
+
+def hashed_vector(text: Column, size: int = 64) -> Column:
+    """Signed counts of the words by the hash of each (the sentence vector without a model); no words: no vector."""
+    number = lambda w, at, n: F.conv(F.substring(F.md5(w), at, n), 16, 10).cast("int")
+    cells = F.transform(tokens(text), lambda w: F.struct((number(w, 1, 4) % size).alias("at"), F.when(number(w, 5, 1) >= 8, 1.0).otherwise(-1.0).alias("x")))
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    return bound(cells, lambda cs: F.when(F.size(cs) > 0, F.transform(places, lambda k: F.aggregate(F.filter(cs, lambda c: c["at"] == k), F.lit(0.0), lambda s, c: s + c["x"]))))

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from lumen.plans.durable import join_hot, stored
 
 
+#: Edges of a node that one task takes in any case.
+HUB = 4096
+
+
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour is tied to the smallest neighbour (the node itself included)."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-    joined = join_hot(both, least.select("a", "m"), "a", least, 2 * n, F.xxhash64("b"))
+    joined = join_hot(both, least.select("a", "m"), "a", least, 2 * n, F.xxhash64("b"), HUB)
     return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
@@ -25,7 +29,7 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    tied = join_hot(down, least.select("a", "m"), "a", least, n, F.xxhash64("b"))
+    tied = join_hot(down, least.select("a", "m"), "a", least, n, F.xxhash64("b"), HUB)
     return tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 

@@ -4,7 +4,7 @@ Nodes are the ends of edges, so isolated images are not in the graph. Betweennes
 do not; betweenness takes the weight as a length, although it is a similarity, as the reference results do.
 
 Shortest paths and spectra need the whole graph at hand: up to LOCAL_EDGES edges it is sent to the tasks that work on
-their share of the sources; larger graphs take the joins over tables below.
+their share of the sources (weighted paths up to PATH_EDGES); larger graphs take the joins over tables below.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from lumen.operators.components import components as reach
 from lumen.plans.durable import stored
 
 LOCAL_EDGES = 5_000_000
+#: Weighted paths are searched in plain Python, edge by edge, so only smaller graphs are.
+PATH_EDGES = 200_000
 METRICS = ("degree", "closeness", "harmonic", "eigenvector", "pagerank", "betweenness")
 
 
@@ -89,15 +91,23 @@ def _hops(graph, source: int) -> np.ndarray:
     return far
 
 
+def _far(graph, source: int) -> np.ndarray:
+    """Hops to all other nodes that are reached."""
+    hops = _hops(graph, source)
+    return hops[hops > 0]
+
+
 def paths(edges: DataFrame) -> DataFrame:
     """(node, reached, total, inverse): of every node the nodes it reaches (itself included), the sum of hops, of 1 / hops."""
+    edges = stored(edges)
     if edges.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
         return paths_by_joins(edges)
     kind = dict(nodes(edges).dtypes)["node"]
 
     def run(graph, sources):
-        rows = [(f > 0, f) for f in (_hops(graph, s) for s in sources)]
-        yield pa.RecordBatch.from_arrays([pa.array(graph[0][sources]), pa.array([int(m.sum()) + 1 for m, _ in rows], pa.int64()), pa.array([int(f[m].sum()) for m, f in rows], pa.int64()), pa.array([float((1 / f[m]).sum()) for m, f in rows], pa.float64())], ["node", "reached", "total", "inverse"])
+        rows = [(int(len(f)) + 1, int(f.sum()), float((1 / f).sum())) for f in (_far(graph, s) for s in sources)]
+        columns = list(zip(*rows)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(graph[0][sources]), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64())))], ["node", "reached", "total", "inverse"])
 
     return _per_source(edges, run, f"node {kind}, reached long, total long, inverse double")
 
@@ -136,6 +146,7 @@ def _scores(edges: DataFrame, names: np.ndarray, score: np.ndarray) -> DataFrame
 def eigenvector(edges: DataFrame, rounds: int = 1000, tol: float = 1e-12) -> DataFrame:
     """Leading eigenvector of the unweighted graph, length 1, by power iteration on A + I (which also converges on
     two-sided graphs; several components: the mass goes to the one with the largest eigenvalue)."""
+    edges = stored(edges)
     if (g := _local(edges)) is None:
         return _iterate(edges, rounds, tol, None)
     names, src, dst, _ = g
@@ -152,6 +163,7 @@ def eigenvector(edges: DataFrame, rounds: int = 1000, tol: float = 1e-12) -> Dat
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
     """Weighted PageRank with uniform teleport; ends when the scores move by less than n * tol in sum."""
+    edges = stored(edges)
     if (g := _local(edges)) is None:
         return _iterate(edges, rounds, tol, alpha)
     names, src, dst, w = g
@@ -228,7 +240,8 @@ def _brandes(graph, source: int) -> np.ndarray:
 def betweenness(edges: DataFrame) -> DataFrame:
     """Share of shortest paths through a node, 2 / ((n - 1) (n - 2)) normalised, ends excluded; every task takes its share
     of the sources and adds up what they give before the shuffle. Weights must be above 0."""
-    if edges.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
+    edges, most = stored(edges), min(PATH_EDGES, LOCAL_EDGES)
+    if edges.limit(most + 1).count() > most:
         return _normalised(edges, dependencies_by_joins(edges))
     kind = dict(nodes(edges).dtypes)["node"]
 

@@ -57,12 +57,11 @@ def _tile(a_id, a, b_id, b, least: float, same: bool):
             yield a_id[i + s], b_id[j], score[i, j]
 
 
-def cosine_pairs(df: DataFrame, id: str, vec: str, least: float, batch: str | None = None) -> DataFrame:
-    """(a, b, score) with a < b for all pairs of rows with a cosine of `least` or more, within batches if given.
+def _blocked(df: DataFrame, id: str, vec: str, batch: str | None, meet, schema: str) -> DataFrame:
+    """meet(ids, vectors, other ids, other vectors, same block) of every pair of blocks, as columns of the schema.
 
-    Rows are dealt to blocks of about BLOCK; each pair of blocks meets in one task, where one matrix product scores it.
-    A block is copied once for each other block of its batch, and only pairs over the threshold leave a task.
-    Empty, null and zero vectors have no pairs. Ids must be long and different.
+    Rows are dealt to blocks of about BLOCK; each pair of blocks of a batch meets in one task. A block is copied once for each
+    other block of its batch, so the work without batches is quadratic.
     """
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), (F.col(batch) if batch else F.lit(0)).cast("int").alias("batch")).where(V.usable(F.col("v")))
     rows = stored(rows)
@@ -71,17 +70,53 @@ def cosine_pairs(df: DataFrame, id: str, vec: str, least: float, batch: str | No
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("batch", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "v")
 
-    def meet(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         block, ids = table["block"].to_numpy(), table["id"].to_numpy()
         flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         v = flat.reshape(len(ids), -1)
         own = block == table["lo"][0].as_py()
         same = table["lo"][0].as_py() == table["hi"][0].as_py()
-        parts = list(_tile(ids[own], v[own], *(ids[own], v[own]) if same else (ids[~own], v[~own]), least, same))
-        a, b, s = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "score": pa.array(s)})
+        return meet(ids[own], v[own], *((ids[own], v[own]) if same else (ids[~own], v[~own])), same)
+
+    return rows.groupBy("batch", "lo", "hi").applyInArrow(run, schema)
+
+
+def cosine_pairs(df: DataFrame, id: str, vec: str, least: float, batch: str | None = None) -> DataFrame:
+    """(a, b, score) with a < b for all pairs of rows with a cosine of `least` or more, within batches if given.
+
+    One matrix product scores a pair of blocks, and only pairs over the threshold leave a task. Empty, null and zero vectors
+    have no pairs. Ids must be long and different.
+    """
+
+    def meet(a_id, a, b_id, b, same) -> pa.Table:
+        parts = list(_tile(a_id, a, b_id, b, least, same))
+        x, y, s = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y)), "score": pa.array(s)})
+
+    return _blocked(df, id, vec, batch, meet, "a long, b long, score double")
 
-    return rows.groupBy("batch", "lo", "hi").applyInArrow(meet, "a long, b long, score double")
+
+def pair_moments(df: DataFrame, id: str, vec: str, batch: str | None = None) -> DataFrame:
+    """One row: number, mean and population deviation of the cosines of all pairs; each pair of blocks gives three sums."""
+
+    def meet(a_id, a, b_id, b, same) -> pa.Table:
+        n, total, square = 0, 0.0, 0.0
+        for *_, score in _tile(a_id, a, b_id, b, -2.0, same):
+            n, total, square = n + len(score), total + float(score.sum()), square + float(score @ score)
+        return pa.table({"n": [n], "total": [total], "square": [square]})
+
+    sums = _blocked(df, id, vec, batch, meet, "n long, total double, square double").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.sum("total").alias("t"), F.sum("square").alias("q"))
+    mean = F.try_divide(F.col("t"), F.col("pairs"))
+    return sums.select(mean.alias("mean"), F.sqrt(F.greatest(F.try_divide(F.col("q"), F.col("pairs")) - mean * mean, F.lit(0.0))).alias("std"), "pairs")
+
+
+def z_pairs(df: DataFrame, id: str, vec: str, least: float, batch: str | None = None) -> DataFrame:
+    """(a, b, score): pairs whose cosine lies `least` or more population deviations over the mean of all pairs."""
+    mean, std, n = pair_moments(df, id, vec, batch).first()
+    if not n:
+        return cosine_pairs(df.limit(0), id, vec, 2.0, batch)
+    found = cosine_pairs(df, id, vec, mean + least * (std + 1e-6) - 1e-9, batch)
+    return found.withColumn("score", (F.col("score") - F.lit(mean)) / F.lit(std + 1e-6)).where(F.col("score") >= least)
 
 
 def cosine_pairs_join(df: DataFrame, id: str, vec: str, least: float, batch: str) -> DataFrame:
@@ -129,20 +164,24 @@ def verified(matches: DataFrame) -> DataFrame:
     return matches.withColumn("face_count", F.least("face_count", F.lit(1)))
 
 
-def z_scores(pairs: DataFrame) -> DataFrame:
-    """Scores in standard deviations (population) from the mean of all pairs."""
-    stats = pairs.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))  # one row
-    return pairs.crossJoin(F.broadcast(stats)).select("i", "j", ((F.col("score") - F.col("m")) / (F.col("s") + 1e-6)).alias("score"))
-
-
-def fuse_z(text: DataFrame, faces: DataFrame, s: Settings = Settings(text_threshold=0.8, face_threshold=0.85)) -> DataFrame:
-    """Fusion of z-scores: the clamp to 1 holds only if there are faces at all."""
-    z = z_scores(text)
+def fuse_z(z: DataFrame, faces: DataFrame, s: Settings = Settings(text_threshold=0.8, face_threshold=0.85)) -> DataFrame:
+    """Fusion of z-scores (i, j, score): the clamp to 1 holds only if there are faces at all."""
     if faces.isEmpty():
         return z.where(F.col("score") >= s.text_threshold).select("i", "j", F.col("score").alias("similarity_score"), F.lit(0.0).alias("face_bonus"), F.lit(0).alias("face_count"))
     return fuse(z, faces, s)
 
 
+def compare_all(texts: DataFrame, faces: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """The live comparison of images (image_id, embedding) and their faces (face_id, image_id, embedding), batch by batch.
+
+    Gives (i, j, similarity_score, face_bonus, face_count) and the matches (a, b, score) of faces, both only within batches.
+    """
+    rows = stored(batches(texts, "image_id", s.batch_size) if s.batch_size else texts.withColumn("batch", F.lit(0)))
+    text = cosine_pairs(rows, "image_id", "embedding", s.text_threshold - s.max_bonus, "batch").select(F.col("a").alias("i"), F.col("b").alias("j"), "score")
+    matches = stored(face_matches(faces.join(rows.select("image_id", "batch"), "image_id"), s.face_threshold, "batch"))
+    return fuse(text, image_matches(faces, matches), s), matches
+
+
 def write_back(images: DataFrame, groups: DataFrame) -> DataFrame:
     """Images (image_path, face_embeddings) with the match_id of groups (image_path, pos, match_id) set in each face, by position."""
     faces = images.select("image_path", F.posexplode("face_embeddings").alias("pos", "f")).join(groups, ["image_path", "pos"], "left")

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from lumen.functions.text import basename
 from lumen.operators import graph as G
-from lumen.sources import sinks
+from lumen.operators import providers
+from lumen.operators import similarity as S
+from lumen.plans.durable import stored
+from lumen.sources import readers, sinks
 
 
 class Albums:
@@ -34,6 +37,44 @@ class Albums:
         fs.mkdirs(p)
         return name.strip()
 
+    def upload(self, album: str, name: str, content: bytes) -> str:
+        """Saves a file of the album, which must exist; returns its path."""
+        if album not in self.list_albums():
+            raise KeyError(f"there is no album {album}")
+        fs, p = self._fs(f"{self.root}/{album}/files/{name.replace(chr(92), '/').rsplit('/', 1)[-1]}")
+        out = fs.create(p, True)
+        out.write(bytearray(content))
+        out.close()
+        return p.toString()
+
+    def process(self, album: str, describe, find_faces, settings: S.Settings = S.Settings(), threshold: float = 0.8, exif=lambda _: {}) -> None:
+        """From the files to the metrics: new files are described (`describe` and `find_faces` make models, one for each
+        partition), all images are compared, and the graph and its metrics are made.
+
+        Tables of the album: images, processed, similarities, edges, metrics.
+        """
+        at = f"{self.root}/{album}"
+        with self.lock:
+            self.status_of[album] = {"processing": True, "last": None}
+        files = self.spark.read.format("binaryFile").load(f"{at}/files").select(F.col("path").alias("image_path"), F.col("length").alias("file_size"), "content")
+        new = unprocessed(files, readers.processed(self.spark, f"{at}/processed"))
+        rows = providers.with_image_info(new, exif=exif)
+        rows = providers.with_model(rows, "content", "description", "string", describe, "")
+        rows = providers.with_model(rows, "content", "faces", "array<array<double>>", find_faces, [])
+        sinks.append(providers.with_vectors(rows, "description").drop("content"), f"{at}/images")
+        images = readers.parquet(self.spark, f"{at}/images")
+        sinks.mark_processed(images.join(readers.processed(self.spark, f"{at}/processed"), "image_path", "left_anti"), f"{at}/processed")
+        images = stored(S.row_index(images, "image_path").withColumnRenamed("idx", "image_id"))
+        faces = images.select("image_id", F.posexplode("faces").alias("pos", "embedding")).withColumn("face_id", F.col("image_id") * (1 << 20) + F.col("pos"))
+        pairs, matches = S.compare_all(images.select("image_id", "embedding"), faces.select("face_id", "image_id", "embedding"), settings)
+        name = lambda k: images.select(F.col("image_id").alias(k), F.col("image_path").alias(f"image{'12'[k == 'j']}_path"))
+        named = pairs.join(name("i"), "i").join(name("j"), "j").select("image1_path", "image2_path", "similarity_score", "face_bonus", "face_count")
+        named.write.mode("overwrite").parquet(f"{at}/similarities")
+        groups = G.face_groups(faces.select("face_id", "image_id"), matches).join(faces.select("face_id", "image_id", "pos"), "face_id").join(images.select("image_id", "image_path"), "image_id")
+        groups.select("image_path", "pos", "match_id").write.mode("overwrite").parquet(f"{at}/matches")
+        found = self.spark.read.parquet(f"{at}/similarities")
+        self.run_pipeline(album, found.select(F.col("image1_path").alias("image1"), F.col("image2_path").alias("image2"), F.col("similarity_score").alias("score")), threshold)
+
     def run_pipeline(self, album: str, similarities: DataFrame, threshold: float = 0.8) -> None:
         """Similarities (image1, image2, score) to graph and metrics tables of the album."""
         with self.lock:

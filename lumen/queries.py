@@ -18,8 +18,9 @@ from lumen.operators import evaluate as E
 from lumen.operators import graph as G
 from lumen.operators import similarity as S
 from lumen.operators import tags as T
-from lumen.operators.providers import TEXT_METHODS
+from lumen.operators.providers import TEXT_METHODS, text_score
 from lumen.plans import api
+from lumen.plans.durable import stored
 from lumen.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,9 +74,9 @@ def w01_pairs_in_batches(spark, d):
     return rounded(pairs.join(rows.select(F.col("vec_id").alias("a"), "batch"), "a").select("a", "b", "batch", "score"))
 
 
-@query(f"WITH {VECTORS} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) AS score FROM vec a JOIN vec b ON a.vec_id // 50 = b.vec_id // 50 AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= {THRESHOLD}")
+@query(f"WITH {VECTORS}, o AS (SELECT *, ntile((SELECT CAST(greatest(1, count(*) // {BATCH}) AS BIGINT) FROM vec)) OVER (ORDER BY vec_id) AS batch FROM vec) SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) AS score FROM o a JOIN o b ON a.batch = b.batch AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= {THRESHOLD}")
 def j01_join_strategy(spark, d):
-    rows = table(spark, d, "embeddings").withColumn("batch", F.expr("vec_id div 50"))
+    rows = S.batches(table(spark, d, "embeddings"), "vec_id", BATCH)
     return rounded(S.cosine_pairs_join(rows, "vec_id", "embedding", THRESHOLD, "batch"))
 
 
@@ -125,7 +126,16 @@ def c05_pagerank(spark, d):
     return rounded(G.pagerank(edges(spark, d), rounds=40, tol=0.0))
 
 
-@query()
+#: Weighted distances of all pairs after so many steps, then the pairs whose shortest path leads through a node. Sums of
+#: different weights are never equal here, so a pair has one shortest path; the tolerance is for the order of summing.
+STEPS = 14
+FAR = ", ".join(
+    ["g0 AS MATERIALIZED (SELECT src AS source, dst AS node, weight AS far FROM s)"]
+    + [f"g{k} AS MATERIALIZED (SELECT source, node, min(far) AS far FROM (SELECT * FROM g{k - 1} UNION ALL SELECT g.source, s.dst, g.far + s.weight FROM g{k - 1} g JOIN s ON s.src = g.node WHERE s.dst <> g.source) GROUP BY 1, 2)" for k in range(1, STEPS + 1)]
+)
+
+
+@query(f"WITH {EDGES}, {FAR}, via AS (SELECT x.node, count(*) AS c FROM g{STEPS} x JOIN g{STEPS} y ON y.source = x.node JOIN g{STEPS} z ON z.source = x.source AND z.node = y.node WHERE abs(x.far + y.far - z.far) < 1e-9 GROUP BY 1) SELECT nodes.node, round(coalesce(c, 0) / greatest((n - 1) * (n - 2), 1), 6) AS score FROM nodes LEFT JOIN via ON via.node = nodes.node, size")
 def c06_betweenness(spark, d):
     return rounded(G.betweenness(edges(spark, d)))
 
@@ -152,7 +162,7 @@ def w02_neighbours(spark, d):
     return rounded(G.neighbours(edges(spark, d), 0.35))
 
 
-FACES = f"{EDGES}, hit AS (SELECT * FROM e WHERE weight > {THRESHOLD}), g AS (SELECT least(a // 4, b // 4) AS i, greatest(a // 4, b // 4) AS j, count(*) AS face_count FROM hit WHERE a // 4 <> b // 4 GROUP BY 1, 2)"
+FACES = f"{EDGES}, hit AS MATERIALIZED (SELECT * FROM e WHERE weight > {THRESHOLD}), g AS MATERIALIZED (SELECT least(a // 4, b // 4) AS i, greatest(a // 4, b // 4) AS j, count(*) AS face_count FROM hit WHERE a // 4 <> b // 4 GROUP BY 1, 2)"
 
 
 def faces(spark, d) -> DataFrame:
@@ -180,13 +190,20 @@ def g05_face_groups(spark, d):
     return G.face_groups(f, S.face_matches(f, THRESHOLD))
 
 
-#: Texts of images: the first face's vector stands for the description's.
-TEXTS = "t AS (SELECT a // 4 AS i, b // 4 AS j, weight AS score FROM pairs WHERE a % 4 = 0 AND b % 4 = 0)"
+#: Texts of images: the mean of an image's vectors stands for the description's.
+IMAGES = "img AS MATERIALIZED (SELECT i, list(x ORDER BY k) AS v FROM (SELECT vec_id // 4 AS i, k, avg(CAST(embedding[k] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(k) GROUP BY 1, 2) GROUP BY 1), t0 AS MATERIALIZED (SELECT a.i, b.i AS j, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS score FROM img a JOIN img b ON a.i < b.i)"
+TEXTS = f"{IMAGES}, t AS MATERIALIZED (SELECT * FROM t0)"
+
+
+def image_vectors(spark, d) -> DataFrame:
+    """(image_id, embedding): the mean of the vectors of each image, place by place."""
+    places = faces(spark, d).select("image_id", F.posexplode("embedding").alias("k", "x")).groupBy("image_id", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    lists = places.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("l"))
+    return lists.select("image_id", F.transform("l", lambda p: p["x"]).alias("embedding"))
 
 
 def text_pairs(spark, d, least: float) -> DataFrame:
-    rows = table(spark, d, "embeddings").where("vec_id % 4 = 0")
-    return S.cosine_pairs(rows, "vec_id", "embedding", least).select(F.expr("a div 4").alias("i"), F.expr("b div 4").alias("j"), "score")
+    return S.cosine_pairs(image_vectors(spark, d), "image_id", "embedding", least).select(F.col("a").alias("i"), F.col("b").alias("j"), "score")
 
 
 FUSED = "SELECT i, j, round(least(score + b, 1.0), 6) AS similarity_score, round(b, 6) AS face_bonus, CAST(f AS INTEGER) AS face_count FROM (SELECT t.i, t.j, score, coalesce(face_count, 0) AS f, least(0.1e0 * coalesce(face_count, 0), 0.3e0) AS b FROM t LEFT JOIN g ON g.i = t.i AND g.j = t.j)"
@@ -204,9 +221,11 @@ def v02_verify(spark, d):
     return rounded(S.fuse(text_pairs(spark, d, s.text_threshold - s.max_bonus), S.verified(image_hits(spark, d)), s))
 
 
-@query(f"WITH {FACES}, t0 AS (SELECT a // 4 AS i, b // 4 AS j, weight AS score FROM pairs WHERE a % 4 = 0 AND b % 4 = 0), z AS (SELECT avg(score) AS m, stddev_pop(score) AS sd FROM t0), t AS (SELECT i, j, (score - m) / (sd + 1e-6) AS score FROM t0, z) SELECT i, j, round(least(score + b, 1.0), 4) AS similarity_score, round(b, 4) AS face_bonus, CAST(f AS INTEGER) AS face_count FROM (SELECT t.i, t.j, score, coalesce(face_count, 0) AS f, least(0.1e0 * coalesce(face_count, 0), 0.3e0) AS b FROM t LEFT JOIN g ON g.i = t.i AND g.j = t.j) WHERE least(score + b, 1.0) >= 0.8")
+@query(f"WITH {FACES}, {IMAGES}, z AS MATERIALIZED (SELECT avg(score) AS m, stddev_pop(score) AS sd FROM t0), t AS MATERIALIZED (SELECT i, j, (score - m) / (sd + 1e-6) AS score FROM t0, z) {FUSED.replace(', 6)', ', 4)')} WHERE least(score + b, 1.0) >= 0.8")
 def v03_z_scores(spark, d):
-    return rounded(S.fuse_z(text_pairs(spark, d, -1.1), image_hits(spark, d)), 4)
+    s = S.Settings(text_threshold=0.8, face_threshold=THRESHOLD)
+    z = S.z_pairs(image_vectors(spark, d), "image_id", "embedding", s.text_threshold - s.max_bonus)
+    return rounded(S.fuse_z(z.select(F.col("a").alias("i"), F.col("b").alias("j"), "score"), image_hits(spark, d), s), 4)
 
 
 @query(f"WITH {FACES}, {TEXTS} {FUSED} WHERE score >= 0.2")
@@ -216,18 +235,28 @@ def v04_threshold_first(spark, d):
 
 @query(f"WITH {PAIRS} SELECT round(avg(weight), 6) AS mean, round(stddev_pop(weight), 6) AS std, count(*) AS pairs FROM pairs")
 def g04_moments(spark, d):
-    p = S.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", -1.1)
-    return rounded(p.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.count("*").alias("pairs")))
+    return rounded(S.pair_moments(table(spark, d, "embeddings"), "vec_id", "embedding"))
 
 
-@query(f"WITH {PAIRS}, r AS (SELECT CAST(x.label = y.label AS INTEGER) AS t, CAST(weight >= 0.2 AS INTEGER) AS p FROM pairs JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE a // 50 = b // 50), c AS (SELECT count(*) FILTER (p = 1 AND t = 1) AS tp, count(*) FILTER (p = 0 AND t = 0) AS tn, count(*) FILTER (p = 1 AND t = 0) AS fp, count(*) FILTER (p = 0 AND t = 1) AS fn FROM r), m AS (SELECT *, (tp + tn) / (tp + tn + fp + fn) AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM c) SELECT tp, tn, fp, fn, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, CAST(1 AS DOUBLE) AS coverage, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM m")
+@query(f"WITH {PAIRS}, r AS (SELECT CAST(x.label = y.label AS INTEGER) AS t, CAST(weight >= 0.2 AS INTEGER) AS p FROM pairs JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b), c AS (SELECT count(*) FILTER (p = 1 AND t = 1) AS tp, count(*) FILTER (p = 0 AND t = 0) AS tn, count(*) FILTER (p = 1 AND t = 0) AS fp, count(*) FILTER (p = 0 AND t = 1) AS fn FROM r), m AS (SELECT *, (tp + tn) / (tp + tn + fp + fn) AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM c) SELECT tp, tn, fp, fn, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, CAST(1 AS DOUBLE) AS coverage, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM m")
 def g06_confusion(spark, d):
-    rows = table(spark, d, "embeddings").withColumn("batch", F.expr("vec_id div 50"))
+    return rounded(E.confusion(*judged_pairs(spark, d), 0.2))
+
+
+def judged_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Truth (equal labels) and scores of all pairs of vectors, by the paths of their images."""
+    rows = table(spark, d, "embeddings")
     name = lambda c: F.concat(F.lit("C:\\album\\IMG_"), c.cast("string"), F.lit(".JPG"))
-    a, b = rows.select("batch", F.col("vec_id").alias("a"), F.col("label").alias("la")), rows.select("batch", F.col("vec_id").alias("b"), F.col("label").alias("lb"))
-    gt = a.join(b, "batch").where("a < b").select(name(F.col("a")).alias("img1"), name(F.col("b")).alias("img2"), F.expr("int(la = lb)").alias("true_label"))
-    model = S.cosine_pairs_join(rows, "vec_id", "embedding", -1.1, "batch").select(name(F.col("a")).alias("image1_path"), name(F.col("b")).alias("image2_path"), F.col("score").alias("similarity_score"))
-    return rounded(E.confusion(E.pair_truth(gt), E.pair_scores(model), 0.2))
+    pairs = stored(S.cosine_pairs(rows, "vec_id", "embedding", -1.1))
+    label = lambda c: rows.select(F.col("vec_id").alias(c), F.col("label").alias(f"l{c}"))
+    gt = pairs.join(label("a"), "a").join(label("b"), "b").select(name(F.col("a")).alias("img1"), name(F.col("b")).alias("img2"), F.expr("int(la = lb)").alias("true_label"))
+    model = pairs.select(name(F.col("a")).alias("image1_path"), name(F.col("b")).alias("image2_path"), F.col("score").alias("similarity_score"))
+    return E.pair_truth(gt), E.pair_scores(model)
+
+
+@query(f"WITH {PAIRS}, r AS (SELECT 'img_' || a || '.jpg' AS x, 'img_' || b || '.jpg' AS y, CAST(u.label = v.label AS INTEGER) AS true_label, weight, CAST(weight >= 0.2 AS INTEGER) AS p FROM pairs JOIN embeddings u ON u.vec_id = a JOIN embeddings v ON v.vec_id = b) SELECT least(x, y) AS a, greatest(x, y) AS b, true_label, round(weight, 6) AS similarity_score, CASE WHEN p = 1 THEN 'FP' ELSE 'FN' END AS error FROM r WHERE p <> true_label")
+def p12_error_rows(spark, d):
+    return rounded(E.error_rows(*judged_pairs(spark, d), 0.2))
 
 
 COUNTS = "t AS (SELECT c_custkey AS k, count(o_orderkey) AS t FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1), f AS (SELECT o_custkey AS k, count(*) AS f FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), j AS (SELECT t.k, t, coalesce(f, 0) AS f, f.k IS NOT NULL AS hit FROM t LEFT JOIN f USING (k))"
@@ -252,6 +281,25 @@ def f14_error_classes(spark, d):
     return j.select("k", E.error_class(F.col("f"), F.col("t"), F.col("f").isNotNull()).alias("error"), F.abs(F.col("f") - F.col("t")).alias("magnitude"))
 
 
+@query(f"WITH {COUNTS} SELECT '/x/' || k || '.jpg' AS image_id, CASE WHEN t > 0 THEN t END AS true_faces FROM j WHERE NOT hit")
+def p11_unmatched(spark, d):
+    truth, found = counts(spark, d)
+    return E.unmatched(truth, found.withColumnRenamed("o_custkey", "image_id"))
+
+
+@query(f"WITH {COUNTS} SELECT CAST(k AS VARCHAR) AS image_id, CAST(t AS INTEGER) AS true_faces, CAST(f AS INTEGER) AS face_count, CAST(least(t, f) AS INTEGER) AS tp, CAST(greatest(f - t, 0) AS INTEGER) AS fp, CAST(greatest(t - f, 0) AS INTEGER) AS fn FROM j ORDER BY 1")
+def w06_count_report(spark, d):
+    return E.count_report(*counts(spark, d))
+
+
+@query("WITH o AS (SELECT DISTINCT o_custkey AS k, arg_max(CAST(floor(o_totalprice) AS BIGINT) % 10, o_orderkey) AS t FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT 'c' || c_custkey AS a, 'x' AS b, CASE WHEN o.k IS NULL THEN 'not_processed' WHEN c_nationkey % 10 > t THEN 'false positive' WHEN c_nationkey % 10 < t THEN 'false negative' ELSE 'correct' END AS error, abs(CAST(c_nationkey % 10 - t AS DOUBLE)) AS magnitude FROM customer LEFT JOIN o ON o.k = c_custkey")
+def j11_match_errors(spark, d):
+    name = lambda c: F.concat(F.lit("/p/C"), F.col(c).cast("string"))
+    model = table(spark, d, "customer").select(F.lit("X").alias("img1"), name("c_custkey").alias("img2"), F.expr("c_nationkey % 10").alias("face_count"))
+    truth = table(spark, d, "orders").where("o_orderstatus = 'O'").select(name("o_custkey").alias("img1"), F.lit("x").alias("img2"), F.expr("floor(o_totalprice) % 10").alias("true_count"), F.col("o_orderkey").alias("pos"))
+    return E.match_errors(model, truth)
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def p01_unprocessed(spark, d):
     return api.unprocessed(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id"), "doc_id")
@@ -307,12 +355,16 @@ def f21_time_keys(spark, d):
     return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("stamp"))
 
 
-TEXT_JOIN = "t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), '\\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda x: x <> '') AS b FROM documents d JOIN benchmark b ON b.item_id = doc_id), s AS (SELECT doc_id, len(list_filter(a, lambda x: list_contains(b, x))) / len(a) AS p, len(list_filter(b, lambda x: list_contains(a, x))) / len(b) AS r FROM t), m AS (SELECT doc_id, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM s)"
+TEXT_JOIN = "t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), '\\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda x: x <> '') AS b FROM documents d JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS at, count(*) OVER () AS n FROM benchmark) b ON b.at = doc_id % b.n WHERE d.text IS NOT NULL), s AS (SELECT doc_id, len(list_filter(a, lambda x: list_contains(b, x))) / len(a) AS p, len(list_filter(b, lambda x: list_contains(a, x))) / len(b) AS r FROM t), m AS (SELECT doc_id, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM s)"
 
 
 def descriptions(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("stem"), F.col("text").alias("description"))
-    return E.text_scores(docs.join(table(spark, d, "benchmark").select(F.col("item_id").alias("stem"), F.col("text").alias("summary")), "stem"))
+    """Every document as a description, the item in the place of its number as its summary, joined by file stems."""
+    items = S.row_index(table(spark, d, "benchmark"), "item_id").select(F.col("idx").alias("at"), F.col("text").alias("summary"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("description"))
+    name = lambda ext: F.concat(F.lit("C:\\x\\"), F.col("doc_id").cast("string"), F.lit(ext)).alias("image_path")
+    truth = docs.select("doc_id", F.pmod("doc_id", F.lit(items.count())).alias("at")).join(F.broadcast(items), "at").select(name(".TXT"), "summary")
+    return E.text_scores(E.by_stem(docs.select(name(".jpg"), "description"), truth)).withColumn("stem", F.col("stem").cast("long"))
 
 
 @query(f"WITH {TEXT_JOIN} SELECT doc_id AS stem, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, round((p + r) / 2, 6) AS mean_pr FROM m")
@@ -359,20 +411,53 @@ def j06_enriched_nodes(spark, d):
     return rounded(wide.select("node", "label", "degree"))
 
 
-@query(f"WITH {EDGES}, k AS (SELECT src AS node, CAST(count(*) AS BIGINT) AS links FROM s GROUP BY 1) SELECT 'links' AS metric, count(*) AS nodes, CAST(sum(links) AS BIGINT) AS total FROM k")
+@query(f"WITH {EDGES} SELECT 'degree' AS metric, CAST(src AS VARCHAR) AS node, round(count(*) / (SELECT n - 1 FROM size), 6) AS score FROM s GROUP BY src")
 def k05_metrics_document(spark, d):
-    links = G.both_ways(edges(spark, d)).groupBy(F.col("src").cast("string").alias("node")).agg(F.count("*").cast("double").alias("score"))
-    doc = sinks.metrics_json(links.withColumn("metric", F.lit("links")))
-    m = doc.select("metric", F.from_json("document", "map<string,double>").alias("m"))
-    return m.select("metric", F.size("m").cast("long").alias("nodes"), F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x).cast("long").alias("total"))
+    doc = sinks.metrics_json(G.centralities(edges(spark, d), ("degree",)).withColumn("node", F.col("node").cast("string")))
+    m = doc.select("metric", F.explode(F.from_json("document", "map<string,double>")).alias("node", "score"))
+    return rounded(m)
 
 
-@query(f"WITH {EDGES} SELECT (SELECT n FROM size) AS nodes, count(*) AS links FROM e")
+@query(f"WITH {EDGES} SELECT CAST(a AS VARCHAR) AS source, CAST(b AS VARCHAR) AS target, round(weight, 6) AS weight FROM e UNION ALL SELECT CAST(node AS VARCHAR), NULL, NULL FROM nodes")
 def k06_graph_document(spark, d):
     e = edges(spark, d)
     doc = sinks.graph_json(G.nodes(e).select(F.col("node").cast("string").alias("id")), e.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "weight"))
     g = doc.select(F.from_json("document", "nodes array<struct<id:string>>, links array<struct<source:string,target:string,weight:double>>").alias("g"))
-    return g.select(F.size("g.nodes").cast("long").alias("nodes"), F.size("g.links").cast("long").alias("links"))
+    links = g.select(F.explode("g.links").alias("l")).select("l.*")
+    return rounded(links.unionByName(g.select(F.explode("g.nodes.id").alias("source")), allowMissingColumns=True))
+
+
+@query(f"WITH {EDGES} SELECT a, b, round(2 * weight, 6) AS width FROM e")
+def k07_plot_edges(spark, d):
+    return rounded(sinks.plot_edges(edges(spark, d)))
+
+
+LIVE = 40
+LIVE_SQL = f"{FACES}, {IMAGES}, o AS MATERIALIZED (SELECT i, ntile((SELECT CAST(greatest(1, count(*) // {LIVE}) AS BIGINT) FROM img)) OVER (ORDER BY i) AS batch FROM img), t AS MATERIALIZED (SELECT t0.* FROM t0 JOIN o x ON x.i = t0.i JOIN o y ON y.i = t0.j WHERE x.batch = y.batch), live AS MATERIALIZED ({FUSED.replace('round(least(score + b, 1.0), 6)', 'least(score + b, 1.0)').replace('round(b, 6)', 'b')} WHERE least(score + b, 1.0) >= 0.35)"
+
+
+def live(spark, d) -> tuple[DataFrame, DataFrame]:
+    s = S.Settings(text_threshold=0.35, face_threshold=THRESHOLD, batch_size=LIVE)
+    return S.compare_all(image_vectors(spark, d), faces(spark, d), s)
+
+
+@query(f"WITH {LIVE_SQL} SELECT i, j, round(similarity_score, 6) AS similarity_score, round(face_bonus, 6) AS face_bonus, face_count FROM live")
+def v06_live_pairs(spark, d):
+    return rounded(live(spark, d)[0])
+
+
+@query(f"WITH {LIVE_SQL}, h AS MATERIALIZED (SELECT a, b FROM hit JOIN o x ON x.i = a // 4 JOIN o y ON y.i = b // 4 WHERE x.batch = y.batch), hs AS MATERIALIZED (SELECT a AS src, b AS dst FROM h UNION ALL SELECT b, a FROM h), m0 AS (SELECT vec_id AS node, vec_id AS l FROM embeddings), {', '.join(f'm{k} AS MATERIALIZED (SELECT node, min(l) AS l FROM (SELECT node, l FROM m{k - 1} UNION ALL SELECT hs.src, m.l FROM hs JOIN m{k - 1} m ON m.node = hs.dst) GROUP BY node)' for k in range(1, 3 * LEVELS + 1))} SELECT node AS face_id, l AS match_id FROM m{3 * LEVELS}")
+def j12_live_match_ids(spark, d):
+    return G.face_groups(faces(spark, d).select("face_id"), live(spark, d)[1])
+
+
+@query(f"WITH {LIVE_SQL}, ls AS MATERIALIZED (SELECT i AS src, j AS dst, similarity_score AS w FROM live UNION ALL SELECT j, i, similarity_score FROM live), k AS (SELECT src, count(*) AS c, sum(w) AS w FROM ls GROUP BY 1) SELECT 'img_' || src || '.jpg' AS node, round(c / (SELECT count(*) - 1 FROM k), 6) AS degree, round(w, 4) AS strength FROM k")
+def a04_live_graph(spark, d):
+    pairs = live(spark, d)[0]
+    name = lambda c: F.concat(F.lit("/album/img_"), F.col(c).cast("string"), F.lit(".jpg"))
+    e = stored(G.build(pairs.select(name("i").alias("image1"), name("j").alias("image2"), F.col("similarity_score").alias("score")), 0.35))
+    strength = G.both_ways(e).groupBy(F.col("src").alias("node")).agg(F.round(F.sum("weight"), 4).alias("strength"))
+    return G.degree(e).select("node", F.round("score", 6).alias("degree")).join(strength, "node")
 
 
 @query(f"WITH {FACES}, {TEXTS} SELECT image1, image2, similarity, face_bonus, matching_faces FROM (SELECT i AS image1, j AS image2, similarity_score AS similarity, face_bonus, face_count AS matching_faces FROM ({FUSED}) x) WHERE similarity >= 0.4")
@@ -380,9 +465,25 @@ def a11_find_similar(spark, d):
     return api.find_similar(v01_text_and_faces(spark, d).withColumnsRenamed({"i": "image1_path", "j": "image2_path"}), 0.4)
 
 
-@query("SELECT unnest(['bertscore_f1', 'bertscore_precision_recall', 'sbert_cosine']) AS method")
+WORDS = "w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(source || ' ' || lang || ' ' || text[1:40]), '\\s+'), lambda x: x <> '') AS b FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL)"
+CELLS = "SELECT doc_id, side, CAST('0x' || substr(md5(x), 1, 4) AS INTEGER) % 64 AS at, sum(CASE WHEN CAST('0x' || substr(md5(x), 5, 1) AS INTEGER) >= 8 THEN 1 ELSE -1 END) AS v FROM (SELECT doc_id, 1 AS side, unnest(a) AS x FROM w UNION ALL SELECT doc_id, 2, unnest(b) FROM w) GROUP BY 1, 2, 3"
+
+
+@query(f"WITH {WORDS}, s AS (SELECT doc_id, CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda x: list_contains(b, x))) / len(a) ELSE 0 END AS p, CASE WHEN len(b) > 0 THEN len(list_filter(b, lambda x: list_contains(a, x))) / len(b) ELSE 0 END AS r FROM w), h AS MATERIALIZED ({CELLS}), n AS (SELECT doc_id, sqrt(sum(v * v) FILTER (side = 1)) AS x, sqrt(sum(v * v) FILTER (side = 2)) AS y FROM h GROUP BY 1), dots AS (SELECT p.doc_id, sum(p.v * q.v) AS z FROM h p JOIN h q ON p.doc_id = q.doc_id AND p.at = q.at AND p.side = 1 AND q.side = 2 GROUP BY 1) SELECT s.doc_id, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS bertscore_f1, round((p + r) / 2, 6) AS bertscore_precision_recall, round(CASE WHEN x > 0 AND y > 0 THEN coalesce(z, 0) / (x * y) END, 6) AS sbert_cosine FROM s LEFT JOIN n USING (doc_id) LEFT JOIN dots USING (doc_id)")
 def x06_methods(spark, d):
-    return spark.createDataFrame([(m,) for m in TEXT_METHODS], "method string")
+    """Every document against its source, language and first forty letters, by each of the methods."""
+    docs = table(spark, d, "documents").where("text is not null and source is not null and lang is not null")
+    other = F.concat_ws(" ", "source", "lang", F.substring("text", 1, 40))
+    return rounded(docs.select("doc_id", *(text_score(m, F.col("text"), other).alias(m) for m in TEXT_METHODS)))
+
+
+@query("WITH e AS (SELECT 'user_' || (user_id // 3) AS node, event_type AS tag, CAST(user_id % 7 AS VARCHAR) AS face FROM events), c AS (SELECT tag, face, count(*) AS n, min(node) AS first FROM e GROUP BY 1, 2), v AS (SELECT tag, face AS person FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY n DESC, first) AS k FROM c) WHERE k = 1) SELECT DISTINCT node, tag, person FROM (SELECT node, tag FROM e UNION ALL SELECT node, 'all' FROM e) LEFT JOIN v USING (tag)")
+def t01_persons(spark, d):
+    e = table(spark, d, "events")
+    node = F.concat(F.lit(" User_"), F.expr("user_id div 3").cast("string")).alias("node")
+    tags = e.select(node, F.lit("face").alias("kind"), F.upper("event_type").alias("tag"), F.expr("string(user_id % 7)").alias("face_id"))
+    general = e.select(node, F.lit("general").alias("kind"), F.lit("All ").alias("tag"), F.lit(None).cast("string").alias("face_id"))
+    return T.persons(tags.unionByName(general))
 
 
 def tag_seeds(spark, d, e: DataFrame) -> DataFrame:

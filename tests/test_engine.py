@@ -1,4 +1,5 @@
 import json
+import math
 
 import duckdb
 import pytest
@@ -22,7 +23,7 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() == 10
 
 
-@pytest.mark.parametrize("name", ["j01_similar_pairs", "c05_pagerank", "v01_text_and_faces", "g08_count_metrics", "f22_text_scores", "t10_tag_propagation"])
+@pytest.mark.parametrize("name", ["j01_similar_pairs", "c05_pagerank", "c06_betweenness", "v03_z_scores", "v06_live_pairs", "g08_count_metrics", "j11_match_errors", "x06_methods", "t01_persons", "t10_tag_propagation"])
 def test_query_matches_sql(spark, sf, name):
     c = duckdb.connect()
     for t in TABLES:
@@ -118,5 +119,89 @@ def test_albums_and_stream(spark, tmp_path):
 
 
 def test_provider_gives_null_where_it_fails(spark):
-    got = providers.with_vectors(spark.createDataFrame([("a b",), ("",), (None,)], "t string"), "t").collect()
-    assert [r.embedding is None for r in got] == [False, True, True]
+    df = spark.createDataFrame([("a b",), ("",), (None,)], "t string")
+    assert [r.embedding is None for r in providers.with_vectors(df, "t").collect()] == [False, True, True]
+    got = providers.with_model(df, "t", "faces", "array<array<double>>", lambda: lambda x: [[float(len(x))]], []).collect()
+    assert [r.faces for r in got] == [[[3.0]], [[0.0]], []]
+
+
+def test_text_methods_and_a_missing_library(spark):
+    df = spark.createDataFrame([("a b c", "a b d"), ("", "x"), ("q", "q")], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    rows = df.select(*(providers.text_score(m, a, b).alias(m) for m in providers.TEXT_METHODS), providers.text_score("none", a, b, {"none": None}).alias("none")).collect()
+    assert rows[0].bertscore_f1 == pytest.approx(2 / 3) and rows[0].bertscore_precision_recall == pytest.approx(2 / 3)
+    assert rows[2].sbert_cosine == pytest.approx(1) and rows[1].bertscore_f1 == 0 and rows[1].sbert_cosine is None
+    assert all(r.none != r.none for r in rows)
+    with pytest.raises(ValueError):
+        providers.text_score("other", a, b)
+
+
+PNG = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (7).to_bytes(4, "big") + (5).to_bytes(4, "big")
+JPEG = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + (9).to_bytes(2, "big") + (4).to_bytes(2, "big") + b"\x01\x01\x11\x00"
+
+
+def test_image_info(spark):
+    df = spark.createDataFrame([(PNG,), (JPEG,), (b"GIF89a\x03\x00\x02\x00",), (b"text",), (None,)], "content binary")
+    got = providers.with_image_info(df, exif=lambda x: {"Make": b"maker"} if x[:2] == b"\xff\xd8" else {}).collect()
+    assert [r.dimensions for r in got] == ["7x5", "4x9", "3x2", "", ""]
+    assert [r.exif for r in got] == [{}, {"Make": "maker"}, {}, {}, {}]
+
+
+def test_album_from_files_to_metrics(spark, tmp_path):
+    albums = Albums(spark, str(tmp_path / "root"))
+    albums.create_album("a")
+    with pytest.raises(KeyError):
+        albums.upload("b", "x.png", PNG)
+    for k, extra in enumerate(["cat on mat", "cat on mat", "cat on mat", "dog in fog"]):
+        albums.upload("a", f"C:\\x\\i{k}.png", PNG + extra.encode())
+    describe = lambda: lambda content: bytes(content)[len(PNG) :].decode()
+    faces = lambda: lambda content: [[1.0, 0.0]] if b"cat" in bytes(content) else []
+    for _ in range(2):
+        albums.process("a", describe, faces)
+    assert spark.read.parquet(str(tmp_path / "root/a/images")).count() == 4
+    assert {r.dimensions for r in spark.read.parquet(str(tmp_path / "root/a/images")).collect()} == {"7x5"}
+    assert sorted(r.node for r in albums.top_central("a", "degree").collect()) == ["i0.png", "i1.png", "i2.png"]
+    assert spark.read.parquet(str(tmp_path / "root/a/matches")).select("match_id").distinct().count() == 1
+    assert albums.status("a")["last"]
+
+
+def test_checkpoint_and_conversion(spark, tmp_path):
+    files = spark.createDataFrame([("a",), ("b",)], "image_path string")
+    at = str(tmp_path / "ck")
+    assert readers.processed(spark, at).count() == 0
+    sinks.mark_processed(files.limit(1), at)
+    sinks.mark_processed(files.limit(1), at)
+    assert readers.processed(spark, at).count() == 1
+    for stamp, k in (("20250101_000000", 1), ("20250102_000000", 2)):
+        spark.createDataFrame([(k, [1.0])], "k int, v array<double>").write.parquet(str(tmp_path / f"d/t_{stamp}.parquet"))
+    assert sinks.parquet_to_csv(spark, str(tmp_path / "d"), "t", str(tmp_path / "o")) == "t_20250102_000000.parquet"
+    assert [tuple(r) for r in spark.read.option("header", "true").csv(str(tmp_path / "o")).collect()] == [("2", "[1.0]")]
+    assert sinks.parquet_to_csv(spark, str(tmp_path / "d"), "t", str(tmp_path / "o"), "20250101_000000") == "t_20250101_000000.parquet"
+    with pytest.raises(FileNotFoundError):
+        sinks.parquet_to_csv(spark, str(tmp_path / "d"), "u", str(tmp_path / "o"))
+
+
+def test_reports(spark):
+    truth = spark.createDataFrame([("b.jpg", 2), ("a.jpg", 1)], "image_id string, true_faces int")
+    found = spark.createDataFrame([("/x/B.png", 3)], "image_id string, face_count int")
+    assert [tuple(r) for r in E.count_report(truth, found).collect()] == [("a", 1, 0, 0, 0, 1), ("b", 2, 3, 2, 1, 0)]
+    assert [r.image_id for r in E.unmatched(truth, found).collect()] == ["a.jpg"]
+    with pytest.raises(ValueError):
+        E.count_report(truth, found.drop("face_count"))
+    model = spark.createDataFrame([("x/a.jpg", "sea")], "image_path string, description string")
+    with pytest.raises(ValueError):
+        E.by_stem(model, spark.createDataFrame([("b.jpg", "sea")], "image_path string, summary string"))
+    last = E.match_errors(spark.createDataFrame([("B", "a", 2), ("c", "d", 1)], "img1 string, img2 string, face_count int"), spark.createDataFrame([("a", "b", 1.0, 1), ("A", "B", None, 2)], "img1 string, img2 string, true_count double, pos int"))
+    assert {r.a: (r.error, r.magnitude) for r in last.collect()} == {"a": ("correct", None), "c": ("not_processed", None)}
+
+
+def test_average_method_of_propagation(spark):
+    e = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.5)], "a string, b string, weight double")
+    seed = spark.createDataFrame([("a", "cat", 1.0)], "node string, tag string, conf double")
+    got = T.step(e, seed, seed.select("node"), 1, method="average").collect()
+    assert got == []  # tagged images give nothing after the first round
+    first = {(r.node, r.tag): r.conf for r in T.step(e, seed, seed.select("node"), 0, method="average").collect()}
+    assert first == {}  # one value under 1 is dropped
+    strong = spark.createDataFrame([("a", "b", 0.95), ("b", "c", 0.5)], "a string, b string, weight double")
+    value = T.step(strong, seed, seed.select("node"), 0, method="average").collect()[0]
+    assert (value.node, value.conf) == ("b", pytest.approx(0.95 / (1 + 0.25 * math.log(1.01)) * (1 / (1 + 0.25 / 1.5 * math.log(1.01)) + 0.7)))
