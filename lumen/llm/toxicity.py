@@ -16,6 +16,7 @@
 3. Classifier: a linear (logistic) model over word beginnings, trained on the posterior labels of labelled and unlabelled
    texts alike; the rare class weighs more.
 
+Near copies in the samples count once, or the words of one toxic text that was copied often would pass for signs.
 The beginnings of a lexicon come from at most SAMPLE labelled rows, the classifier is trained on these and at most as many
 rows without a label (the documented bounds, besides shared.FEATURES); votes, counts and scores cover all rows and whole texts.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lumen.llm.shared import fold, labelled, sampled
 
-BITS, SAMPLE, LONG, RARE, SURE = 20, 8_000, 20, 14.0, 0.85
+BITS, SAMPLE, LONG, RARE, LOOSE, SURE = 20, 8_000, 20, 20.0, 0.5, 0.85
 #: Chosen among 0, 1/4, 1/2, 3/4 and 1 on folds 1 to 4 alone: the most toxic texts found without one more clean text accused.
 BALANCE = 0.25
 #: Words that insult, by what they aim at.
@@ -111,6 +112,27 @@ def excess(k: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
     return np.where(p > share, n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share))), 0.0)
 
 
+#: Hash functions whose least values over a text's words name it, four together.
+MIXES = (np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def unlike(rows: list[np.ndarray]) -> list[int]:
+    """Places of the rows that are no near copies of earlier ones, so that a text that was copied often counts once.
+
+    Rows whose words agree in all four least values of one of eight groups of hash functions are taken for copies: of texts
+    that share nine words in ten nearly all, of texts that share two in ten one in eighty.
+    """
+    seen, kept = set(), []
+    for k, m in enumerate(rows):
+        words = m[1:, 3].astype(np.uint64)
+        least = ((words * MIXES[:, None]) >> np.uint64(20)).min(1, initial=np.uint64(2**64 - 1)).reshape(8, 4)
+        names = {(g, x.tobytes()) for g, x in enumerate(least)}
+        if not names & seen:
+            kept.append(k)
+        seen |= names
+    return kept
+
+
 def frequencies(rows: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
     """Sum of the weights of the texts that hold each index."""
     out = np.zeros(SIZE + 1)
@@ -129,7 +151,7 @@ def lexicons(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     if 0 < y.sum() < len(y):
         toxic, clean = frequencies(rows, y == 1), frequencies(rows, y == 0)
         share = float(y.mean())
-        bad = np.flatnonzero((excess(toxic, toxic + clean, share) > RARE) & (toxic > 2 * share * (toxic + clean)))
+        bad = np.flatnonzero((excess(toxic, toxic + clean, share) > RARE) & (toxic >= LOOSE * (toxic + clean)))
         bad = bad[bad < 1 << BITS]
         of[bad] |= np.uint16(16) << (bad >> (BITS - 2)).astype(np.uint16)
         of[bad[toxic[bad] >= SURE * (toxic + clean)[bad]]] |= np.uint16(1 << 10)
@@ -299,6 +321,8 @@ def any_rows(docs: DataFrame, limit: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     rows, y = sampled(labelled(docs, labels, label, sample), features, sample)
     rows = [r.reshape(-1, 4) for r in rows]
+    once = unlike(rows)
+    rows, y = [rows[k] for k in once], y[once]
     share = float((y.sum() + 1) / (len(y) + 2))
     of = lexicons(rows, y)
     patterns = vote_patterns(docs, of).toArrow().sort_by("code")
@@ -308,11 +332,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         return Model(of, None, float(np.log(share / (1 - share))))
     model = LabelModel(votes, patterns["n"].to_numpy(), np.where(told, 0.9, 0.01))
     rows += [r.reshape(-1, 4) for r in sampled(any_rows(docs, sample), features, sample)[0]]
+    rows = [rows[k] for k in unlike(rows)]
     target = model.posterior(votes_of(np.array([vote(r, of) for r in rows], np.int64)))[0]
     rows = [summed_up(r, of) for r in rows]
     on, all_ = frequencies(rows, target), frequencies(rows, np.ones(len(rows)))
     m = float(np.clip(target.mean(), 1e-6, 1 - 1e-6))
-    keep = np.flatnonzero((all_ > 2) & (np.maximum(excess(on, all_, m), excess(all_ - on, all_, 1 - m)) > RARE / 2))
+    keep = np.flatnonzero((all_ > 2) & (np.maximum(excess(on, all_, m), excess(all_ - on, all_, 1 - m)) > RARE / 3))
     return Model(of, *logistic(rows, target, keep))
 
 
