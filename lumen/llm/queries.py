@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumen.llm import bpe, brown, chat, decontam, hostrules, licenses, pii, quality, simhash, toxicity
+from lumen.llm import bpe, brown, chat, decontam, hostrules, interactions, licenses, pii, quality, simhash, toxicity
 from lumen.llm.shared import documents
 
 
@@ -65,7 +65,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(documents(spark, sf_dir, "doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_simhash, op3_toxicity, op4_bpe, op5_chat, op6_host_rules, op7_class_lm, op8_licenses, op9_decontamination, op10_pii)
+    f.__name__: f for f in (op1_quality, op2_simhash, op3_toxicity, op4_bpe, op5_chat, op6_host_rules, op7_class_lm, op8_licenses, op9_decontamination, op10_pii, op11_interactions)
 }
-ORACLES: dict[str, str] = {"op5_chat": chat.RENDER_SQL, "op6_host_rules": hostrules.judge_sql(), "op8_licenses": licenses.scan_sql()}
+ORACLES: dict[str, str] = {"op5_chat": chat.RENDER_SQL, "op6_host_rules": hostrules.judge_sql(), "op8_licenses": licenses.scan_sql(), "op11_interactions": interactions.AUDIT_SQL}
