@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumen.llm import bpe, brown, chat, decontam, hostrules, interactions, licenses, pii, quality, simhash, toxicity, trie
+from lumen.llm import bpe, brown, chat, decontam, hostrules, interactions, language, licenses, pii, quality, simhash, toxicity, trie
 from lumen.llm.shared import documents
 
 
@@ -73,8 +73,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(table(spark, sf_dir, "conversations"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir, "doc_id", "text", "lang")).drop("lang_spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_simhash, op3_toxicity, op4_bpe, op5_chat, op6_host_rules, op7_class_lm, op8_licenses, op9_decontamination, op10_pii, op11_interactions, op12_prefix_trie)
+    for f in (op1_quality, op2_simhash, op3_toxicity, op4_bpe, op5_chat, op6_host_rules, op7_class_lm, op8_licenses, op9_decontamination, op10_pii, op11_interactions, op12_prefix_trie, op13_language)
 }
 ORACLES: dict[str, str] = {"op5_chat": chat.RENDER_SQL, "op6_host_rules": hostrules.judge_sql(), "op8_licenses": licenses.scan_sql(), "op11_interactions": interactions.AUDIT_SQL, "op12_prefix_trie": trie.TRIE_SQL}
