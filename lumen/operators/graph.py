@@ -3,8 +3,9 @@
 Nodes are the ends of edges, so isolated images are not in the graph. Betweenness and PageRank see weights, the others
 do not; betweenness takes the weight as a length, although it is a similarity, as the reference results do.
 
-Shortest paths and spectra need the whole graph at hand: up to LOCAL_EDGES edges it is sent to the tasks that work on
-their share of the sources (weighted paths up to PATH_EDGES); larger graphs take the joins over tables below.
+Hops are counted for blocks of sources at once, see `hops`. Spectra and weighted paths need the whole graph at hand: up to
+LOCAL_EDGES (weighted paths: PATH_EDGES) edges it is sent to the driver or the tasks; larger graphs take the joins over
+tables below, weighted paths a block of sources after another. Both ways give the same values. A weight that is null is 0.
 """
 
 from __future__ import annotations
@@ -17,12 +18,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumen.functions.text import basename
+from lumen.operators.components import HUB
 from lumen.operators.components import components as reach
-from lumen.plans.durable import stored
+from lumen.operators.hops import hops
+from lumen.operators.similarity import row_index
+from lumen.plans.durable import join_hot, stored
 
 LOCAL_EDGES = 5_000_000
 #: Weighted paths are searched in plain Python, edge by edge, so only smaller graphs are.
 PATH_EDGES = 200_000
+#: Pairs of a source and a node that weighted paths over tables keep at once.
+PAIRS = 50_000_000
 METRICS = ("degree", "closeness", "harmonic", "eigenvector", "pagerank", "betweenness")
 
 
@@ -53,7 +59,7 @@ def _local(edges: DataFrame):
     """(names, source, target, weight) as arrays if the graph has at most LOCAL_EDGES edges, else None; names are sorted."""
     if edges.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
         return None
-    t = edges.select("a", "b", "weight").toArrow()
+    t = edges.select("a", "b", F.coalesce("weight", F.lit(0.0)).alias("weight")).toArrow()
     a, b = t["a"].to_numpy(zero_copy_only=False), t["b"].to_numpy(zero_copy_only=False)
     names, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
     x, y = ends[: len(a)], ends[len(a) :]
@@ -77,52 +83,10 @@ def _per_source(edges: DataFrame, run, columns: str) -> DataFrame:
     return spark.range(len(names)).repartition(max(1, min(len(names), spark.sparkContext.defaultParallelism * 2))).mapInArrow(work, columns)
 
 
-def _hops(graph, source: int) -> np.ndarray:
-    _, start, dst, _ = graph
-    far = np.full(len(start) - 1, -1)
-    far[source] = 0
-    front, d = np.array([source]), 0
-    while len(front):
-        d += 1
-        n = start[front + 1] - start[front]
-        near = dst[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[front], n)]
-        front = np.unique(near[far[near] < 0])
-        far[front] = d
-    return far
-
-
-def _far(graph, source: int) -> np.ndarray:
-    """Hops to all other nodes that are reached."""
-    hops = _hops(graph, source)
-    return hops[hops > 0]
-
-
 def paths(edges: DataFrame) -> DataFrame:
     """(node, reached, total, inverse): of every node the nodes it reaches (itself included), the sum of hops, of 1 / hops."""
     edges = stored(edges)
-    if edges.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
-        return paths_by_joins(edges)
-    kind = dict(nodes(edges).dtypes)["node"]
-
-    def run(graph, sources):
-        rows = [(int(len(f)) + 1, int(f.sum()), float((1 / f).sum())) for f in (_far(graph, s) for s in sources)]
-        columns = list(zip(*rows)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(graph[0][sources]), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64())))], ["node", "reached", "total", "inverse"])
-
-    return _per_source(edges, run, f"node {kind}, reached long, total long, inverse double")
-
-
-def paths_by_joins(edges: DataFrame) -> DataFrame:
-    """The same by frontier joins; the table of distances has n * n rows, which the result needs."""
-    step = stored(both_ways(edges).select("src", "dst"))
-    seen = stored(nodes(edges).select(F.col("node").alias("source"), "node", F.lit(0).alias("d")))
-    front, d = seen, 0
-    while not front.isEmpty():
-        d += 1
-        near = front.join(step, front.node == step.src).select("source", F.col("dst").alias("node")).distinct()
-        front = stored(near.join(seen, ["source", "node"], "left_anti").withColumn("d", F.lit(d)))
-        seen = seen.unionByName(front)
-    return seen.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("reached"), F.sum("d").cast("long").alias("total"), F.coalesce(F.sum(F.when(F.col("d") > 0, 1 / F.col("d"))), F.lit(0.0)).alias("inverse"))
+    return hops(both_ways(edges), nodes(edges))
 
 
 def closeness(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -162,7 +126,10 @@ def eigenvector(edges: DataFrame, rounds: int = 1000, tol: float = 1e-12) -> Dat
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
-    """Weighted PageRank with uniform teleport; ends when the scores move by less than n * tol in sum."""
+    """Weighted PageRank with uniform teleport; ends when the scores move by less than n * tol in sum.
+
+    A node whose weights are all 0 passes nothing on: its score goes to all nodes in equal parts.
+    """
     edges = stored(edges)
     if (g := _local(edges)) is None:
         return _iterate(edges, rounds, tol, alpha)
@@ -183,26 +150,30 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tol: floa
 
 
 def _iterate(edges: DataFrame, rounds: int, tol: float, alpha: float | None) -> DataFrame:
-    """Power iteration by joins, for graphs that no single machine should hold; lineage is cut at every round."""
-    e = both_ways(edges)
-    if alpha is not None:
-        e = e.join(e.groupBy("src").agg(F.sum("weight").alias("out")), "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("weight"))
-    e = stored(e)
-    n = nodes(edges).count()
-    x = stored(nodes(edges).withColumn("score", F.lit(1.0 / n if alpha is not None else 1.0)))
+    """Power iteration by joins, for graphs that no single machine should hold; lineage is cut at every round, and one
+    aggregate a round gives the length or the mass that stays, another what has moved."""
+    e = both_ways(edges).withColumn("weight", F.coalesce("weight", F.lit(0.0)) if alpha is not None else F.lit(1.0))
+    out = e.groupBy("src").agg(F.sum("weight").alias("out"), F.count("*").alias("n"))
+    out = stored(out)
+    n, n_steps = out.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not n:
+        return out.select(F.col("src").alias("node"), F.col("out").alias("score"))
+    e, start = stored(e), 1.0 / n if alpha is not None else 1.0
+    x = stored(out.select(F.col("src").alias("node"), F.lit(start).alias("score"), "out", F.lit(0.0).alias("moved")))
     for _ in range(rounds):
-        flow = e.join(x, e.src == x.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * (F.col("weight") if alpha is not None else F.lit(1.0))).alias("flow"))
+        share = x.select(F.col("node").alias("src"), (F.try_divide("score", "out") if alpha is not None else F.col("score")).alias("share")).where("share is not null")
+        flow = join_hot(e, share, "src", out.select("src", "n"), n_steps, F.xxhash64("dst")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("weight")).alias("flow"))
         new = x.join(flow, "node", "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))
-        new = new.select("node", "score", ((alpha * F.col("flow") + (1 - alpha) / n) if alpha is not None else F.col("score") + F.col("flow")).alias("new"))
-        if alpha is None:
-            length = new.agg(F.sqrt(F.sum(F.col("new") * F.col("new"))).alias("length"))
-            new = new.crossJoin(F.broadcast(length)).select("node", "score", (F.col("new") / F.col("length")).alias("new"))
-        new = stored(new)
-        moved = new.agg(F.sum(F.abs(F.col("new") - F.col("score")))).first()[0] or 0.0
-        x = new.select("node", F.col("new").alias("score"))
-        if moved < n * tol:
+        if alpha is not None:
+            left = x.agg(F.coalesce(F.sum(F.when(F.col("out") <= 0, F.col("score"))), F.lit(0.0))).first()[0]
+            new = new.select("node", "score", "out", (alpha * (F.col("flow") + left / n) + (1 - alpha) / n).alias("new"))
+        else:
+            length = F.sqrt(F.sum((F.col("score") + F.col("flow")) * (F.col("score") + F.col("flow")))).alias("length")
+            new = new.crossJoin(F.broadcast(new.agg(length))).select("node", "score", "out", ((F.col("score") + F.col("flow")) / F.col("length")).alias("new"))  # one row
+        x = stored(new.select("node", F.col("new").alias("score"), "out", F.abs(F.col("new") - F.col("score")).alias("moved")))
+        if x.agg(F.sum("moved")).first()[0] < n * tol:
             break
-    return x
+    return x.select("node", "score")
 
 
 def _brandes(graph, source: int) -> np.ndarray:
@@ -260,10 +231,9 @@ def _normalised(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return sums.crossJoin(F.broadcast(n)).select("node", (F.coalesce("part", F.lit(0.0)) / scale).alias("score"))
 
 
-def lengths_by_joins(edges: DataFrame) -> DataFrame:
-    """(source, node, far): weighted distances between all nodes that reach each other; only what got shorter goes on."""
-    step = stored(both_ways(edges))
-    far = stored(nodes(edges).select(F.col("node").alias("source"), "node", F.lit(0.0).alias("far")))
+def lengths_by_joins(step: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, far): weighted distances from the sources (node) over step (src, dst, weight); only what got shorter goes on."""
+    far = stored(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("far")))
     front = far
     while not front.isEmpty():
         tried = front.join(step, front.node == step.src).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("far") + F.col("weight")).alias("new"))
@@ -273,16 +243,31 @@ def lengths_by_joins(edges: DataFrame) -> DataFrame:
     return far
 
 
-def dependencies_by_joins(edges: DataFrame) -> DataFrame:
-    """(node, part) of every source that others depend on, for graphs that no single machine should hold.
+def dependencies_by_joins(edges: DataFrame, pairs: int | None = None) -> DataFrame:
+    """(node, part): what all sources depend on each node, for graphs that no single machine should hold.
+
+    Sources are taken in blocks of so many that a block has at most `pairs` rows (source, node); a block's distances, steps
+    and walks are dropped when its dependencies have been added to the nodes' sums.
+    """
+    step = stored(both_ways(edges))
+    numbered = stored(row_index(nodes(edges), "node"))
+    n, total = numbered.count(), None
+    size = max(1, (pairs or PAIRS) // max(n, 1))
+    for low in range(0, n, size):
+        part = _dependencies(step, numbered.where(F.col("idx").between(low, low + size - 1)).select("node"))
+        total = stored((part if total is None else part.unionByName(total)).groupBy("node").agg(F.sum("part").alias("part")))
+    return numbered.limit(0).select("node", F.lit(0.0).alias("part")) if total is None else total
+
+
+def _dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, part) of every source (node) that depends on others, over edges (src, dst, weight) in both directions.
 
     The steps of all shortest paths form a graph without cycles for each source. Paths are counted forwards by their
-    number of steps, shares go back the same way; both end after the longest path. The tables have a row for each pair of
-    nodes that reach each other, which the result needs.
+    number of steps, shares go back the same way; both end after the longest path.
     """
-    far = stored(lengths_by_joins(edges))
+    far = stored(lengths_by_joins(edges, sources))
     to = far.select("source", F.col("node").alias("dst"), F.col("far").alias("there"))
-    step = stored(far.join(both_ways(edges), F.col("node") == F.col("src")).join(to, ["source", "dst"]).where("there = far + weight").select("source", "src", "dst"))
+    step = stored(far.join(edges, F.col("node") == F.col("src")).join(to, ["source", "dst"]).where("there = far + weight").select("source", "src", "dst"))
 
     def walked(first: DataFrame, along: DataFrame, start: str, end: str, share: str) -> DataFrame:
         now = total = first
@@ -335,10 +320,20 @@ def enrich(edges: DataFrame, metrics: DataFrame, results: DataFrame) -> DataFram
 
 
 def neighbours(edges: DataFrame, least: float = 0.3, few: int = 3) -> DataFrame:
-    """(src, dst, weight): neighbours of weight `least` or more; a node with fewer than `few` of them keeps its `few` heaviest."""
-    w = Window.partitionBy("src")
-    ranked = both_ways(edges).withColumn("rank", F.row_number().over(w.orderBy(F.desc("weight"), "dst"))).withColumn("strong", F.count_if(F.col("weight") >= least).over(w))
-    return ranked.where((F.col("weight") >= least) & (F.col("strong") >= few) | (F.col("strong") < few) & (F.col("rank") <= few)).select("src", "dst", "weight")
+    """(src, dst, weight): neighbours of weight `least` or more; a node with fewer than `few` of them keeps its `few` heaviest.
+
+    The strong neighbours are only counted, and the heaviest are only sought for nodes with too few of them: each task
+    keeps `few` edges of a node before the shuffle (a window's group limit), and joins deal the edges of hubs to many tasks,
+    so no task sorts the edges of a hub. Equal weights go by dst.
+    """
+    both = stored(both_ways(edges))
+    degrees = stored(both.groupBy("src").agg(F.count("*").alias("n"), F.count_if(F.col("weight") >= least).alias("strong")))
+    total, enough = degrees.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], degrees.where(F.col("strong") >= few).select("src")
+    of = lambda rows, how: join_hot(rows, enough, "src", degrees.select("src", "n"), total, F.xxhash64("dst"), HUB, how)
+    kept = of(both.where(F.col("weight") >= least), "left_semi")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
+    heaviest = of(both, "left_anti").withColumn("rank", rank).where(F.col("rank") <= few)
+    return kept.select("src", "dst", "weight").unionByName(heaviest.select("src", "dst", "weight"))
 
 
 def top(metrics: DataFrame, metric: str = "eigenvector", n: str | int | None = None) -> DataFrame:

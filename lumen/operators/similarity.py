@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumen.functions import vectors as V
 from lumen.plans.durable import stored
@@ -45,63 +46,96 @@ def batches(df: DataFrame, order: str, batch_size: int) -> DataFrame:
     return rows.withColumn("batch", F.when(i < r * (q + 1), F.floor(i / (q + 1))).otherwise(r + F.floor((i - r * (q + 1)) / max(q, 1))).cast("int"))
 
 
-def _tile(a_id, a, b_id, b, least: float, same: bool):
-    x = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-    y = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def _tile(x: np.ndarray, y: np.ndarray, least: float, same: bool):
+    """(i, j, cosine) of the rows of two blocks of unit vectors that reach `least`, slice by slice; each pair once if they are the same."""
     for s in range(0, len(x), BLOCK):
         score = x[s : s + BLOCK] @ y.T
         i, j = np.nonzero(score >= least)
         if same:
             i, j = i[j > i + s], j[j > i + s]
         if len(i):
-            yield a_id[i + s], b_id[j], score[i, j]
+            yield i + s, j, score[i, j]
+
 
+def _rows(df: DataFrame, id: str, vec: str, batch: str | None, *others: str) -> DataFrame:
+    """(id, v, batch, size, row): usable vectors as doubles, their number of places, and a number of the row."""
+    columns = [F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("v"), (F.col(batch) if batch else F.lit(0)).cast("int").alias("batch"), *others]
+    return stored(df.select(*columns).where(V.usable(F.col("v"))).withColumns({"size": F.size("v"), "row": F.monotonically_increasing_id()}))
 
-def _blocked(df: DataFrame, id: str, vec: str, batch: str | None, meet, schema: str) -> DataFrame:
-    """meet(ids, vectors, other ids, other vectors, same block) of every pair of blocks, as columns of the schema.
 
-    Rows are dealt to blocks of about BLOCK; each pair of blocks of a batch meets in one task. A block is copied once for each
-    other block of its batch, so the work without batches is quadratic.
+def _blocked(df: DataFrame, id: str, vec: str, batch: str | None, meet, schema: str, *others: str) -> DataFrame:
+    """meet(table, table, same block) of every pair of blocks, as columns of the schema; the tables have id, v and the other columns.
+
+    Rows are dealt by number to blocks of about BLOCK, vectors of different sizes to different ones; each pair of blocks of a
+    batch meets in one task. A block is copied once for each other block of its batch, so the work without batches is quadratic.
     """
-    rows = df.select(F.col(id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), (F.col(batch) if batch else F.lit(0)).cast("int").alias("batch")).where(V.usable(F.col("v")))
-    rows = stored(rows)
-    sizes = rows.groupBy("batch").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
-    rows = rows.join(F.broadcast(sizes) if not batch else sizes, "batch").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("batch", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "v")
+    rows = _rows(df, id, vec, batch, *others)
+    sizes = rows.groupBy("batch", "size").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
+    rows = rows.join(F.broadcast(sizes) if not batch else sizes, ["batch", "size"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    return _met(rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), meet, schema, *others)
+
+
+def _met(rows: DataFrame, meet, schema: str, *others: str) -> DataFrame:
+    """meet() of the blocks that rows (batch, size, block, other, id, v, ...) are sent to, each pair of blocks in a task of its own."""
+    rows = rows.select("batch", "size", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "v", *others)
 
     def run(table: pa.Table) -> pa.Table:
-        block, ids = table["block"].to_numpy(), table["id"].to_numpy()
-        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        v = flat.reshape(len(ids), -1)
-        own = block == table["lo"][0].as_py()
-        same = table["lo"][0].as_py() == table["hi"][0].as_py()
-        return meet(ids[own], v[own], *((ids[own], v[own]) if same else (ids[~own], v[~own])), same)
+        own, same = table["block"].to_numpy() == table["lo"][0].as_py(), table["lo"][0].as_py() == table["hi"][0].as_py()
+        return meet(table.filter(pa.array(own)), table if same else table.filter(pa.array(~own)), same)
+
+    return rows.groupBy("batch", "size", "lo", "hi").applyInArrow(run, schema)
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    return _unit(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1))
+
+
+def _pairs(least: float, kind: pa.DataType):
+    """meet() that gives the pairs (a, b, score) of `least` or more."""
+
+    def meet(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        x, y = left["id"].to_numpy(), right["id"].to_numpy()
+        parts = list(_tile(_vectors(left), _vectors(right), least, same))
+        i, j, s = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        a, b = x[i], y[j]
+        keep = np.asarray(a != b, bool)
+        a, b, s = a[keep], b[keep], s[keep]
+        turn = np.asarray(a > b, bool)
+        return pa.table({"a": pa.array(np.where(turn, b, a), kind), "b": pa.array(np.where(turn, a, b), kind), "score": pa.array(s)})
 
-    return rows.groupBy("batch", "lo", "hi").applyInArrow(run, schema)
+    return meet
 
 
 def cosine_pairs(df: DataFrame, id: str, vec: str, least: float, batch: str | None = None) -> DataFrame:
     """(a, b, score) with a < b for all pairs of rows with a cosine of `least` or more, within batches if given.
 
-    One matrix product scores a pair of blocks, and only pairs over the threshold leave a task. Empty, null and zero vectors
-    have no pairs. Ids must be long and different.
+    One matrix product scores a pair of blocks, and only pairs over the threshold leave a task. Null ids and null, empty and
+    zero vectors have no pairs, nor have vectors of different sizes; rows of a repeated id each count, but not with each
+    other; ids of any ordered type keep it.
     """
+    df = df.where(F.col(id).isNotNull())
+    return _blocked(df, id, vec, batch, _pairs(least, _arrow(df, id)), _pair_schema(df, id))
 
-    def meet(a_id, a, b_id, b, same) -> pa.Table:
-        parts = list(_tile(a_id, a, b_id, b, least, same))
-        x, y, s = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y)), "score": pa.array(s)})
 
-    return _blocked(df, id, vec, batch, meet, "a long, b long, score double")
+def _arrow(df: DataFrame, id: str) -> pa.DataType:
+    return to_arrow_type(df.schema[id].dataType)
+
+
+def _pair_schema(df: DataFrame, id: str) -> str:
+    kind = df.schema[id].dataType.simpleString()
+    return f"a {kind}, b {kind}, score double"
 
 
 def pair_moments(df: DataFrame, id: str, vec: str, batch: str | None = None) -> DataFrame:
     """One row: number, mean and population deviation of the cosines of all pairs; each pair of blocks gives three sums."""
 
-    def meet(a_id, a, b_id, b, same) -> pa.Table:
+    def meet(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
         n, total, square = 0, 0.0, 0.0
-        for *_, score in _tile(a_id, a, b_id, b, -2.0, same):
+        for *_, score in _tile(_vectors(left), _vectors(right), -2.0, same):
             n, total, square = n + len(score), total + float(score.sum()), square + float(score @ score)
         return pa.table({"n": [n], "total": [total], "square": [square]})
 
@@ -110,6 +144,57 @@ def pair_moments(df: DataFrame, id: str, vec: str, batch: str | None = None) ->
     return sums.select(mean.alias("mean"), F.sqrt(F.greatest(F.try_divide(F.col("q"), F.col("pairs")) - mean * mean, F.lit(0.0))).alias("std"), "pairs")
 
 
+def _judged(least: float):
+    """(wrong, right, score, truth) of all pairs of two blocks in slices: whether score >= least says what equal labels say."""
+
+    def slices(left: pa.Table, right: pa.Table, same: bool):
+        x, y, a, b = _vectors(left), _vectors(right), left["label"].to_numpy(), right["label"].to_numpy()
+        known = left["label"].is_valid().to_numpy()[:, None] & right["label"].is_valid().to_numpy()[None, :]
+        for s in range(0, len(x), BLOCK):
+            score = x[s : s + BLOCK] @ y.T
+            use = known[s : s + BLOCK]
+            if same:
+                use = use & (np.arange(len(y))[None, :] > (s + np.arange(len(score)))[:, None])
+            yield s, score, score >= least, np.asarray(a[s : s + BLOCK, None] == b[None, :], bool), use
+
+    return slices
+
+
+def judged_counts(df: DataFrame, id: str, vec: str, label: str, least: float) -> DataFrame:
+    """One row tp, tn, fp, fn, scored, n over all pairs of labelled vectors: a cosine of `least` or more predicts equal labels.
+
+    Each pair of blocks gives four counts. Rows without a label or a usable vector take part in no pair.
+    """
+
+    def meet(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        n = np.zeros(4, np.int64)
+        for _, _, said, true, use in _judged(least)(left, right, same):
+            n += [(cell & use).sum() for cell in (said & true, ~said & ~true, said & ~true, ~said & true)]
+        return pa.table({c: [x] for c, x in zip(("tp", "tn", "fp", "fn"), n.tolist())})
+
+    cells = _blocked(df, id, vec, None, meet, "tp long, tn long, fp long, fn long", F.col(label).alias("label"))
+    sums = cells.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "tn", "fp", "fn")))
+    return sums.withColumn("n", F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).withColumn("scored", F.col("n"))
+
+
+def wrong_pairs(df: DataFrame, id: str, vec: str, label: str, least: float) -> DataFrame:
+    """(a, b, true_label, similarity_score, error) with a < b, only of the pairs that `judged_counts` has as fp (FP) or fn (FN)."""
+    kind = _arrow(df, id)
+
+    def meet(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        x, y, parts = left["id"].to_numpy(), right["id"].to_numpy(), []
+        for s, score, said, true, use in _judged(least)(left, right, same):
+            i, j = np.nonzero((said != true) & use)
+            a, b = x[i + s], y[j]
+            turn = np.asarray(a > b, bool)
+            parts.append((np.where(turn, b, a), np.where(turn, a, b), true[i, j], score[i, j]))
+        a, b, true, score = (np.concatenate(c) for c in zip(*parts))
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind), "true_label": pa.array(true.astype(np.int32)), "similarity_score": pa.array(score), "error": pa.array(np.where(true, "FN", "FP").tolist(), pa.string())})
+
+    pair = _pair_schema(df, id).rsplit(",", 1)[0]
+    return _blocked(df.where(F.col(id).isNotNull()), id, vec, None, meet, f"{pair}, true_label int, similarity_score double, error string", F.col(label).alias("label"))
+
+
 def z_pairs(df: DataFrame, id: str, vec: str, least: float, batch: str | None = None) -> DataFrame:
     """(a, b, score): pairs whose cosine lies `least` or more population deviations over the mean of all pairs."""
     mean, std, n = pair_moments(df, id, vec, batch).first()

@@ -16,6 +16,7 @@ from lumen.functions import text as X
 from lumen.functions import vectors as V
 from lumen.operators import evaluate as E
 from lumen.operators import graph as G
+from lumen.operators import pruned as P
 from lumen.operators import similarity as S
 from lumen.operators import tags as T
 from lumen.operators.providers import TEXT_METHODS, text_score
@@ -80,6 +81,27 @@ def j01_join_strategy(spark, d):
     return rounded(S.cosine_pairs_join(rows, "vec_id", "embedding", THRESHOLD, "batch"))
 
 
+#: The first three places of the vectors: there angles tell much, so that blocks can be ruled out.
+SMALL, NEAR = 3, 0.98
+
+
+def small_vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, SMALL).alias("embedding"))
+
+
+SMALL_SQL = f"small AS MATERIALIZED (SELECT vec_id, CAST(embedding[1:{SMALL}] AS DOUBLE[]) AS v FROM embeddings)"
+
+
+@query(f"WITH {SMALL_SQL} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS score FROM small a JOIN small b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= {NEAR}")
+def j02_pruned_pairs(spark, d):
+    return rounded(P.cosine_pairs(small_vectors(spark, d), "vec_id", "embedding", NEAR, block=32))
+
+
+@query()
+def j02_blocks_ruled_out(spark, d):
+    return rounded(P.pruning(small_vectors(spark, d), "vec_id", "embedding", NEAR, block=32))
+
+
 @query(f"WITH {VECTORS}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.v AS x, b.v AS y, a.n AS nx, b.n AS ny FROM vec a JOIN vec b ON b.vec_id = a.vec_id + 1) SELECT a, b, round(1 - list_dot_product(x, y) / (nx * ny), 6) AS cosine, round(list_distance(x, y), 6) AS euclidean, round(list_distance(list_transform(x, lambda q: q / nx), list_transform(y, lambda q: q / ny)), 6) AS euclidean_l2, 1 - list_dot_product(x, y) / (nx * ny) <= 0.9 AS verified FROM p")
 def f08_distances(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -240,23 +262,38 @@ def g04_moments(spark, d):
 
 @query(f"WITH {PAIRS}, r AS (SELECT CAST(x.label = y.label AS INTEGER) AS t, CAST(weight >= 0.2 AS INTEGER) AS p FROM pairs JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b), c AS (SELECT count(*) FILTER (p = 1 AND t = 1) AS tp, count(*) FILTER (p = 0 AND t = 0) AS tn, count(*) FILTER (p = 1 AND t = 0) AS fp, count(*) FILTER (p = 0 AND t = 1) AS fn FROM r), m AS (SELECT *, (tp + tn) / (tp + tn + fp + fn) AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM c) SELECT tp, tn, fp, fn, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, CAST(1 AS DOUBLE) AS coverage, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM m")
 def g06_confusion(spark, d):
-    return rounded(E.confusion(*judged_pairs(spark, d), 0.2))
+    return rounded(E.with_rates(S.judged_counts(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.2)))
+
+
+#: Pairs whose labels are to be read from paths, as tables of truth and of scores have them: those of `edges`.
+TRUTH = f"WITH {EDGES}, r AS (SELECT 'img_' || a || '.jpg' AS x, 'img_' || b || '.jpg' AS y, CASE WHEN a % 7 <> 0 THEN CAST(u.label = v.label AS INTEGER) END AS t, CASE WHEN b % 5 <> 0 THEN weight END AS w FROM e JOIN embeddings u ON u.vec_id = a JOIN embeddings v ON v.vec_id = b), j AS (SELECT *, CASE WHEN w >= 0.35 THEN 1 ELSE 0 END AS p FROM r)"
 
 
-def judged_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Truth (equal labels) and scores of all pairs of vectors, by the paths of their images."""
-    rows = table(spark, d, "embeddings")
+def truth_tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Truth and scores of similar pairs by the paths of their images: counts for labels (some missing), rows twice, missing scores."""
+    rows, pairs = table(spark, d, "embeddings"), stored(edges(spark, d))
     name = lambda c: F.concat(F.lit("C:\\album\\IMG_"), c.cast("string"), F.lit(".JPG"))
-    pairs = stored(S.cosine_pairs(rows, "vec_id", "embedding", -1.1))
     label = lambda c: rows.select(F.col("vec_id").alias(c), F.col("label").alias(f"l{c}"))
-    gt = pairs.join(label("a"), "a").join(label("b"), "b").select(name(F.col("a")).alias("img1"), name(F.col("b")).alias("img2"), F.expr("int(la = lb)").alias("true_label"))
-    model = pairs.select(name(F.col("a")).alias("image1_path"), name(F.col("b")).alias("image2_path"), F.col("score").alias("similarity_score"))
-    return E.pair_truth(gt), E.pair_scores(model)
+    gt = pairs.join(label("a"), "a").join(label("b"), "b").select(name(F.col("a")).alias("img1"), name(F.col("b")).alias("img2"), F.expr("case when a % 7 <> 0 then if(la = lb, 2, 0) end").alias("true_count"))
+    model = pairs.select(name(F.col("b")).alias("image1_path"), name(F.col("a")).alias("image2_path"), F.expr("case when b % 5 <> 0 then weight end").alias("similarity_score"))
+    return E.pair_truth(gt.unionByName(gt)), E.pair_scores(model.unionByName(model))
+
+
+@query(f"{TRUTH}, c AS (SELECT count(*) FILTER (p = 1 AND t = 1) AS tp, count(*) FILTER (p = 0 AND t = 0) AS tn, count(*) FILTER (p = 1 AND t = 0) AS fp, count(*) FILTER (p = 0 AND t = 1) AS fn, count(w) AS s, count(*) AS n FROM j), m AS (SELECT *, (tp + tn) / (tp + tn + fp + fn) AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM c) SELECT tp, tn, fp, fn, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(s / n, 6) AS coverage, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM m")
+def p09_confusion_of_tables(spark, d):
+    return rounded(E.confusion(*truth_tables(spark, d), 0.35))
+
+
+@query(f"{TRUTH} SELECT least(x, y) AS a, greatest(x, y) AS b, t AS true_label, round(w, 6) AS similarity_score, CASE WHEN p = 1 THEN 'FP' ELSE 'FN' END AS error FROM j WHERE p <> t")
+def p12_errors_of_tables(spark, d):
+    return rounded(E.error_rows(*truth_tables(spark, d), 0.35))
 
 
 @query(f"WITH {PAIRS}, r AS (SELECT 'img_' || a || '.jpg' AS x, 'img_' || b || '.jpg' AS y, CAST(u.label = v.label AS INTEGER) AS true_label, weight, CAST(weight >= 0.2 AS INTEGER) AS p FROM pairs JOIN embeddings u ON u.vec_id = a JOIN embeddings v ON v.vec_id = b) SELECT least(x, y) AS a, greatest(x, y) AS b, true_label, round(weight, 6) AS similarity_score, CASE WHEN p = 1 THEN 'FP' ELSE 'FN' END AS error FROM r WHERE p <> true_label")
 def p12_error_rows(spark, d):
-    return rounded(E.error_rows(*judged_pairs(spark, d), 0.2))
+    wrong = S.wrong_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.2)
+    name = lambda c: F.concat(F.lit("img_"), F.col(c).cast("string"), F.lit(".jpg"))
+    return rounded(wrong.withColumns({"a": F.least(name("a"), name("b")), "b": F.greatest(name("a"), name("b"))}))
 
 
 COUNTS = "t AS (SELECT c_custkey AS k, count(o_orderkey) AS t FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1), f AS (SELECT o_custkey AS k, count(*) AS f FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), j AS (SELECT t.k, t, coalesce(f, 0) AS f, f.k IS NOT NULL AS hit FROM t LEFT JOIN f USING (k))"
@@ -487,10 +524,11 @@ def t01_persons(spark, d):
 
 
 def tag_seeds(spark, d, e: DataFrame) -> DataFrame:
-    """The ten nodes of the highest degree, each with its label's tag and one that all share."""
+    """The ten nodes of the highest degree, each with its label's tag and one that all share, written as tag documents may have them."""
     best = G.top(G.centralities(e, ("degree",)), "degree", 10)
     rows = best.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "label"), "node")
-    return rows.select("node", F.explode(F.array(F.concat(F.lit("tag_"), F.col("label").cast("string")), F.lit("album"))).alias("tag"), F.lit(1.0).alias("conf"))
+    tags = F.explode(F.array(F.concat(F.lit("Tag_"), F.col("label").cast("string")), F.lit(" ALBUM "), F.lit("album"))).alias("tag")
+    return T.seeds(rows.select(F.concat(F.lit(" "), F.col("node").cast("string")).alias("node"), tags), G.nodes(e))
 
 
 def _rounds(n: int = 3, q: float = 0.65, alpha: float = 0.25) -> str:
