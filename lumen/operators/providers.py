@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from lumen.functions import text as X
 from lumen.functions import vectors as V
+from lumen.sources.exif import tags as exif_tags
+
 
 def with_model(df: DataFrame, column: str, out: str, kind: str, make: Callable[[], Callable[[Any], Any]], failed: Any = None) -> DataFrame:
     """df with `out`: what the model made by `make`, one for each partition, gives for the column, or `failed` where it raises.
@@ -64,8 +66,8 @@ def image_size(content: bytes) -> tuple[int, int] | None:
     return None
 
 
-def with_image_info(files: DataFrame, content: str = "content", exif: Callable[[bytes], dict[str, str]] = lambda _: {}) -> DataFrame:
-    """files with `dimensions` ("WxH" or empty) and `exif`; tags come from the function given, unreadable images have none."""
+def with_image_info(files: DataFrame, content: str = "content", exif: Callable[[bytes], dict[str, str]] = exif_tags) -> DataFrame:
+    """files with `dimensions` ("WxH" or empty) and `exif`, the tags by name; unreadable images have none."""
 
     def info(data):
         size = image_size(bytes(data))

@@ -23,6 +23,8 @@ class Settings:
     base_bonus: float = 0.1
     max_bonus: float = 0.3
     batch_size: int | None = 1000
+    #: How texts are scored: bertscore_f1, bertscore_precision_recall (both need descriptions) or sbert_cosine (needs vectors).
+    method: str = "bertscore_f1"
 
 
 def row_index(df: DataFrame, *order: str) -> DataFrame:
@@ -256,17 +258,6 @@ def fuse_z(z: DataFrame, faces: DataFrame, s: Settings = Settings(text_threshold
     return fuse(z, faces, s)
 
 
-def compare_all(texts: DataFrame, faces: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """The live comparison of images (image_id, embedding) and their faces (face_id, image_id, embedding), batch by batch.
-
-    Gives (i, j, similarity_score, face_bonus, face_count) and the matches (a, b, score) of faces, both only within batches.
-    """
-    rows = stored(batches(texts, "image_id", s.batch_size) if s.batch_size else texts.withColumn("batch", F.lit(0)))
-    text = cosine_pairs(rows, "image_id", "embedding", s.text_threshold - s.max_bonus, "batch").select(F.col("a").alias("i"), F.col("b").alias("j"), "score")
-    matches = stored(face_matches(faces.join(rows.select("image_id", "batch"), "image_id"), s.face_threshold, "batch"))
-    return fuse(text, image_matches(faces, matches), s), matches
-
-
 def write_back(images: DataFrame, groups: DataFrame) -> DataFrame:
     """Images (image_path, face_embeddings) with the match_id of groups (image_path, pos, match_id) set in each face, by position."""
     faces = images.select("image_path", F.posexplode("face_embeddings").alias("pos", "f")).join(groups, ["image_path", "pos"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen.functions.text import basename
+from lumen.operators import compare as C
 from lumen.operators import graph as G
 from lumen.operators import providers
 from lumen.operators import similarity as S
@@ -47,7 +48,7 @@ class Albums:
         out.close()
         return p.toString()
 
-    def process(self, album: str, describe, find_faces, settings: S.Settings = S.Settings(), threshold: float = 0.8, exif=lambda _: {}) -> None:
+    def process(self, album: str, describe, find_faces, settings: S.Settings = S.Settings(), threshold: float = 0.8, exif=providers.exif_tags) -> None:
         """From the files to the metrics: new files are described (`describe` and `find_faces` make models, one for each
         partition), all images are compared, and the graph and its metrics are made.
 
@@ -66,7 +67,7 @@ class Albums:
         sinks.mark_processed(images.join(readers.processed(self.spark, f"{at}/processed"), "image_path", "left_anti"), f"{at}/processed")
         images = stored(S.row_index(images, "image_path").withColumnRenamed("idx", "image_id"))
         faces = images.select("image_id", F.posexplode("faces").alias("pos", "embedding")).withColumn("face_id", F.col("image_id") * (1 << 20) + F.col("pos"))
-        pairs, matches = S.compare_all(images.select("image_id", "embedding"), faces.select("face_id", "image_id", "embedding"), settings)
+        pairs, matches = C.compare_all(images.select("image_id", "description", "embedding"), faces.select("face_id", "image_id", "embedding"), settings)
         name = lambda k: images.select(F.col("image_id").alias(k), F.col("image_path").alias(f"image{'12'[k == 'j']}_path"))
         named = pairs.join(name("i"), "i").join(name("j"), "j").select("image1_path", "image2_path", "similarity_score", "face_bonus", "face_count")
         named.write.mode("overwrite").parquet(f"{at}/similarities")

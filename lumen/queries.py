@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from lumen.functions import text as X
 from lumen.functions import vectors as V
+from lumen.operators import bertscore as B
+from lumen.operators import compare as C
 from lumen.operators import evaluate as E
 from lumen.operators import graph as G
 from lumen.operators import pruned as P
@@ -409,6 +411,34 @@ def f22_text_scores(spark, d):
     return rounded(descriptions(spark, d))
 
 
+#: Token vectors by a rule: a token has the vector whose number its hash gives, one in eleven has none.
+VOCABULARY = "v AS MATERIALIZED (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings), c AS (SELECT count(*) AS n FROM embeddings)"
+SOFT = f"{VOCABULARY}, {TEXT_JOIN.split(', s AS')[0]}, x AS MATERIALIZED (SELECT doc_id, 0 AS side, unnest(a) AS w FROM t UNION ALL SELECT doc_id, 1, unnest(b) FROM t), i AS MATERIALIZED (SELECT w, ln((SELECT count(*) + 1 FROM benchmark WHERE text IS NOT NULL) / (count(DISTINCT d) + 1)) AS idf FROM (SELECT DISTINCT w, CAST(NULL AS BIGINT) AS d FROM x UNION ALL SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')), item_id FROM benchmark) GROUP BY 1), k AS MATERIALIZED (SELECT doc_id, side, w, count(*) * CASE WHEN any_value(v.v) IS NULL THEN ln((SELECT count(*) + 1 FROM benchmark WHERE text IS NOT NULL)) ELSE any_value(idf) END AS n, any_value(v.v) AS v FROM x JOIN i USING (w), c LEFT JOIN v ON v.vec_id = CAST('0x' || substr(md5(w), 1, 7) AS BIGINT) % (c.n + c.n // 10) GROUP BY 1, 2, 3), m AS (SELECT a.doc_id, a.w AS aw, b.w AS bw, coalesce(list_dot_product(a.v, b.v), 0) AS s FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.side = 0 AND b.side = 1), best AS (SELECT doc_id, 0 AS side, aw AS w, max(s) AS s FROM m GROUP BY 1, 2, 3 UNION ALL SELECT doc_id, 1, bw, max(s) FROM m GROUP BY 1, 2, 3), g AS (SELECT doc_id, coalesce(sum(s * n) FILTER (side = 0) / sum(n) FILTER (side = 0), 0) AS p, coalesce(sum(s * n) FILTER (side = 1) / sum(n) FILTER (side = 1), 0) AS r FROM best JOIN k USING (doc_id, side, w) GROUP BY 1)"
+
+
+def token_vectors(spark, d, *texts: DataFrame) -> DataFrame:
+    """(token, vector) of the tokens of texts (text)."""
+    rows = table(spark, d, "embeddings")
+    n = rows.count()
+    words = texts[0].select("text")
+    for t in texts[1:]:
+        words = words.union(t.select("text"))
+    words = words.select(F.explode(X.tokens(F.col("text"))).alias("token")).distinct()
+    at = F.conv(F.substring(F.md5("token"), 1, 7), 16, 10).cast("long") % (n + n // 10)
+    return words.withColumn("vec_id", at).join(rows.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("token", "vector")
+
+
+@query(f"WITH {SOFT} SELECT t.doc_id, round(coalesce(p, 0), 4) AS precision, round(coalesce(r, 0), 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM t LEFT JOIN g USING (doc_id)")
+def f22_soft_matching(spark, d):
+    """Every document against the item in the place of its number, token by token, weighted by the items' idf."""
+    items = S.row_index(table(spark, d, "benchmark"), "item_id").select(F.col("idx").alias("at"), F.col("text").alias("reference"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.trim(F.regexp_replace("text", "\\s+", " ")).alias("candidate"), F.pmod("doc_id", F.lit(items.count())).alias("at"))
+    bench = table(spark, d, "benchmark")
+    vectors, unknown = B.with_idf(token_vectors(spark, d, docs.select(F.col("candidate").alias("text")), bench), bench)
+    found = B.pair_scores(docs.join(F.broadcast(items), "at"), vectors, unknown=unknown)
+    return rounded(found.select("doc_id", "precision", "recall", "f1"), 4)
+
+
 @query(f"WITH {TEXT_JOIN} SELECT unnest(['precision', 'recall', 'f1', 'count']) AS metric, unnest([round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(count(*) AS DOUBLE)]) AS value FROM m")
 def g12_summary(spark, d):
     return rounded(E.means(descriptions(spark, d), "precision", "recall", "f1"))
@@ -474,8 +504,8 @@ LIVE_SQL = f"{FACES}, {IMAGES}, o AS MATERIALIZED (SELECT i, ntile((SELECT CAST(
 
 
 def live(spark, d) -> tuple[DataFrame, DataFrame]:
-    s = S.Settings(text_threshold=0.35, face_threshold=THRESHOLD, batch_size=LIVE)
-    return S.compare_all(image_vectors(spark, d), faces(spark, d), s)
+    s = S.Settings(text_threshold=0.35, face_threshold=THRESHOLD, batch_size=LIVE, method="sbert_cosine")
+    return C.compare_all(image_vectors(spark, d), faces(spark, d), s)
 
 
 @query(f"WITH {LIVE_SQL} SELECT i, j, round(similarity_score, 6) AS similarity_score, round(face_bonus, 6) AS face_bonus, face_count FROM live")
@@ -483,6 +513,17 @@ def v06_live_pairs(spark, d):
     return rounded(live(spark, d)[0])
 
 
+ITEMS = "b AS MATERIALIZED (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w, ntile((SELECT CAST(greatest(1, count(*) // 30) AS BIGINT) FROM benchmark)) OVER (ORDER BY item_id) AS batch FROM benchmark), t AS MATERIALIZED (SELECT i, j, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS score FROM (SELECT a.item_id AS i, b.item_id AS j, len(list_filter(a.w, lambda x: list_contains(b.w, x))) / len(a.w) AS p, len(list_filter(b.w, lambda x: list_contains(a.w, x))) / len(b.w) AS r FROM b a JOIN b ON a.batch = b.batch AND a.item_id < b.item_id)), h AS (SELECT a, b FROM hit JOIN b x ON x.item_id = a // 4 JOIN b y ON y.item_id = b // 4 WHERE x.batch = y.batch), g AS MATERIALIZED (SELECT least(a // 4, b // 4) AS i, greatest(a // 4, b // 4) AS j, count(*) AS face_count FROM h WHERE a // 4 <> b // 4 GROUP BY 1, 2)"
+
+
+@query(f"WITH {EDGES}, hit AS MATERIALIZED (SELECT * FROM e WHERE weight > {THRESHOLD}), {ITEMS} {FUSED} WHERE least(score + b, 1.0) >= 0.3")
+def v01_live_texts(spark, d):
+    """The live comparison with texts: items as descriptions, by the token method, with faces and in batches."""
+    s = S.Settings(text_threshold=0.3, face_threshold=THRESHOLD, batch_size=30)
+    images = table(spark, d, "benchmark").select(F.col("item_id").alias("image_id"), F.col("text").alias("description"))
+    return rounded(C.compare_all(images, faces(spark, d), s)[0])
+
+
 @query(f"WITH {LIVE_SQL}, h AS MATERIALIZED (SELECT a, b FROM hit JOIN o x ON x.i = a // 4 JOIN o y ON y.i = b // 4 WHERE x.batch = y.batch), hs AS MATERIALIZED (SELECT a AS src, b AS dst FROM h UNION ALL SELECT b, a FROM h), m0 AS (SELECT vec_id AS node, vec_id AS l FROM embeddings), {', '.join(f'm{k} AS MATERIALIZED (SELECT node, min(l) AS l FROM (SELECT node, l FROM m{k - 1} UNION ALL SELECT hs.src, m.l FROM hs JOIN m{k - 1} m ON m.node = hs.dst) GROUP BY node)' for k in range(1, 3 * LEVELS + 1))} SELECT node AS face_id, l AS match_id FROM m{3 * LEVELS}")
 def j12_live_match_ids(spark, d):
     return G.face_groups(faces(spark, d).select("face_id"), live(spark, d)[1])
