@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumen.functions.text import tokens
-from lumen.operators.similarity import _arrow, _pair_schema
+from lumen.operators.similarity import _arrow, _pair_schema, in_blocks
 from lumen.plans.durable import join_hot, stored
 
 BROADCAST, SLICE = 256 << 20, 1024
@@ -135,8 +135,9 @@ def _joined(rows: DataFrame, table: DataFrame, unknown: float) -> DataFrame:
     return rows.join(scored, "at", "left").select("row", *(F.coalesce(c, empty).alias(c) for c in SCORES))
 
 
-def all_pairs(texts: DataFrame, id: str, text: str, least: float, method: str = "bertscore_f1", vectors: DataFrame | None = None, batch: str | None = None, unknown: float = 1.0) -> DataFrame:
-    """(a, b, score) with a < b for all pairs of texts that score `least` or more, within batches if given.
+def all_pairs(texts: DataFrame, id: str, text: str, least: float, method: str = "bertscore_f1", vectors: DataFrame | None = None, batch: str | None = None, unknown: float = 1.0, fresh: str | None = None) -> DataFrame:
+    """(a, b, score) with a < b for all pairs of texts that score `least` or more, within batches if given; with `fresh`, a column
+    that is true for new rows, only pairs with a new end.
 
     The smaller id is the candidate. Methods: bertscore_f1, or bertscore_precision_recall, the mean of both. Without vectors
     tokens match only equal ones. `vectors` must fit into BROADCAST bytes, which is checked. Null ids and texts have no pairs.
@@ -151,11 +152,8 @@ def all_pairs(texts: DataFrame, id: str, text: str, least: float, method: str =
         known = _load(table, unknown)
     sent = texts.sparkSession.sparkContext.broadcast(known)
     kind = _arrow(texts, id)
-    rows = texts.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), tokens(F.col(text)).alias("t"), (F.col(batch) if batch else F.lit(0)).cast("int").alias("batch"))
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
-    sizes = rows.groupBy("batch").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "batch").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = texts.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), tokens(F.col(text)).alias("t"), (F.col(batch) if batch else F.lit(0)).cast("int").alias("batch"), *([F.col(fresh).alias("fresh")] if fresh else []))
+    rows = in_blocks(stored(rows.withColumn("row", F.monotonically_increasing_id())), ["batch"], BLOCK, bool(fresh))
     rows = rows.select("batch", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "t")
 
     def run(table: pa.Table) -> pa.Table:

@@ -49,3 +49,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         before = state
         now = stored(_small_star(_large_star(now, state[0]), state[0]))
     raise RuntimeError("components: no end after the given number of rounds")
+
+
+def merged(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) after new edges (a, b): groups (node, root) that an edge ties become one, which keeps the smallest root.
+
+    Only groups and new edges meet, the edges inside the groups are not needed: each end is replaced by its group's root,
+    and the components of what is left say which roots are one. Nodes that `known` lacks are groups of their own.
+    """
+    root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    new = stored(edges.select("a", "b").where("a is not null and b is not null"))
+    ties = new.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = stored(components(ties))
+    ends = new.select(F.col("a").alias("node")).union(new.select(F.col("b").alias("node"))).distinct()
+    every = known.select("node", "root").unionByName(ends.join(known, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return every.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))

@@ -54,7 +54,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 def _tile(x: np.ndarray, y: np.ndarray, least: float, same: bool):
     """(i, j, cosine) of the rows of two blocks of unit vectors that reach `least`, slice by slice; each pair once if they are the same."""
-    for s in range(0, len(x), BLOCK):
+    for s in range(0, len(x) if len(y) else 0, BLOCK):
         score = x[s : s + BLOCK] @ y.T
         i, j = np.nonzero(score >= least)
         if same:
@@ -69,16 +69,28 @@ def _rows(df: DataFrame, id: str, vec: str, batch: str | None, *others: str) ->
     return stored(df.select(*columns).where(V.usable(F.col("v"))).withColumns({"size": F.size("v"), "row": F.monotonically_increasing_id()}))
 
 
-def _blocked(df: DataFrame, id: str, vec: str, batch: str | None, meet, schema: str, *others: str) -> DataFrame:
+def _blocked(df: DataFrame, id: str, vec: str, batch: str | None, meet, schema: str, *others: str, fresh: str | None = None) -> DataFrame:
     """meet(table, table, same block) of every pair of blocks, as columns of the schema; the tables have id, v and the other columns.
 
     Rows are dealt by number to blocks of about BLOCK, vectors of different sizes to different ones; each pair of blocks of a
-    batch meets in one task. A block is copied once for each other block of its batch, so the work without batches is quadratic.
+    batch meets in one task. A block is copied once for each other block of its batch, so the work without batches is
+    quadratic. With `fresh`, a column that is true for new rows, these have blocks of their own and only pairs of blocks with
+    a new one meet: every pair of rows with a new end, and no other.
     """
-    rows = _rows(df, id, vec, batch, *others)
-    sizes = rows.groupBy("batch", "size").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
-    rows = rows.join(F.broadcast(sizes) if not batch else sizes, ["batch", "size"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    return _met(rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), meet, schema, *others)
+    rows = _rows(df, id, vec, batch, *others, *([F.col(fresh).alias("fresh")] if fresh else []))
+    return _met(in_blocks(rows, ["batch", "size"], BLOCK, bool(fresh), broadcast=not batch), meet, schema, *others)
+
+
+def in_blocks(rows: DataFrame, group: list[str], size: int, fresh: bool, broadcast: bool = False) -> DataFrame:
+    """rows (row, fresh if asked for, ...) of each group with `block`, about `size` rows, once for each `other` block they meet."""
+    new = F.col("fresh") if fresh else F.lit(True)
+    number = lambda c: F.ceil(F.count_if(c) / size).cast("int")
+    sizes = rows.groupBy(*group).agg(number(new).alias("new"), number(~new).alias("old"))
+    rows = rows.join(F.broadcast(sizes) if broadcast else sizes, group)
+    deal = lambda n: F.pmod(F.xxhash64("row"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    rows = rows.withColumn("block", F.when(new, deal("new")).otherwise(F.col("new") + deal("old")))
+    last = F.when(new, F.col("new") + F.col("old")).otherwise(F.col("new")) - 1
+    return rows.withColumn("other", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))))
 
 
 def _met(rows: DataFrame, meet, schema: str, *others: str) -> DataFrame:
@@ -93,6 +105,8 @@ def _met(rows: DataFrame, meet, schema: str, *others: str) -> DataFrame:
 
 
 def _vectors(table: pa.Table) -> np.ndarray:
+    if not table.num_rows:  # a block that no row was dealt to
+        return np.zeros((0, 1))
     return _unit(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1))
 
 
@@ -112,15 +126,16 @@ def _pairs(least: float, kind: pa.DataType):
     return meet
 
 
-def cosine_pairs(df: DataFrame, id: str, vec: str, least: float, batch: str | None = None) -> DataFrame:
-    """(a, b, score) with a < b for all pairs of rows with a cosine of `least` or more, within batches if given.
+def cosine_pairs(df: DataFrame, id: str, vec: str, least: float, batch: str | None = None, fresh: str | None = None) -> DataFrame:
+    """(a, b, score) with a < b for all pairs of rows with a cosine of `least` or more, within batches if given; with `fresh`, a
+    column that is true for new rows, only pairs with a new end.
 
     One matrix product scores a pair of blocks, and only pairs over the threshold leave a task. Null ids and null, empty and
     zero vectors have no pairs, nor have vectors of different sizes; rows of a repeated id each count, but not with each
     other; ids of any ordered type keep it.
     """
     df = df.where(F.col(id).isNotNull())
-    return _blocked(df, id, vec, batch, _pairs(least, _arrow(df, id)), _pair_schema(df, id))
+    return _blocked(df, id, vec, batch, _pairs(least, _arrow(df, id)), _pair_schema(df, id), fresh=fresh)
 
 
 def _arrow(df: DataFrame, id: str) -> pa.DataType:
@@ -152,7 +167,7 @@ def _judged(least: float):
     def slices(left: pa.Table, right: pa.Table, same: bool):
         x, y, a, b = _vectors(left), _vectors(right), left["label"].to_numpy(), right["label"].to_numpy()
         known = left["label"].is_valid().to_numpy()[:, None] & right["label"].is_valid().to_numpy()[None, :]
-        for s in range(0, len(x), BLOCK):
+        for s in range(0, len(x) if len(y) else 0, BLOCK):
             score = x[s : s + BLOCK] @ y.T
             use = known[s : s + BLOCK]
             if same:
@@ -190,7 +205,7 @@ def wrong_pairs(df: DataFrame, id: str, vec: str, label: str, least: float) -> D
             a, b = x[i + s], y[j]
             turn = np.asarray(a > b, bool)
             parts.append((np.where(turn, b, a), np.where(turn, a, b), true[i, j], score[i, j]))
-        a, b, true, score = (np.concatenate(c) for c in zip(*parts))
+        a, b, true, score = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, x.dtype), np.zeros(0, x.dtype), np.zeros(0, bool), np.zeros(0))
         return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind), "true_label": pa.array(true.astype(np.int32)), "similarity_score": pa.array(score), "error": pa.array(np.where(true, "FN", "FP").tolist(), pa.string())})
 
     pair = _pair_schema(df, id).rsplit(",", 1)[0]
@@ -213,9 +228,9 @@ def cosine_pairs_join(df: DataFrame, id: str, vec: str, least: float, batch: str
     return a.join(b, "batch").where("a < b").select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least)
 
 
-def face_matches(faces: DataFrame, threshold: float, batch: str | None = None) -> DataFrame:
+def face_matches(faces: DataFrame, threshold: float, batch: str | None = None, fresh: str | None = None) -> DataFrame:
     """(a, b, score) of faces (face_id, image_id, embedding) with a cosine strictly above the threshold, same-image pairs included."""
-    pairs = cosine_pairs(faces, "face_id", "embedding", threshold, batch)
+    pairs = cosine_pairs(faces, "face_id", "embedding", threshold, batch, fresh)
     return pairs.where(F.col("score") > threshold)
 
 

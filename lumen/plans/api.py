@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import json
 import threading
+from contextlib import contextmanager
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen.functions.text import basename
-from lumen.operators import compare as C
 from lumen.operators import graph as G
 from lumen.operators import providers
 from lumen.operators import similarity as S
-from lumen.plans.durable import stored
-from lumen.sources import readers, sinks
+from lumen.plans import incremental
+from lumen.sources import sinks
+
+
+unprocessed = incremental.unprocessed
 
 
 class Albums:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.status_of = spark, root.rstrip("/"), {}
+        self.spark, self.root = spark, root.rstrip("/")
         self.lock = threading.Lock()
 
     def _fs(self, path: str):
@@ -48,47 +53,77 @@ class Albums:
         out.close()
         return p.toString()
 
-    def process(self, album: str, describe, find_faces, settings: S.Settings = S.Settings(), threshold: float = 0.8, exif=providers.exif_tags) -> None:
+    def process(self, album: str, describe, find_faces, settings: S.Settings = S.Settings(), threshold: float = 0.8, exif=providers.exif_tags, token_vectors: DataFrame | None = None) -> None:
         """From the files to the metrics: new files are described (`describe` and `find_faces` make models, one for each
-        partition), all images are compared, and the graph and its metrics are made.
+        partition) and compared with all images, and the graph and its metrics are made anew.
 
-        Tables of the album: images, processed, similarities, edges, metrics.
+        Tables of the album, a part for each run: images, similarities, edges, matches; the whole as of each run: identities,
+        results. A run that fails leaves its parts to be overwritten by the next, and the status says why. Pairs of earlier
+        runs are not compared again, and faces keep their identity: that of the first face seen of a person.
         """
-        at = f"{self.root}/{album}"
-        with self.lock:
-            self.status_of[album] = {"processing": True, "last": None}
-        files = self.spark.read.format("binaryFile").load(f"{at}/files").select(F.col("path").alias("image_path"), F.col("length").alias("file_size"), "content")
-        new = unprocessed(files, readers.processed(self.spark, f"{at}/processed"))
-        rows = providers.with_image_info(new, exif=exif)
-        rows = providers.with_model(rows, "content", "description", "string", describe, "")
-        rows = providers.with_model(rows, "content", "faces", "array<array<double>>", find_faces, [])
-        sinks.append(providers.with_vectors(rows, "description").drop("content"), f"{at}/images")
-        images = readers.parquet(self.spark, f"{at}/images")
-        sinks.mark_processed(images.join(readers.processed(self.spark, f"{at}/processed"), "image_path", "left_anti"), f"{at}/processed")
-        images = stored(S.row_index(images, "image_path").withColumnRenamed("idx", "image_id"))
-        faces = images.select("image_id", F.posexplode("faces").alias("pos", "embedding")).withColumn("face_id", F.col("image_id") * (1 << 20) + F.col("pos"))
-        pairs, matches = C.compare_all(images.select("image_id", "description", "embedding"), faces.select("face_id", "image_id", "embedding"), settings)
-        name = lambda k: images.select(F.col("image_id").alias(k), F.col("image_path").alias(f"image{'12'[k == 'j']}_path"))
-        named = pairs.join(name("i"), "i").join(name("j"), "j").select("image1_path", "image2_path", "similarity_score", "face_bonus", "face_count")
-        named.write.mode("overwrite").parquet(f"{at}/similarities")
-        groups = G.face_groups(faces.select("face_id", "image_id"), matches).join(faces.select("face_id", "image_id", "pos"), "face_id").join(images.select("image_id", "image_path"), "image_id")
-        groups.select("image_path", "pos", "match_id").write.mode("overwrite").parquet(f"{at}/matches")
-        found = self.spark.read.parquet(f"{at}/similarities")
-        self.run_pipeline(album, found.select(F.col("image1_path").alias("image1"), F.col("image2_path").alias("image2"), F.col("similarity_score").alias("score")), threshold)
+        with self._running(album) as run:
+            incremental.process(self.spark, f"{self.root}/{album}", run, describe, find_faces, settings, threshold, exif, token_vectors)
+            self._metrics(album)
+
+    def start(self, album: str, *args, **settings) -> threading.Thread:
+        """`process` in the background; `status` tells when it has ended, and how."""
+
+        def work():
+            try:
+                self.process(album, *args, **settings)
+            except Exception:  # the status has it
+                pass
+
+        self._say(album, self.status(album) | {"processing": True, "error": None})
+        thread = threading.Thread(target=work, name=f"album {album}")
+        thread.start()
+        return thread
 
     def run_pipeline(self, album: str, similarities: DataFrame, threshold: float = 0.8) -> None:
         """Similarities (image1, image2, score) to graph and metrics tables of the album."""
+        with self._running(album) as run:
+            G.build(similarities, threshold).write.mode("overwrite").parquet(f"{self.root}/{album}/edges/run={run}")
+            self._metrics(album)
+
+    def _metrics(self, album: str) -> None:
+        G.centralities(self.edges(album)).write.mode("overwrite").parquet(f"{self.root}/{album}/metrics")
+
+    def edges(self, album: str) -> DataFrame:
+        """The graph's edges; of an edge that several runs gave the last one counts."""
+        rows = self.spark.read.schema("a string, b string, weight double, run int").parquet(f"{self.root}/{album}/edges")
+        return G.last_wins(rows, ["a", "b"], "run").select("a", "b", "weight")
+
+    @contextmanager
+    def _running(self, album: str):
+        """The number of a new run; the album's status says that it goes on, then that it has ended or failed."""
         with self.lock:
-            self.status_of[album] = {"processing": True, "last": None}
-        edges = G.build(similarities, threshold)
-        edges.write.mode("overwrite").parquet(f"{self.root}/{album}/edges")
-        edges = self.spark.read.parquet(f"{self.root}/{album}/edges")
-        G.centralities(edges).write.mode("overwrite").parquet(f"{self.root}/{album}/metrics")
-        with self.lock:
-            self.status_of[album] = {"processing": False, "last": self.spark.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")).first()[0]}
+            before = self.status(album)
+            self._say(album, before | {"processing": True, "error": None})
+        try:
+            yield before["run"] + 1
+        except BaseException as e:
+            self._say(album, before | {"processing": False, "error": f"{type(e).__name__}: {e}"[:2000]})
+            raise
+        self._say(album, {"processing": False, "run": before["run"] + 1, "error": None, "last": datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")})
+
+    def _say(self, album: str, status: dict) -> None:
+        fs, p = self._fs(f"{self.root}/{album}/status.json")
+        fs.mkdirs(p.getParent())
+        out = fs.create(p, True)
+        out.write(bytearray(json.dumps(status | {"by": self.spark.sparkContext.applicationId}).encode()))
+        out.close()
 
     def status(self, album: str) -> dict:
-        return self.status_of.get(album, {"processing": False, "last": None})
+        """processing, last (the time of the last run), run (how many have ended), error; it outlives the process. What another
+        session left as processing counts as failed."""
+        fs, p = self._fs(f"{self.root}/{album}/status.json")
+        said = {"processing": False, "last": None, "run": 0, "error": None}
+        if fs.exists(p):
+            said |= json.loads("".join(r.value for r in self.spark.read.text(p.toString()).collect()) or "{}")
+        if said["processing"] and said.pop("by", None) != self.spark.sparkContext.applicationId:
+            said |= {"processing": False, "error": "interrupted"}
+        said.pop("by", None)
+        return said
 
     def metrics(self, album: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{album}/metrics")
@@ -101,7 +136,7 @@ class Albums:
         return self.top_central(album, n=10).select("node")
 
     def graph_json(self, album: str) -> DataFrame:
-        edges = self.spark.read.parquet(f"{self.root}/{album}/edges")
+        edges = self.edges(album)
         return sinks.graph_json(G.nodes(edges).select(F.col("node").alias("id")), edges)
 
     def save_tags(self, album: str, tags: DataFrame) -> None:
@@ -110,8 +145,3 @@ class Albums:
 
 def find_similar(similarities: DataFrame, threshold: float = 0.8) -> DataFrame:
     return similarities.where(F.col("similarity_score") >= threshold).select(F.col("image1_path").alias("image1"), F.col("image2_path").alias("image2"), F.col("similarity_score").alias("similarity"), "face_bonus", F.col("face_count").alias("matching_faces"))
-
-
-def unprocessed(files: DataFrame, processed: DataFrame, key: str = "image_path") -> DataFrame:
-    """What a run has still to do: files that no earlier run has finished."""
-    return files.join(processed, key, "left_anti")

@@ -161,7 +161,7 @@ def test_album_from_files_to_metrics(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "root/a/images")).count() == 4
     assert {r.dimensions for r in spark.read.parquet(str(tmp_path / "root/a/images")).collect()} == {"7x5"}
     assert sorted(r.node for r in albums.top_central("a", "degree").collect()) == ["i0.png", "i1.png", "i2.png"]
-    assert spark.read.parquet(str(tmp_path / "root/a/matches")).select("match_id").distinct().count() == 1
+    assert spark.read.parquet(str(tmp_path / "root/a/identities/run=2")).select("match_id").distinct().count() == 1
     assert albums.status("a")["last"]
 
 
