@@ -10,12 +10,14 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumen import schemas
 from lumen.functions.text import basename
 from lumen.operators import graph as G
 from lumen.operators import providers
 from lumen.operators import similarity as S
+from lumen.operators import tags as T
 from lumen.plans import incremental
-from lumen.sources import sinks
+from lumen.sources import readers, sinks
 
 
 unprocessed = incremental.unprocessed
@@ -139,6 +141,20 @@ class Albums:
         edges = self.edges(album)
         return sinks.graph_json(G.nodes(edges).select(F.col("node").alias("id")), edges)
 
+    def graph_document(self, album: str) -> str:
+        """Writes the album's graph as a document in parts, for graphs of any size; returns the folder."""
+        edges, path = self.edges(album), f"{self.root}/{album}/graph"
+        sinks.write_graph(G.nodes(edges).select(F.col("node").alias("id")), edges, path)
+        return path
+
+    def propagated(self, album: str) -> DataFrame:
+        """(node, tags) of every image of the graph: the saved tags (image, person, place, period, objects as the interface
+        posts them) propagated, confidences with four digits."""
+        edges = self.edges(album)
+        posted = self.spark.read.schema(schemas.UI_ROW).json(f"{self.root}/{album}/tags")
+        seed = T.seeds(readers.ui_tags(posted), G.nodes(edges))
+        return sinks.propagated(G.nodes(edges), T.propagate(edges, seed))
+
     def save_tags(self, album: str, tags: DataFrame) -> None:
         sinks.tags_json(tags, f"{self.root}/{album}/tags")
 

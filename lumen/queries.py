@@ -7,6 +7,8 @@ Doubles are rounded in both, for sums run in different orders.
 from __future__ import annotations
 
 import math
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +25,9 @@ from lumen.operators import similarity as S
 from lumen.operators import tags as T
 from lumen.operators.providers import TEXT_METHODS, text_score
 from lumen.plans import api
-from lumen.plans.durable import stored
+from lumen.operators.components import merged
+from lumen.operators.providers import with_image_info, with_model
+from lumen.plans.durable import shared_dir, stored
 from lumen.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -487,11 +491,15 @@ def k05_metrics_document(spark, d):
 
 @query(f"WITH {EDGES} SELECT CAST(a AS VARCHAR) AS source, CAST(b AS VARCHAR) AS target, round(weight, 6) AS weight FROM e UNION ALL SELECT CAST(node AS VARCHAR), NULL, NULL FROM nodes")
 def k06_graph_document(spark, d):
-    e = edges(spark, d)
-    doc = sinks.graph_json(G.nodes(e).select(F.col("node").cast("string").alias("id")), e.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "weight"))
-    g = doc.select(F.from_json("document", "nodes array<struct<id:string>>, links array<struct<source:string,target:string,weight:double>>").alias("g"))
-    links = g.select(F.explode("g.links").alias("l")).select("l.*")
-    return rounded(links.unionByName(g.select(F.explode("g.nodes.id").alias("source")), allowMissingColumns=True))
+    e, at = edges(spark, d), folder(spark)
+    sinks.write_graph(G.nodes(e).select(F.col("node").cast("string").alias("id")), e.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "weight"), at)
+    nodes, links = readers.graph_parts(spark, at)
+    return rounded(links.unionByName(nodes.select(F.col("id").alias("source")), allowMissingColumns=True))
+
+
+def folder(spark) -> str:
+    """A new folder among the session's tables."""
+    return f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
 @query(f"WITH {EDGES} SELECT a, b, round(2 * weight, 6) AS width FROM e")
@@ -602,3 +610,106 @@ def k11_propagated_lists(spark, d):
     e = edges(spark, d)
     lists = sinks.propagated(G.nodes(e), T.propagate(e, tag_seeds(spark, d, e)))
     return lists.select("node", F.size("tags").cast("long").alias("tags"), F.array_join(F.transform("tags", lambda t: t["tag"]), ",").alias("list"))
+
+
+@query(f"WITH {EDGES}, {POWER}, g AS (SELECT src AS node, count(*) / (SELECT n - 1 FROM size) AS c FROM s GROUP BY 1) SELECT g.node, round(3000 * round(x, 4), 2) AS size, round(c, 6) AS colour FROM g JOIN x{ROUNDS} USING (node)")
+def k07_plot_nodes(spark, d):
+    e = stored(edges(spark, d))
+    wide = G.degree(e).withColumnRenamed("score", "degree").join(G.eigenvector(e, ROUNDS, 0.0).select("node", F.round("score", 4).alias("eigenvector")), "node")
+    return sinks.plot_table(wide).select("node", F.round("size", 2).alias("size"), F.round("colour", 6).alias("colour"))
+
+
+@query(f"{TAGS} SELECT node, tag, round(conf, 4) AS confidence FROM final WHERE conf > 0")
+def p14_confidences(spark, d):
+    e = edges(spark, d)
+    lists = sinks.propagated(G.nodes(e), T.propagate(e, tag_seeds(spark, d, e)))
+    return lists.select("node", F.explode("tags").alias("t")).select("node", "t.tag", "t.confidence")
+
+
+@query("SELECT unnest(['quantity', 'discount', 'none', 'count']) AS metric, unnest([round(avg(CASE WHEN l_linenumber % 3 <> 0 AND l_linenumber % 4 <> 0 THEN l_quantity END), 6), round(avg(l_discount), 6), CAST('NaN' AS DOUBLE), CAST(count(*) AS DOUBLE)]) AS value FROM lineitem")
+def g11_means_of_gaps(spark, d):
+    """Means over numbers with nulls, NaN and texts among them."""
+    rows = table(spark, d, "lineitem").selectExpr("case when l_linenumber % 3 = 0 then double('NaN') when l_linenumber % 4 <> 0 then double(l_quantity) end as quantity", "string(l_discount) as discount", "'x' as none")
+    return rounded(E.means(rows, "quantity", "discount", "none"))
+
+
+@query("SELECT vec_id, CAST(k AS INTEGER) AS k, round(CAST(embedding[k + 1] AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS x FROM embeddings, range(64) r(k)")
+def f07_normalised(spark, d):
+    return rounded(table(spark, d, "embeddings").select("vec_id", F.posexplode(V.normalised(F.col("embedding"))).alias("k", "x")))
+
+
+@query("SELECT page_id, coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages")
+def x01_described(spark, d):
+    """A model for every page by the provider hook; one that fails on a row gives the default."""
+    model = lambda html: re.search("<title>([^<]*)</title>", html)[1]
+    return with_model(table(spark, d, "pages").select("page_id", "html"), "html", "title", "string", lambda: model, "").select("page_id", "title")
+
+
+@query("SELECT p_partkey, (p_partkey % 5000 + 1) || 'x' || (p_size + 1) AS dimensions, left(p_brand, 9) AS make, CAST(p_size % 8 + 1 AS VARCHAR) AS orientation FROM part")
+def s03_image_info(spark, d):
+    """Sizes and tags of images whose headers Spark makes of the parts: PNG files with an EXIF chunk of two entries."""
+    four = lambda c: F.lpad(F.hex(c), 8, "0")
+    flip = lambda h: F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
+    make = F.rpad(F.hex(F.encode(F.substring("p_brand", 1, 9), "utf-8")), 20, "0")
+    # Little-endian: two entries of 12 bytes from 10 on, no next directory, the maker's name at 38.
+    block = F.concat(F.lit("49492A0008000000" + "0200" + "0F0102000A00000026000000" + "1201030001000000"), flip(four(F.expr("p_size % 8 + 1"))), F.lit("00000000"), make)
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), four(F.expr("p_partkey % 5000 + 1")), four(F.expr("p_size + 1")), F.lit("080200000000000000"), F.lit("00000030" + "65584966"), block, F.lit("00000000"))
+    info = with_image_info(table(spark, d, "part").select("p_partkey", F.unhex(head).alias("content")))
+    return info.select("p_partkey", "dimensions", F.col("exif")["Make"].alias("make"), F.col("exif")["Orientation"].alias("orientation"))
+
+
+@query(f"WITH {EDGES}, g AS (SELECT src AS node, count(*) / (SELECT n - 1 FROM size) AS score FROM s GROUP BY 1) SELECT 'degree' AS metric, CAST(node AS VARCHAR) AS node, round(score, 6) AS score FROM g")
+def s10_metrics_document(spark, d):
+    """Written as JSON documents, one a metric, and read again."""
+    at, found = folder(spark), G.centralities(edges(spark, d), ("degree",))
+    doc = sinks.metrics_json(found.withColumn("node", F.col("node").cast("string")))
+    doc.select(F.concat(F.lit('{"'), "metric", F.lit('": '), "document", F.lit("}"))).write.text(at)
+    return rounded(readers.metrics_document(spark, at))
+
+
+@query("SELECT lower(trim(' User_' || user_id || '.JPG ')) AS node, 'face' AS kind, lower(event_type) AS tag, CAST(user_id % 7 AS VARCHAR) AS face_id FROM (SELECT DISTINCT user_id, event_type FROM events) UNION ALL SELECT lower('User_' || user_id || '.JPG'), 'general', 'sea', NULL FROM (SELECT DISTINCT user_id FROM events)")
+def s12_tag_document(spark, d):
+    """Tag documents of users written as JSON, one a user, and read again."""
+    at = folder(spark)
+    users = table(spark, d, "events").select("user_id", "event_type").distinct().groupBy("user_id").agg(F.collect_set("event_type").alias("names"))  # a few types a user
+    faces = F.transform("names", lambda n: F.struct(F.upper(n).alias("name"), F.expr("string(user_id % 7)").alias("face_id")))
+    doc = F.to_json(F.create_map(F.concat(F.lit(" User_"), F.col("user_id").cast("string"), F.lit(".JPG ")), F.struct(faces.alias("face_tags"), F.array(F.lit("Sea ")).alias("general_tags"))))
+    users.select(doc.alias("value")).write.text(at)
+    lines = spark.read.text(at).select("value")
+    return readers.tag_rows(lines)
+
+
+@query("SELECT 'c' || c_custkey || '.png' AS node, 'face' AS kind, lower(c_mktsegment) AS tag, CAST(NULL AS VARCHAR) AS face_id FROM customer UNION ALL SELECT 'c' || c_custkey || '.png', 'general', CAST(c_nationkey AS VARCHAR), NULL FROM customer UNION ALL SELECT 'c' || c_custkey || '.png', 'general', unnest(['boat', 'sea']), NULL FROM customer WHERE c_custkey % 2 = 0")
+def s13_ui_tags(spark, d):
+    rows = table(spark, d, "customer").selectExpr("' C' || c_custkey || '.PNG' as filename", "c_mktsegment || ', ,' as person", "string(c_nationkey) as place", "' ' as period", "case when c_custkey % 2 = 0 then array('Boat ', 'Sea') end as objects")
+    return readers.ui_tags(rows)
+
+
+@query(f"WITH {EDGES} SELECT 'i' || a AS image1_path, 'i' || b AS image2_path, round(weight, 6) AS similarity_score, CAST(0 AS DOUBLE) AS face_bonus, 0 AS face_count FROM e")
+def k02_shards_compacted(spark, d):
+    """Similarities appended in two shards, then written as one table and as CSV, and read from there."""
+    shards, one = folder(spark), folder(spark)
+    name = lambda c: F.concat(F.lit("i"), F.col(c).cast("string"))
+    rows = stored(edges(spark, d).select(name("a").alias("image1_path"), name("b").alias("image2_path"), F.round("weight", 6).alias("similarity_score"), F.lit(0.0).alias("face_bonus"), F.lit(0).alias("face_count")))
+    for half in (0, 1):
+        sinks.append_similarities(rows.where(F.pmod(F.xxhash64("image1_path"), F.lit(2)) == half), shards)
+    sinks.compact(readers.parquet(spark, shards), f"{one}/sim_20250101_000000.parquet")
+    sinks.parquet_to_csv(spark, one, "sim", f"{one}/csv")
+    return readers.by_suffix(spark, f"{one}/csv").selectExpr("image1_path", "image2_path", "double(similarity_score) as similarity_score", "double(face_bonus) as face_bonus", "int(face_count) as face_count")
+
+
+@query(f"WITH {EDGES} SELECT a, b, round(weight, 6) AS score FROM e WHERE a % 3 = 0 OR b % 3 = 0")
+def k12_pairs_with_a_new_end(spark, d):
+    """What a run over new images has to compare: here one image in three is new."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding", (F.col("vec_id") % 3 == 0).alias("fresh"))
+    pairs = C.text_pairs(rows, THRESHOLD, S.Settings(method="sbert_cosine"), fresh="fresh")
+    return rounded(pairs.select(F.col("i").alias("a"), F.col("j").alias("b"), "score"))
+
+
+@query(f"WITH {EDGES}, {LABELS} SELECT node, l AS root FROM l{LEVELS}")
+def g05_groups_after_uploads(spark, d):
+    """Groups kept from a first half of the edges, then tied by the other half."""
+    e = stored(edges(spark, d).select("a", "b"))
+    half = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0
+    none = G.nodes(e).limit(0).select("node", F.col("node").alias("root"))
+    return merged(stored(merged(none, e.where(half))), e.where(~half))

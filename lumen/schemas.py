@@ -16,5 +16,6 @@ SIMILARITIES = T.StructType([
 GRAPH = "nodes array<struct<id:string>>, links array<struct<source:string,target:string,weight:string>>"
 METRICS = "map<string,map<string,double>>"
 TAGS = "map<string,struct<face_tags:array<struct<name:string,face_id:string>>,general_tags:array<string>>>"
+UI_ROW = "filename string, person string, place string, period string, objects array<string>"
 UI_TAGS = "array<struct<filename:string,person:string,place:string,period:string,objects:array<string>>>"
 CHECKPOINT = "processed string, at timestamp"

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -5,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumen.operators import graph as G
+from lumen.plans.api import Albums
+from lumen.sources import readers, sinks
 
 
 def edges(spark, *rows):
@@ -68,3 +71,31 @@ def test_build_collapses_names_and_top_reads_parameters(spark):
     assert [r.node for r in G.top(m, "degree").collect()] == ["b", "a", "c"]
     with pytest.raises(ValueError):
         G.top(m, "size")
+
+
+def test_graph_document_in_parts(spark, tmp_path):
+    """Parts joined by name are valid JSON with everything in order; quotes, ties and repeated edges survive; empty graphs too."""
+    rows = [(f'n"{k % 7}', f"m{k}", k / 10) for k in range(40)] + [('n"0', "m0", 0.0)]
+    e = edges(spark, *rows)
+    nodes = G.nodes(e).select(F.col("node").alias("id"))
+    for k, (some, parts) in enumerate(((e, 5), (e, 1), (e.limit(0), 3))):
+        known = nodes if some is e else nodes.limit(0)
+        sinks.write_graph(known, some, str(tmp_path / f"g{k}"), parts)
+        files = sorted((tmp_path / f"g{k}").glob("part-*"))
+        doc = json.loads("".join(f.read_text() for f in files))
+        assert [n["id"] for n in doc["nodes"]] == sorted(r.id for r in known.collect())
+        assert [(x["source"], x["target"], x["weight"]) for x in doc["links"]] == (sorted(rows) if some is e else [])
+        read = readers.graph_parts(spark, str(tmp_path / f"g{k}"))
+        assert (read[0].count(), read[1].count()) == (len(doc["nodes"]), len(doc["links"]))
+    assert max(len(line) for f in (tmp_path / "g1").glob("part-*") for line in f.read_text().splitlines()) < 80
+
+
+def test_saved_tags_become_lists(spark, tmp_path):
+    albums = Albums(spark, str(tmp_path))
+    albums.create_album("a")
+    albums.run_pipeline("a", spark.createDataFrame([("/x/IMG_1.JPG", "/x/b.png", 0.95), ("/x/b.png", "/x/c.png", 0.85)], "image1 string, image2 string, score double"))
+    albums.save_tags("a", spark.createDataFrame([("img_1.jpg", "Bob, Ann", "Rome", "", ["Sea", "boat"])], "filename string, person string, place string, period string, objects array<string>"))
+    got = {r.node: {t.tag: t.confidence for t in r.tags} for r in albums.propagated("a").collect()}
+    assert got["IMG_1.JPG"] == dict.fromkeys(("bob", "ann", "rome", "sea", "boat"), 1.0) and set(got) == {"IMG_1.JPG", "b.png", "c.png"}
+    path = albums.graph_document("a")
+    assert {r.id for r in readers.graph_parts(spark, path)[0].collect()} == {"IMG_1.JPG", "b.png", "c.png"}
