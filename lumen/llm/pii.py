@@ -155,7 +155,9 @@ def find(docs: DataFrame, text: str = "text", disclosure: float = 0.5, support:
     Other columns stay, whatever their names; one named spans gives way. The rows are held in a durable table, since the
     spans of the corpus decide on each text.
     """
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    others = [c for c in docs.columns if c.lower() not in (text.lower(), "spans")]
+    rest = F.struct(*(docs[c] for c in others)) if others else F.struct(F.lit(0))  # the text itself is kept once
+    rows = docs.select(rest.alias("doc"), F.monotonically_increasing_id().alias("row"), F.coalesce(docs[text], F.lit("")).alias("text"))
     rows = stored(base_spans(rows).withColumn("copy", F.xxhash64("text", F.reverse("text"))))
     one = stored(rows.where(F.size("base") > 0).groupBy("copy").agg(F.count("*").alias("w"), F.first("text").alias("text"), F.first("base").alias("base")))
     known, values = disclosing(rows, one, disclosure, support)
@@ -165,7 +167,6 @@ def find(docs: DataFrame, text: str = "text", disclosure: float = 0.5, support:
     found = join_hot(rows, terms, "copy", counts, total, F.col("row"), how="left")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
     found = found.withColumn("spans", F.concat("base", F.coalesce("terms", none)))
-    others = [c for c in docs.columns if c.lower() not in (text.lower(), "spans")]
     return found.select(*(F.col("doc")[c].alias(c) for c in others), F.col("text").alias(text), "spans")
 
 
@@ -184,7 +185,8 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     """The rows and columns of docs, whatever the names of the others, with their texts sanitised."""
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), docs[text].alias("text"))
+    others = [c for c in docs.columns if c.lower() != text.lower()]
+    packed = docs.select((F.struct(*(docs[c] for c in others)) if others else F.struct(F.lit(0))).alias("doc"), docs[text].alias("text"))
     found = find(packed, "text", **settings)
     clean = sanitised(F.col("text"), F.col("spans"))
     return found.select(*((clean if c.lower() == text.lower() else F.col("doc")[c]).alias(c) for c in docs.columns))
