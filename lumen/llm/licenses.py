@@ -116,13 +116,15 @@ def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text", do
 def scan_sql() -> str:
     """The same in DuckDB's SQL, over documents with different ids."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    texts = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in KNOWN.items())
+    texts = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in notices())
+    digests = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in DIGESTS.items())
     form = "regexp_replace(lower(coalesce(text, '')), '(^|\\n)[^\\p{L}\\p{N}\\n]*(copyright|\\(c\\)|©)[^\\n]*', '\\1', 'g')"
     for a, b in SPELLINGS.items():
         form = f"replace({form}, {quoted(a)}, {quoted(b)})"
     form = f"list_filter(list_transform(string_split(regexp_replace({form}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
     return f"""
-WITH known AS (SELECT license, sha256(array_to_string({form}, ' ')) AS digest FROM (VALUES {texts}) v(license, text)),
+WITH known AS (SELECT min(license) AS license, digest FROM (SELECT license, sha256(array_to_string({form}, ' ')) AS digest FROM (VALUES {texts}) v(license, text)
+  UNION ALL SELECT * FROM (VALUES {digests}) v(license, digest)) GROUP BY digest),
 d AS (SELECT doc_id, {form} AS lines FROM documents),
 w AS (SELECT doc_id, sha256(array_to_string(lines, ' ')) AS text_sha256 FROM d),
 l AS (SELECT doc_id, license FROM (SELECT doc_id, sha256(unnest(lines)) AS digest FROM d) JOIN known USING (digest)),

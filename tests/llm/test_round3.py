@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from pathlib import Path
 from collections import Counter
 from itertools import permutations
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumen.llm import interactions, language, trie
+from lumen.llm import interactions, language, licenses, trie
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -220,3 +221,24 @@ def test_languages_of_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found) > 0
+
+
+def test_license_digests_are_those_of_the_texts(spark):
+    """The digests of whole texts, against the texts that this machine has, if it has any."""
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    files = {k: Path("/usr/share/common-licenses", v) for k, v in names.items()}
+    rows = [(k, f.read_text()) for k, f in files.items() if f.exists()]
+    if not rows:
+        pytest.skip("no licence texts here")
+    found = licenses.scan(spark.createDataFrame([(k, t.upper().replace("\n", " \r\n")) for k, (_, t) in enumerate(rows)], "doc_id long, text string"))
+    assert {rows[r.doc_id][0]: r.license for r in found.collect()} == {k: k for k, _ in rows}
+
+
+@pytest.mark.parametrize("columns", ["doc_id long, text string, lang string, source string, score double, part string, mask int, lang_pred string, held_out string"])
+def test_new_operators_keep_apart_clashing_columns(spark, columns):
+    row = (1, "a b c", "en", "s", 0.5, "p", 3, "x", "y")
+    d = spark.createDataFrame([row, (None,) * 9], columns)
+    assert language.identify(d).columns == ["doc_id", "held_out", "lang_pred", "score", "lang_spans"]
+    model = language.Model(["en"], np.ones((language.BUCKETS + len(language.NAMES), 1), np.int64))
+    assert [c for c in language.label(d, model).columns] == ["doc_id", "lang", "source", "part", "mask", "held_out", "lang_pred", "score", "lang_spans"]
+    assert interactions.audit(d, spark.createDataFrame([(1, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")).count() == 2 * 600
