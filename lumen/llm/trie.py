@@ -92,7 +92,6 @@ def build(turns: DataFrame, counts: DataFrame) -> DataFrame:
     `turns` (conv_id, k, digest, bytes) has k from 1 without gaps, `counts` (conv_id, n) every conversation once, also those
     without turns. saved_tokens: bytes of the last turn times the members but one, over a node's subtree.
     """
-    spark = turns.sparkSession
     root = counts.select("conv_id", "n", F.lit(b"").alias("key"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("bytes"))
     levels, alone, ended, depth = [], [], [], 0
     nodes, live = _named(root, 0)
