@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +90,11 @@ def pair_scores(pairs: DataFrame, vectors: DataFrame | None, candidate: str = "c
 
 
 def _load(table: DataFrame, unknown: float) -> Vectors:
-    t = table.orderBy("token").toArrow()
-    return Vectors(t["token"].to_pylist(), np.array(t["v"].to_pylist(), np.float64).reshape(t.num_rows, -1), t["w"].to_numpy(), unknown)
+    t = table.orderBy("token").toArrow().combine_chunks()
+    if len(set(pc.list_value_length(t["v"]).to_pylist())) > 1:
+        raise ValueError("the token vectors are of different sizes")
+    v = pc.list_flatten(t["v"]).to_numpy()
+    return Vectors(t["token"].to_pylist(), v.reshape(t.num_rows, -1) if len(v) else np.zeros((t.num_rows, 1)), t["w"].to_numpy(), unknown)
 
 
 def _sent(rows: DataFrame, table: DataFrame, unknown: float) -> DataFrame:

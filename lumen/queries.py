@@ -580,13 +580,18 @@ def tag_seeds(spark, d, e: DataFrame) -> DataFrame:
     return T.seeds(rows.select(F.concat(F.lit(" "), F.col("node").cast("string")).alias("node"), tags), G.nodes(e))
 
 
-def _rounds(n: int = 3, q: float = 0.65, alpha: float = 0.25) -> str:
+def _rounds(n: int = 3, q: float = 0.65, alpha: float = 0.25, average: bool = False) -> str:
     parts = []
     for i in range(n):
         if i == 0:
             parts.append(f"n0 AS MATERIALIZED (SELECT node, tag, conf / (1 + {alpha} * ln(count(*) OVER (PARTITION BY tag) + 0.01)) AS conf FROM seed)")
             parts.append("c0 AS (SELECT src, count(DISTINCT dst) AS c FROM s WHERE dst IN (SELECT node FROM n0) GROUP BY 1)")
             parts.append(f"p0 AS (SELECT s.src AS node, tag, sum(weight * conf) / (1 + {alpha} / 1.5 * ln(any_value(c) + 0.01)) AS conf FROM s JOIN n0 ON n0.node = s.dst JOIN c0 ON c0.src = s.src WHERE s.src NOT IN (SELECT node FROM seed) GROUP BY 1, 2)")
+        elif average:
+            parts.append(f"g{i} AS MATERIALIZED (SELECT node, tag, conf / (1 + {alpha} * ln(count(*) OVER (PARTITION BY tag) + 0.01)) AS conf FROM o{i - 1})")
+            parts.append(f"n{i} AS MATERIALIZED (SELECT * FROM g{i} WHERE node NOT IN (SELECT node FROM seed))")
+            parts.append(f"c{i} AS (SELECT src, count(DISTINCT dst) AS c FROM s WHERE dst IN (SELECT node FROM g{i}) GROUP BY 1)")
+            parts.append(f"p{i} AS (SELECT s.src AS node, tag, sum(weight * conf) / (1 + {alpha} / 1.5 * ln(any_value(c) + 0.01)) AS conf FROM s JOIN n{i} n ON n.node = s.dst JOIN c{i} c ON c.src = s.src WHERE s.src NOT IN (SELECT node FROM seed) GROUP BY 1, 2)")
         else:
             parts.append(f"n{i} AS MATERIALIZED (SELECT * FROM o{i - 1} WHERE node NOT IN (SELECT node FROM seed))")
             parts.append(f"p{i} AS (SELECT near.src AS node, tag, median(conf) AS conf FROM near JOIN o{i - 1} o ON o.node = near.dst WHERE near.src NOT IN (SELECT node FROM seed) GROUP BY 1, 2)")
@@ -599,6 +604,12 @@ def _rounds(n: int = 3, q: float = 0.65, alpha: float = 0.25) -> str:
 TAGS = f"WITH {EDGES}, best AS (SELECT src AS node FROM s GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 10), seed AS (SELECT node, unnest(['tag_' || label, 'album']) AS tag, CAST(1 AS DOUBLE) AS conf FROM best JOIN embeddings ON vec_id = node), near AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rk, count(*) OVER (PARTITION BY src) AS c FROM s) WHERE c >= 3 OR rk <= 3), {_rounds()}, final AS (SELECT coalesce(o.node, seed.node) AS node, coalesce(o.tag, seed.tag) AS tag, coalesce(seed.conf, o.conf) AS conf FROM o2 o FULL JOIN seed ON seed.node = o.node AND seed.tag = o.tag)"
 
 
+@query(f"{TAGS.replace(_rounds(), _rounds(average=True))} SELECT node, tag, round(conf, 4) AS conf FROM final")
+def t06_average_propagation(spark, d):
+    e = edges(spark, d)
+    return rounded(T.propagate(e, tag_seeds(spark, d, e), method="average"), 4)
+
+
 @query(f"{TAGS} SELECT node, tag, round(conf, 4) AS conf FROM final")
 def t10_tag_propagation(spark, d):
     e = edges(spark, d)

@@ -92,7 +92,7 @@ def test_neighbours_of_hubs_and_ties(spark):
         strong = [x for x in near if x[1] is not None and x[1] >= 0.3]
         want = strong if len(strong) >= 3 else sorted(near, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))[:3]
         assert sorted(got[node], key=str) == sorted(want, key=str)
-    assert got["h"] == sorted(got["h"], key=lambda x: x[0]) or len(got["h"]) == 3
+    assert len(got["h"]) == 3
 
 
 def brute_pairs(rows, least):
