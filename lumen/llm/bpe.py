@@ -69,6 +69,10 @@ class Cache(dict):
         self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class MergeList:
     """Vocabulary and merges of a tokenizer file (BPE with word ends, lower case, white space dropped)."""
@@ -375,8 +379,8 @@ def decoder(spec: str, plain: bool) -> TextDecoder:
     return TextDecoder(encoder(spec).m, plain)
 
 
-def _mapped(docs: DataFrame, tokenizer: str, columns: list[str], doc_id: str, work, kinds: list[tuple[str, pa.DataType, str]]) -> DataFrame:
-    """doc_id and what work(spec) makes of each row's columns, row by row."""
+def _mapped(docs: DataFrame, tokenizer: str, columns: list[str], doc_id: str, work, kinds: list[tuple[str, pa.DataType, str]], after=lambda spec: None) -> DataFrame:
+    """doc_id and what work(spec) makes of each row's columns, row by row; after(spec) is called when a task's rows end."""
     sent = _loader(docs.sparkSession, tokenizer)
 
     def run(batches):
@@ -384,6 +388,7 @@ def _mapped(docs: DataFrame, tokenizer: str, columns: list[str], doc_id: str, wo
         for b in batches:
             got = [one(*(x.as_py() for x in row)) for row in zip(*(b.column(1 + k) for k in range(len(columns))))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], t) for k, (_, t, _) in enumerate(kinds))], ["doc_id", *(n for n, _, _ in kinds)])
+        after(sent.value)
 
     rows = docs.select(docs[doc_id].alias("doc_id"), *(docs[c].alias(f"c{k}") for k, c in enumerate(columns)))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, _, t in kinds))
@@ -400,7 +405,10 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
 
 
 def encode_and_decode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, token_ids and decoded, the readable text of the ids as `decode` gives it."""
+    """doc_id, n_tokens, token_ids and decoded, the readable text of the ids as `decode` gives it.
+
+    Known words are forgotten at the end of a task: workers live on, and other work shares their memory.
+    """
 
     def work(spec):
         e, d = encoder(spec), decoder(spec, False)
@@ -413,7 +421,14 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, text: str = "text", doc_i
 
         return one
 
-    return _mapped(docs, tokenizer, [text], doc_id, work, [("n_tokens", pa.int64(), "long"), ("token_ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string")])
+    return _mapped(docs, tokenizer, [text], doc_id, work, [("n_tokens", pa.int64(), "long"), ("token_ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string")], release)
+
+
+def release(spec: str) -> None:
+    """Empties the memory for words of this worker's encoder and decoder; their tables stay."""
+    e, d = encoder(spec), decoder(spec, False)
+    for held in (e.words, e.pieces, e.shown, d.known):
+        held.forget()
 
 
 def decode(tokens: DataFrame, tokenizer: str, ids: str = "token_ids", doc_id: str = "doc_id") -> DataFrame:
