@@ -9,6 +9,9 @@ How Spark runs it: a table of up to BROADCAST bytes goes to the tasks and pairs
 shuffle. A larger one is joined by token (the rows of frequent tokens are dealt to many tasks), and the tokens of a pair
 meet by its number. All pairs of a batch meet in pairs of blocks of texts, as vectors do in `similarity`: the tokens of
 two blocks are compared once, and only pairs over the threshold leave a task. Matrices are built in slices of SLICE tokens.
+
+Where many tokens share a vector, `keys` (token, key[, weight]) tells which of vectors (key, vector) a token has: then a
+token takes 20 bytes in the tasks, its hashes, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -30,13 +33,14 @@ SCORES = ("precision", "recall", "f1")
 
 
 def with_idf(vectors: DataFrame, corpus: DataFrame, text: str = "text") -> tuple[DataFrame, float]:
-    """(token, vector, weight) and the weight of unknown tokens: ln((M + 1) / (df + 1)) over the M texts of the corpus, null
-    ones left out."""
+    """vectors (token, vector) or keys (token, key) with the weight of tokens, and the weight of unknown ones: ln((M + 1) / (df + 1))
+    over the M texts of the corpus, null ones left out."""
     texts = corpus.where(F.col(text).isNotNull())
     m = texts.count()
     df = texts.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     weight = F.log(F.lit(m + 1.0) / (F.coalesce("df", F.lit(0)) + 1))
-    return vectors.join(df, "token", "left").select("token", "vector", weight.alias("weight")), float(np.log(m + 1.0))
+    kept = [c for c in vectors.columns if c != "weight"]
+    return vectors.join(df, "token", "left").select(*kept, weight.alias("weight")), float(np.log(m + 1.0))
 
 
 def _table(vectors: DataFrame) -> DataFrame:
@@ -59,6 +63,25 @@ class Vectors:
         return at, self.w[at] * n
 
 
+class Hashed:
+    """Unit vectors and weights of tokens by the tokens' hashes (h: 64 bits, each once; c: 32 more that must agree too)."""
+
+    def __init__(self, h: np.ndarray, c: np.ndarray, place: np.ndarray, weights: np.ndarray, v: np.ndarray, unknown: float):
+        order = np.argsort(h)
+        self.h, self.c, self.place = h[order], c[order].astype(np.uint32), place[order].astype(np.int32) + 1
+        values, code = np.unique(weights[order], return_inverse=True)
+        self.w, self.code = np.concatenate((values, [unknown])), code.astype(np.int32)
+        self.v = np.concatenate((np.zeros((1, v.shape[1])), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)))
+
+    def read(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the vectors, weights) of the different tokens of a text, as `Vectors.read`; place 0 is the unknown token."""
+        at = np.minimum(np.searchsorted(self.h, h), max(len(self.h) - 1, 0))
+        known = (self.h[at] == h) & (self.c[at] == c) if len(self.h) else np.zeros(len(h), bool)
+        at, n = np.unique(np.where(known, at, -1), return_counts=True)
+        held = at >= 0
+        return np.where(held, self.place[at], 0) if len(self.h) else at * 0, self.w[np.where(held, self.code[at], -1) if len(self.h) else at] * n
+
+
 def matched(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> tuple[float, float, float]:
     """(precision, recall, f1) of unit vectors x, the candidate's tokens, and y, the reference's, with their weights."""
     if not len(x) or not len(y):
@@ -77,9 +100,17 @@ def _means(to_x: np.ndarray, wx: np.ndarray, to_y: np.ndarray, wy: np.ndarray) -
     return p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0
 
 
-def pair_scores(pairs: DataFrame, vectors: DataFrame | None, candidate: str = "candidate", reference: str = "reference", unknown: float = 1.0, limit: int = BROADCAST) -> DataFrame:
-    """The rows of pairs with precision, recall and f1 of the candidate against the reference; columns of these names give way."""
+def pair_scores(pairs: DataFrame, vectors: DataFrame | None, candidate: str = "candidate", reference: str = "reference", unknown: float = 1.0, limit: int = BROADCAST, keys: DataFrame | None = None) -> DataFrame:
+    """The rows of pairs with precision, recall and f1 of the candidate against the reference; columns of these names give way.
+
+    With `keys` (token, key[, weight]) the vectors are (key, vector), each key once.
+    """
     kept = [c for c in pairs.columns if c.lower() not in SCORES]
+    if keys is not None and vectors is not None:
+        if (sent := _hashes(keys, vectors, unknown, limit)) is not None:
+            found = _sent_hashed(pairs.select(F.struct(*(pairs[c] for c in kept)).alias("row"), tokens(pairs[candidate]).alias("x"), tokens(pairs[reference]).alias("y")), sent)
+            return found.select(*(F.col("row")[c].alias(c) for c in kept), *SCORES)
+        vectors = keys.join(vectors, "key").select("token", "vector", *(["weight"] if "weight" in keys.columns else []))
     if vectors is None:
         return pairs.select(*(pairs[c] for c in kept), *(F.lit(None).cast("double").alias(c) for c in SCORES))
     table = stored(_table(vectors))
@@ -116,6 +147,47 @@ def _sent(rows: DataFrame, table: DataFrame, unknown: float) -> DataFrame:
     return rows.mapInArrow(run, f"row {kind}, precision double, recall double, f1 double")
 
 
+def _hashes(keys: DataFrame, vectors: DataFrame, unknown: float, limit: int) -> Hashed | None:
+    """What the tasks need of keys and vectors; None if it takes more than `limit` bytes or two tokens have one hash."""
+    known = stored(vectors.where("key is not null and vector is not null").select("key", F.col("vector").cast("array<double>").alias("v")))
+    weight = F.coalesce("weight", F.lit(1.0)).cast("double") if "weight" in keys.columns else F.lit(1.0)
+    one = keys.where("token is not null").join(known.select("key"), "key", "left_semi").groupBy("token").agg(F.max(F.struct("key", weight.alias("w"))).alias("t"))
+    table = stored(one.select(F.xxhash64("token").alias("h"), F.crc32("token").alias("c"), "t.*"))
+    size = table.count() * 20 + known.agg(F.coalesce(F.sum(F.size("v") * 8 + 8), F.lit(0))).first()[0]
+    if size > limit:
+        return None
+    t, u = table.toArrow(), known.orderBy("key").toArrow().combine_chunks()
+    h = t["h"].to_numpy()
+    if len(np.unique(h)) < len(h):
+        return None
+    if len(set(pc.list_value_length(u["v"]).to_pylist())) > 1:
+        raise ValueError("the token vectors are of different sizes")
+    v = pc.list_flatten(u["v"]).to_numpy()
+    place = pc.index_in(t["key"], value_set=u["key"].combine_chunks()).to_numpy()
+    return Hashed(h, t["c"].to_numpy(), place, t["w"].to_numpy(), v.reshape(u.num_rows, -1) if len(v) else np.zeros((u.num_rows, 1)), unknown)
+
+
+def _sent_hashed(rows: DataFrame, table: Hashed) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+    kind = rows.schema["row"].dataType.simpleString()
+    hashes = lambda c: (F.transform(c, lambda t: F.xxhash64(t)).alias(f"h{c}"), F.transform(c, lambda t: F.crc32(t)).alias(f"c{c}"))
+
+    def run(batches):
+        known = sent.value
+        for b in batches:
+            out = []
+            for k in range(b.num_rows):
+                x, cx, y, cy = (b.column(i)[k] for i in range(1, 5))
+                if not x.is_valid or not y.is_valid:
+                    out.append((None,) * 3)
+                    continue
+                (at, wx), (to, wy) = (known.read(h.values.to_numpy(), c.values.to_numpy()) for h, c in ((x, cx), (y, cy)))
+                out.append(matched(known.v[at], wx, known.v[to], wy))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.float64()) for c in (zip(*out) if out else [()] * 3))], ["row", *SCORES])
+
+    return rows.select("row", *hashes("x"), *hashes("y")).mapInArrow(run, f"row {kind}, precision double, recall double, f1 double")
+
+
 def _joined(rows: DataFrame, table: DataFrame, unknown: float) -> DataFrame:
     rows = stored(rows.withColumn("at", F.monotonically_increasing_id()))
     side = lambda c, k: rows.where("x is not null and y is not null").select("at", F.lit(k).alias("side"), F.explode(c).alias("token")).groupBy("at", "side", "token").agg(F.count("*").alias("n"))

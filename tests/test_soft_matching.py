@@ -53,6 +53,24 @@ def test_pairs_equal_brute_force(spark, limit):
     assert B.pair_scores(pairs.limit(0), vectors, limit=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [B.BROADCAST, 0])
+def test_tokens_that_share_vectors(spark, limit):
+    """Keys and vectors apart give what a vector for each token gives, weighted or not; only the former grows with the vocabulary."""
+    keys = spark.createDataFrame([(f"w{k}", k % 7, 1.0 + k) for k in range(20)] + [("w1", 99, 5.0), ("zz", 99, 1.0), (None, 1, 1.0), ("yy", None, 1.0)], "token string, key long, weight double")
+    vectors = spark.createDataFrame([(k, WORDS[f"w{k}"]) for k in range(7)] + [(None, [1.0] * 5), (50, None)], "key long, vector array<double>")
+    pairs = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate((a, b) for a in TEXTS for b in TEXTS)], "id long, candidate string, reference string")
+    for k in (keys, keys.drop("weight")):
+        whole = B.pair_scores(pairs, k.join(vectors, "key").drop("key"), unknown=2.5)
+        got = B.pair_scores(pairs, vectors, unknown=2.5, limit=limit, keys=k)
+        assert got.columns == whole.columns
+        want = {r.id: tuple(r)[1:] for r in whole.collect()}
+        assert {r.id: tuple(r)[1:] for r in got.collect()} == {i: tuple(pytest.approx(x) if isinstance(x, float) else x for x in w) for i, w in want.items()}
+    assert B.pair_scores(pairs, vectors.limit(0), limit=limit, keys=keys).where("f1 > 0").count() == 0
+    if limit:
+        sent = B._hashes(keys, vectors, 2.5, limit)
+        assert sent.v.shape == (8, 5) and len(sent.h) == 20
+
+
 def test_missing_model_gives_null(spark):
     pairs = spark.createDataFrame([(1, "a", "a")], "id long, candidate string, reference string")
     assert B.pair_scores(pairs, None).first()[3:] == (None, None, None)
