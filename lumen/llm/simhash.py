@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumen.operators.components import components
+from lumen.operators.components import components, forest
 from lumen.plans.durable import join_hot, stored
 
 BLOCK = 1024
@@ -100,26 +100,6 @@ def _steps(radius: int) -> list[int]:
     return sorted(s for s in sums if s > 0)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span what the pairs (a, b) connect: at most one for each end."""
-    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    keep = root != np.arange(len(nodes))
-    return nodes[keep], nodes[root[keep]]
-
-
 def _compare(homes: np.ndarray, guests: np.ndarray, radius: int):
     """Spanning links among the homes of a tile and between homes and guests."""
     for i in range(0, len(homes), BLOCK):
@@ -128,7 +108,7 @@ def _compare(homes: np.ndarray, guests: np.ndarray, radius: int):
             x, y = np.nonzero(np.bitwise_count(own[:, None] ^ other[None, :]) <= radius)
             differ = own[x] != other[y]
             if differ.any():
-                yield _forest(own[x[differ]], other[y[differ]])
+                yield forest(own[x[differ]], other[y[differ]])
 
 
 def links(fps: DataFrame, radius: int = 2, fp: str = "fp") -> DataFrame:

@@ -7,6 +7,7 @@ The edges of a hub are dealt to many tasks when its least neighbour is joined ba
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +65,23 @@ def merged(known: DataFrame, edges: DataFrame) -> DataFrame:
     ends = new.select(F.col("a").alias("node")).union(new.select(F.col("b").alias("node"))).distinct()
     every = known.select("node", "root").unionByName(ends.join(known, "node", "left_anti").select("node", F.col("node").alias("root")))
     return every.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span what the pairs (a, b) connect: at most one for each end."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    keep = root != np.arange(len(nodes))
+    return nodes[keep], nodes[root[keep]]

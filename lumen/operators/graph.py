@@ -41,11 +41,13 @@ def build(similarities: DataFrame, threshold: float, position: str | None = None
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
+    """(src, dst, weight): every edge in either direction, made in one pass over the edges."""
+    way = lambda src, dst: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), "weight")
+    return edges.select(F.inline(F.array(way("a", "b"), way("b", "a"))))
 
 
 def nodes(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    return edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def degree(edges: DataFrame) -> DataFrame:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lumen.functions import vectors as V
+from lumen.operators.components import forest
 from lumen.plans.durable import stored
 
-BLOCK = 1024
+#: Rows of a block, and of a slice of a block's product; the other block is cut into slices of WIDE rows.
+BLOCK, WIDE = 1024, 4096
+#: Beyond so many blocks they get larger instead, up to BYTES of doubles: a row is copied once for each block.
+BLOCKS, BYTES = 24, 32 << 20
+#: Pairs of two blocks leave their task in pieces of so many.
+PIECE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -54,18 +61,25 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 def _tile(x: np.ndarray, y: np.ndarray, least: float, same: bool):
     """(i, j, cosine) of the rows of two blocks of unit vectors that reach `least`, slice by slice; each pair once if they are the same."""
-    for s in range(0, len(x) if len(y) else 0, BLOCK):
-        score = x[s : s + BLOCK] @ y.T
+    for s, e, score in _slices(x, y, same):
         i, j = np.nonzero(score >= least)
         if same:
-            i, j = i[j > i + s], j[j > i + s]
+            i, j = i[j + e > i + s], j[j + e > i + s]
         if len(i):
-            yield i + s, j, score[i, j]
+            yield i + s, j + e, score[i, j]
+
 
+def _slices(x: np.ndarray, y: np.ndarray, same: bool):
+    """(first row of x, first row of y, product) of the slices of two blocks; of one block only those that reach over the diagonal."""
+    for s in range(0, len(x) if len(y) else 0, BLOCK):
+        for e in range(0, len(y), WIDE):
+            if not same or e + WIDE > s:
+                yield s, e, x[s : s + BLOCK] @ y[e : e + WIDE].T
 
-def _rows(df: DataFrame, id: str, vec: str, batch: str | None, *others: str) -> DataFrame:
-    """(id, v, batch, size, row): usable vectors as doubles, their number of places, and a number of the row."""
-    columns = [F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("v"), (F.col(batch) if batch else F.lit(0)).cast("int").alias("batch"), *others]
+
+def _rows(df: DataFrame, id: str, vec: str, batch: str | None, *others: str, kind: str = "array<double>") -> DataFrame:
+    """(id, v, batch, size, row): usable vectors, their number of places, and a number of the row."""
+    columns = [F.col(id).alias("id"), F.col(vec).cast(kind).alias("v"), (F.col(batch) if batch else F.lit(0)).cast("int").alias("batch"), *others]
     return stored(df.select(*columns).where(V.usable(F.col("v"))).withColumns({"size": F.size("v"), "row": F.monotonically_increasing_id()}))
 
 
@@ -73,18 +87,26 @@ def _blocked(df: DataFrame, id: str, vec: str, batch: str | None, meet, schema:
     """meet(table, table, same block) of every pair of blocks, as columns of the schema; the tables have id, v and the other columns.
 
     Rows are dealt by number to blocks of about BLOCK, vectors of different sizes to different ones; each pair of blocks of a
-    batch meets in one task. A block is copied once for each other block of its batch, so the work without batches is
-    quadratic. With `fresh`, a column that is true for new rows, these have blocks of their own and only pairs of blocks with
+    batch meets in one task. A block is copied once for each other block of its batch. From BLOCKS blocks on they get larger
+    instead, so what is shuffled grows with the rows (until a block has BYTES), and only the products are quadratic. With `fresh`, a column that is true for new rows, these have blocks of their own and only pairs of blocks with
     a new one meet: every pair of rows with a new end, and no other.
     """
-    rows = _rows(df, id, vec, batch, *others, *([F.col(fresh).alias("fresh")] if fresh else []))
-    return _met(in_blocks(rows, ["batch", "size"], BLOCK, bool(fresh), broadcast=not batch), meet, schema, *others)
+    kind = "array<float>" if df.schema[vec].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = _rows(df, id, vec, batch, *others, *([F.col(fresh).alias("fresh")] if fresh else []), kind=kind)
+    most = F.greatest(F.lit(BLOCK), F.floor(F.lit(BYTES // 8) / F.first("size")))
+    return _met(in_blocks(rows, ["batch", "size"], BLOCK, bool(fresh), broadcast=not batch, most=most), meet, schema, *others)
 
 
-def in_blocks(rows: DataFrame, group: list[str], size: int, fresh: bool, broadcast: bool = False) -> DataFrame:
-    """rows (row, fresh if asked for, ...) of each group with `block`, about `size` rows, once for each `other` block they meet."""
+def in_blocks(rows: DataFrame, group: list[str], size: int, fresh: bool, broadcast: bool = False, most: Column | None = None) -> DataFrame:
+    """rows (row, fresh if asked for, ...) of each group with `block`, once for each `other` block they meet: blocks of about
+    `size` rows, or BLOCKS larger ones of up to `most` rows, an aggregate."""
     new = F.col("fresh") if fresh else F.lit(True)
-    number = lambda c: F.ceil(F.count_if(c) / size).cast("int")
+
+    def number(c):
+        n = F.count_if(c)
+        small = F.ceil(n / size)
+        return (small if most is None else F.least(small, F.greatest(F.lit(BLOCKS), F.ceil(n / most)))).cast("int")
+
     sizes = rows.groupBy(*group).agg(number(new).alias("new"), number(~new).alias("old"))
     rows = rows.join(F.broadcast(sizes) if broadcast else sizes, group)
     deal = lambda n: F.pmod(F.xxhash64("row"), F.greatest(F.col(n), F.lit(1))).cast("int")
@@ -94,12 +116,15 @@ def in_blocks(rows: DataFrame, group: list[str], size: int, fresh: bool, broadca
 
 
 def _met(rows: DataFrame, meet, schema: str, *others: str) -> DataFrame:
-    """meet() of the blocks that rows (batch, size, block, other, id, v, ...) are sent to, each pair of blocks in a task of its own."""
+    """The tables that meet() yields for the blocks that rows (batch, size, block, other, id, v, ...) are sent to, each pair of
+    blocks in a task of its own."""
     rows = rows.select("batch", "size", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "v", *others)
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         own, same = table["block"].to_numpy() == table["lo"][0].as_py(), table["lo"][0].as_py() == table["hi"][0].as_py()
-        return meet(table.filter(pa.array(own)), table if same else table.filter(pa.array(~own)), same)
+        for part in meet(table.filter(pa.array(own)), table if same else table.filter(pa.array(~own)), same):
+            yield from part.combine_chunks().to_batches(max_chunksize=PIECE)
 
     return rows.groupBy("batch", "size", "lo", "hi").applyInArrow(run, schema)
 
@@ -107,25 +132,52 @@ def _met(rows: DataFrame, meet, schema: str, *others: str) -> DataFrame:
 def _vectors(table: pa.Table) -> np.ndarray:
     if not table.num_rows:  # a block that no row was dealt to
         return np.zeros((0, 1))
-    return _unit(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1))
+    return _unit(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1))
 
 
 def _pairs(least: float, kind: pa.DataType):
     """meet() that gives the pairs (a, b, score) of `least` or more."""
 
-    def meet(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+    def meet(left: pa.Table, right: pa.Table, same: bool):
         x, y = left["id"].to_numpy(), right["id"].to_numpy()
-        parts = list(_tile(_vectors(left), _vectors(right), least, same))
-        i, j, s = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        a, b = x[i], y[j]
-        keep = np.asarray(a != b, bool)
-        a, b, s = a[keep], b[keep], s[keep]
-        turn = np.asarray(a > b, bool)
-        return pa.table({"a": pa.array(np.where(turn, b, a), kind), "b": pa.array(np.where(turn, a, b), kind), "score": pa.array(s)})
+        for i, j, s in _tile(_vectors(left), _vectors(right), least, same):
+            yield _ordered(x[i], y[j], kind, s)
 
     return meet
 
 
+def _ordered(a: np.ndarray, b: np.ndarray, kind: pa.DataType, score: np.ndarray | None = None) -> pa.Table:
+    """(a, b, score if given) of pairs of different ids, the smaller first."""
+    keep = np.asarray(a != b, bool)
+    a, b = a[keep], b[keep]
+    turn = np.asarray(a > b, bool)
+    ends = {"a": pa.array(np.where(turn, b, a), kind), "b": pa.array(np.where(turn, a, b), kind)}
+    return pa.table(ends if score is None else ends | {"score": pa.array(score[keep])})
+
+
+def cosine_links(df: DataFrame, id: str, vec: str, least: float, strict: bool = False) -> DataFrame:
+    """(a, b) with a < b that connect exactly what the pairs of `cosine_pairs` (`strict`: those over `least`) connect; a row need not
+    be such a pair itself.
+
+    A pair of blocks gives a forest, so there are at most as many rows as copies of vectors, not as many as pairs.
+    """
+    kind, df = _arrow(df, id), df.where(F.col(id).isNotNull())
+
+    def meet(left: pa.Table, right: pa.Table, same: bool):
+        ids, first = left["id"].to_numpy(), 0 if same else left.num_rows
+        ids = ids if same else np.concatenate((ids, right["id"].to_numpy()))
+        a = b = np.zeros(0, np.int64)
+        for i, j, s in _tile(_vectors(left), _vectors(right), least, same):
+            i, j = (i[s > least], j[s > least]) if strict else (i, j)
+            a, b = np.concatenate((a, i)), np.concatenate((b, j + first))
+            if len(a) > 4 * len(ids) + PIECE:
+                a, b = forest(a, b)
+        a, b = forest(a, b)
+        yield _ordered(ids[a], ids[b], kind)
+
+    return _blocked(df, id, vec, None, meet, _pair_schema(df, id).rsplit(",", 1)[0])
+
+
 def cosine_pairs(df: DataFrame, id: str, vec: str, least: float, batch: str | None = None, fresh: str | None = None) -> DataFrame:
     """(a, b, score) with a < b for all pairs of rows with a cosine of `least` or more, within batches if given; with `fresh`, a
     column that is true for new rows, only pairs with a new end.
@@ -150,11 +202,11 @@ def _pair_schema(df: DataFrame, id: str) -> str:
 def pair_moments(df: DataFrame, id: str, vec: str, batch: str | None = None) -> DataFrame:
     """One row: number, mean and population deviation of the cosines of all pairs; each pair of blocks gives three sums."""
 
-    def meet(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+    def meet(left: pa.Table, right: pa.Table, same: bool):
         n, total, square = 0, 0.0, 0.0
         for *_, score in _tile(_vectors(left), _vectors(right), -2.0, same):
             n, total, square = n + len(score), total + float(score.sum()), square + float(score @ score)
-        return pa.table({"n": [n], "total": [total], "square": [square]})
+        yield pa.table({"n": [n], "total": [total], "square": [square]})
 
     sums = _blocked(df, id, vec, batch, meet, "n long, total double, square double").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.sum("total").alias("t"), F.sum("square").alias("q"))
     mean = F.try_divide(F.col("t"), F.col("pairs"))
@@ -162,17 +214,16 @@ def pair_moments(df: DataFrame, id: str, vec: str, batch: str | None = None) ->
 
 
 def _judged(least: float):
-    """(wrong, right, score, truth) of all pairs of two blocks in slices: whether score >= least says what equal labels say."""
+    """(first row of either block, score, whether it is `least` or more, equal labels, pairs that count) of two blocks in slices."""
 
     def slices(left: pa.Table, right: pa.Table, same: bool):
         x, y, a, b = _vectors(left), _vectors(right), left["label"].to_numpy(), right["label"].to_numpy()
-        known = left["label"].is_valid().to_numpy()[:, None] & right["label"].is_valid().to_numpy()[None, :]
-        for s in range(0, len(x) if len(y) else 0, BLOCK):
-            score = x[s : s + BLOCK] @ y.T
-            use = known[s : s + BLOCK]
+        left_known, right_known = left["label"].is_valid().to_numpy(), right["label"].is_valid().to_numpy()
+        for s, e, score in _slices(x, y, same):
+            use = left_known[s : s + BLOCK, None] & right_known[None, e : e + WIDE]
             if same:
-                use = use & (np.arange(len(y))[None, :] > (s + np.arange(len(score)))[:, None])
-            yield s, score, score >= least, np.asarray(a[s : s + BLOCK, None] == b[None, :], bool), use
+                use = use & ((e + np.arange(score.shape[1]))[None, :] > (s + np.arange(len(score)))[:, None])
+            yield s, e, score, score >= least, np.asarray(a[s : s + BLOCK, None] == b[None, e : e + WIDE], bool), use
 
     return slices
 
@@ -183,11 +234,11 @@ def judged_counts(df: DataFrame, id: str, vec: str, label: str, least: float) ->
     Each pair of blocks gives four counts. Rows without a label or a usable vector take part in no pair.
     """
 
-    def meet(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+    def meet(left: pa.Table, right: pa.Table, same: bool):
         n = np.zeros(4, np.int64)
-        for _, _, said, true, use in _judged(least)(left, right, same):
+        for _, _, _, said, true, use in _judged(least)(left, right, same):
             n += [(cell & use).sum() for cell in (said & true, ~said & ~true, said & ~true, ~said & true)]
-        return pa.table({c: [x] for c, x in zip(("tp", "tn", "fp", "fn"), n.tolist())})
+        yield pa.table({c: [x] for c, x in zip(("tp", "tn", "fp", "fn"), n.tolist())})
 
     cells = _blocked(df, id, vec, None, meet, "tp long, tn long, fp long, fn long", F.col(label).alias("label"))
     sums = cells.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "tn", "fp", "fn")))
@@ -198,15 +249,14 @@ def wrong_pairs(df: DataFrame, id: str, vec: str, label: str, least: float) -> D
     """(a, b, true_label, similarity_score, error) with a < b, only of the pairs that `judged_counts` has as fp (FP) or fn (FN)."""
     kind = _arrow(df, id)
 
-    def meet(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
-        x, y, parts = left["id"].to_numpy(), right["id"].to_numpy(), []
-        for s, score, said, true, use in _judged(least)(left, right, same):
+    def meet(left: pa.Table, right: pa.Table, same: bool):
+        x, y = left["id"].to_numpy(), right["id"].to_numpy()
+        for s, e, score, said, true, use in _judged(least)(left, right, same):
             i, j = np.nonzero((said != true) & use)
-            a, b = x[i + s], y[j]
+            a, b, true, score = x[i + s], y[j + e], true[i, j], score[i, j]
             turn = np.asarray(a > b, bool)
-            parts.append((np.where(turn, b, a), np.where(turn, a, b), true[i, j], score[i, j]))
-        a, b, true, score = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, x.dtype), np.zeros(0, x.dtype), np.zeros(0, bool), np.zeros(0))
-        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind), "true_label": pa.array(true.astype(np.int32)), "similarity_score": pa.array(score), "error": pa.array(np.where(true, "FN", "FP").tolist(), pa.string())})
+            error = pa.array(["FP", "FN"]).take(pa.array(true.astype(np.int32)))
+            yield pa.table({"a": pa.array(np.where(turn, b, a), kind), "b": pa.array(np.where(turn, a, b), kind), "true_label": pa.array(true.astype(np.int32)), "similarity_score": pa.array(score), "error": error})
 
     pair = _pair_schema(df, id).rsplit(",", 1)[0]
     return _blocked(df.where(F.col(id).isNotNull()), id, vec, None, meet, f"{pair}, true_label int, similarity_score double, error string", F.col(label).alias("label"))
@@ -234,6 +284,11 @@ def face_matches(faces: DataFrame, threshold: float, batch: str | None = None, f
     return pairs.where(F.col("score") > threshold)
 
 
+def face_links(faces: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) that connect what the matches of `face_matches` connect."""
+    return cosine_links(faces, "face_id", "embedding", threshold, strict=True)
+
+
 def image_matches(faces: DataFrame, matches: DataFrame) -> DataFrame:
     """(i, j, face_count) with i < j: matching faces of different images."""
     own = faces.select("face_id", "image_id")

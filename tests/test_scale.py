@@ -160,3 +160,45 @@ def test_seeds_keep_the_spelling_of_the_graph(spark):
     assert found.where("node = 'IMG_1.JPG' and tag = 'cat' and conf = 1").count() == 1
     with pytest.raises(KeyError):
         T.seeds(tags.select(F.lit("gone").alias("node"), "tag"), nodes)
+
+
+def test_larger_blocks_give_the_same_pairs_and_fewer_copies(spark, monkeypatch):
+    """From BLOCKS blocks on blocks grow: a row is copied BLOCKS times, whatever the number of rows; floats stay floats."""
+    rng = np.random.default_rng(5)
+    rows = [(k % 290, rng.normal(size=3).astype(np.float32).tolist()) for k in range(300)]
+    d = spark.createDataFrame(rows, "id long, v array<float>")
+    want = brute_pairs(rows, 0.9)
+    monkeypatch.setattr(S, "BLOCK", 8)
+    monkeypatch.setattr(S, "WIDE", 16)
+    monkeypatch.setattr(S, "PIECE", 50)
+    monkeypatch.setattr(S, "BLOCKS", 3)
+    for most, copies in ((32 << 20, 3), (8 * 3 * 60, 5)):
+        monkeypatch.setattr(S, "BYTES", most)
+        assert Counter((r.a, r.b, round(r.score, 6)) for r in S.cosine_pairs(d, "id", "v", 0.9).collect()) == want
+        kept = S._rows(d, "id", "v", None, kind="array<float>")
+        assert S.in_blocks(kept, ["batch", "size"], 8, False, most=F.greatest(F.lit(8), F.floor(F.lit(most // 8) / F.first("size")))).count() == 300 * copies
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_links_connect_what_pairs_connect(spark, monkeypatch, strict):
+    monkeypatch.setattr(S, "BLOCK", 8)
+    monkeypatch.setattr(S, "BLOCKS", 4)
+    monkeypatch.setattr(S, "PIECE", 10)
+    rng = np.random.default_rng(6)
+    near = lambda k: (np.eye(4)[k] + rng.normal(size=4) / 50).tolist()
+    rows = [(f"i{k:03}", near(k % 3)) for k in range(120)] + [("i000", near(3)), ("x", near(3)), (None, near(0)), ("none", None), ("alone", [-1.0, 0.0, 0.0, 0.0]), ("y", [0.0, 0.0, 3.0, 4.0]), ("z", [0.0, 0.0, 4.0, -3.0])]
+    d = spark.createDataFrame(rows, "id string, v array<double>")
+    for least in (0.9, 0.0):
+        pairs = S.cosine_pairs(d, "id", "v", least)
+        pairs = (pairs.where(pairs.score > least) if strict else pairs).select("a", "b").distinct()
+        links = S.cosine_links(d, "id", "v", least, strict)
+        groups = [{(r.node, r.component) for r in G.components(x).collect()} for x in (links, pairs)]
+        assert groups[0] == groups[1] and groups[0]
+        assert least == 0.0 or links.count() * 3 < pairs.count()
+
+
+def test_both_ways_read_the_edges_once(spark):
+    e = frame(spark, [("a", "b", 1.0), ("b", "c", None)])
+    assert Counter(map(tuple, G.both_ways(e).collect())) == Counter([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", None), ("c", "b", None)])
+    for plan in (G.both_ways(e), G.nodes(e)):
+        assert "Union" not in plan._jdf.queryExecution().optimizedPlan().toString()
