@@ -202,3 +202,45 @@ def test_both_ways_read_the_edges_once(spark):
     assert Counter(map(tuple, G.both_ways(e).collect())) == Counter([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", None), ("c", "b", None)])
     for plan in (G.both_ways(e), G.nodes(e)):
         assert "Union" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hops_with_the_graph_in_tasks_equal_those_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"n{a:03}", f"n{b:03}", 1.0) for a, b in rng.integers(0, 90, (150, 2)).tolist() if a != b]
+    e = frame(spark, rows + rows[:5] + [("far1", "far2", None), ("loop", "loop", 1.0), ("hub", "n000", 1.0)])
+    found = []
+    for most in (G.HELD_EDGES, 0):
+        monkeypatch.setattr(G, "HELD_EDGES", most)
+        found.append({r.node: (r.reached, r.total, round(r.inverse, 9)) for r in G.paths(e).collect()})
+    assert found[0] == found[1] and found[0]["loop"] == (1, 0, 0.0)
+    assert G.paths(e.limit(0)).count() == 0
+    _, packed = G._packed(e.select("a", "b", "weight"))
+    small = {r.idx: (r.reached, r.total) for r in H.held_hops(packed, len(found[0]), 64).collect()}
+    assert sorted(small.values()) == sorted(v[:2] for v in found[0].values())
+
+
+def test_paths_by_passes_equal_paths_by_nodes():
+    """Ties, several components and a path of many steps; weights too small to count are left to the search by nodes."""
+    rng = np.random.default_rng(4)
+    for n, m in ((40, 60), (30, 200), (200, 230)):
+        p = np.unique(np.sort(rng.integers(0, n, (m, 2)), axis=1), axis=0)
+        p = p[p[:, 0] < p[:, 1]]
+        names, ends = np.unique(p.T, return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        g = (names, *G._csr(len(names), np.concatenate((a, b)), np.concatenate((b, a)), np.tile(rng.integers(1, 4, len(a)) / 2, 2)))
+        src = np.repeat(np.arange(len(names)), np.diff(g[1]))
+        for s in range(len(names)):
+            assert G._dependent(g, src, s) == pytest.approx(G._brandes(g, s))
+    tiny = (np.arange(3), *G._csr(3, np.array([0, 1, 1, 2]), np.array([1, 0, 2, 1]), np.array([1.0, 1.0, 1e-300, 1e-300])))
+    assert G._dependent(tiny, np.array([0, 1, 1, 2]), 0) is None
+
+
+def test_spectra_agree_at_every_size(spark, monkeypatch):
+    rows = [("a", "b", 1.0), ("b", "c", 0.5), ("c", "d", 0.0), ("d", "e", None), ("a", "c", 2.0)] + [(f"x{k}", f"x{k + 1}", 1.0) for k in range(4)]
+    e, found = frame(spark, rows), []
+    for local, few in ((5_000_000, 1_000_000), (0, 1_000_000), (0, 0)):
+        monkeypatch.setattr(G, "LOCAL_EDGES", local)
+        monkeypatch.setattr(G, "NODES", few)
+        found.append({(m, r.node): r.score for m, f in (("p", G.pagerank(e, rounds=9, tol=0.0)), ("e", G.eigenvector(e, 9, 0.0))) for r in f.collect()})
+        assert G.eigenvector(e.limit(0)).count() == 0
+    assert found[0] == pytest.approx(found[1]) and found[0] == pytest.approx(found[2])
