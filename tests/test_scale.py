@@ -11,6 +11,8 @@ from lumen.operators import hops as H
 from lumen.operators import pruned as P
 from lumen.operators import similarity as S
 from lumen.operators import tags as T
+from lumen.plans import durable as D
+from lumen.sources import sinks
 
 
 def frame(spark, rows):
@@ -244,3 +246,27 @@ def test_spectra_agree_at_every_size(spark, monkeypatch):
         found.append({(m, r.node): r.score for m, f in (("p", G.pagerank(e, rounds=9, tol=0.0)), ("e", G.eigenvector(e, 9, 0.0))) for r in f.collect()})
         assert G.eigenvector(e.limit(0)).count() == 0
     assert found[0] == pytest.approx(found[1]) and found[0] == pytest.approx(found[2])
+
+
+def test_what_is_stored_is_not_written_again(spark):
+    once = D.stored(spark.range(3))
+    assert D.stored(once) is once and D.stored(once.where("id > 0")) is not once
+
+
+def test_neighbours_by_broadcast_and_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(f"n{a:02}", f"n{b:02}", float(w)) for a, b, w in zip(rng.integers(0, 40, 200), rng.integers(40, 80, 200), rng.random(200).round(2))]
+    e, found = frame(spark, rows), []
+    for most in (G.WEAK, 0):
+        monkeypatch.setattr(G, "WEAK", most)
+        found.append(Counter(map(tuple, G.neighbours(e, 0.7).collect())))
+        assert G.neighbours(e.limit(0)).count() == 0
+    assert found[0] == found[1] and found[0]
+
+
+def test_compacted_tables_have_files_by_their_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_ROWS", 30)
+    sinks.compact(spark.range(100).repartition(10), str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").glob("*.parquet"))) == 4 and spark.read.parquet(str(tmp_path / "t")).count() == 100
+    sinks.compact(spark.range(0), str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
