@@ -334,7 +334,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     rows += [r.reshape(-1, 4) for r in sampled(any_rows(docs, sample), features, sample)[0]]
     rows = [rows[k] for k in unlike(rows)]
     target = model.posterior(votes_of(np.array([vote(r, of) for r in rows], np.int64)))[0]
-    rows = [summed_up(r, of) for r in rows]
+    for k, r in enumerate(rows):  # one by one, or the driver holds all indices twice
+        rows[k] = summed_up(r, of)
     on, all_ = frequencies(rows, target), frequencies(rows, np.ones(len(rows)))
     m = float(np.clip(target.mean(), 1e-6, 1 - 1e-6))
     keep = np.flatnonzero((all_ > 2) & (np.maximum(excess(on, all_, m), excess(all_ - on, all_, 1 - m)) > RARE / 3))
