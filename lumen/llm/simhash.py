@@ -6,7 +6,8 @@ differ by at most that much in the sum of the differences of their counts, so al
 loss: the comparison stays exact. One of two near tiles visits the other, so every pair of near tiles meets once.
 Within a block of pairs only a forest that spans its links is kept, never all pairs of a group.
 
-Tiles by counts suit radii up to three. `similar_texts` links texts by the similarity of their sets of five-word shingles
+In the pipeline (`without_near_duplicates`) two texts are linked if their fingerprints are, as above, or if they are similar.
+Tiles by counts suit radii up to three, and fingerprints miss copies with more changes. `similar_texts` links texts by the similarity of their sets of five-word shingles
 instead. It deals texts to tiles by their least shingle under each of six hash functions (a pair that similar shares at
 least one with a probability of 1 - 0.2 ** 6). Within a tile a sketch of 128 bins only sorts out: what falls short of the
 similarity by five standard errors or less stays a candidate, and so does every pair of short texts whose sets are of
@@ -214,17 +215,19 @@ def signature(text: str | None) -> tuple[int, int, list[int], bytes, np.ndarray]
     return (node, len(hashes), *sketch(hashes), hashes)
 
 
-def signatures(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, node, size, keys, sketch) for every row (row, doc_id, text); texts of one shingle set are one node."""
+def signatures(rows: DataFrame, with_fp: bool = False) -> DataFrame:
+    """(row, doc_id, node, size, keys, sketch, fp) for every row (row, doc_id, text); texts of one shingle set are one node; fp is
+    null if it is not asked for."""
 
     def run(batches):
         for b in batches:
-            got = [signature(t.as_py())[:4] for t in b.column(2)]
-            nodes, sizes, keys, sketches = zip(*got) if got else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["row", "doc_id", "node", "size", "keys", "sketch"])
+            texts = [t.as_py() for t in b.column(2)]
+            nodes, sizes, keys, sketches = zip(*got) if (got := [signature(t)[:4] for t in texts]) else ((), (), (), ())
+            fps = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)) if with_fp else pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), fps], ["row", "doc_id", "node", "size", "keys", "sketch", "fp"])
 
     rows = rows.select("row", "doc_id", "text")
-    return rows.mapInArrow(run, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, size long, keys array<long>, sketch binary")
+    return rows.mapInArrow(run, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, size long, keys array<long>, sketch binary, fp long")
 
 
 def shingle_sets(rows: DataFrame, places: np.ndarray) -> DataFrame:
@@ -331,9 +334,17 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return stored(docs.select(F.monotonically_increasing_id().alias("row"), docs[doc_id].alias("doc_id"), docs[text].alias("text"), doc))
 
 
-def _similar(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, node) of every row (row, doc_id, text), and (node, root) of the nodes that have links."""
-    found = stored(signatures(rows))
+def _by_fingerprint(found: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links of nodes that connect what the fingerprints of their texts (node, fp) connect, one at most for a node and fp."""
+    own = stored(found.select(F.col("node").alias("doc_id"), "fp").distinct())
+    roots = components(links(own.select("fp").distinct(), radius)).select(F.col("node").alias("fp"), "root")
+    return _least(own, roots, "fp", own.count()).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a <> b")
+
+
+def _similar(rows: DataFrame, similarity: float, radius: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, node) of every row (row, doc_id, text), and (node, root) of the nodes that have links; with `radius`, links
+    of fingerprints count too."""
+    found = stored(signatures(rows, radius is not None))
     least = stored(found.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
     dealt = least.select("node", "size", "sketch", F.explode(F.array_distinct("keys")).alias("tile"))
     dealt = _split(dealt, dealt.groupBy("tile").agg(F.count("*").alias("n")), "node")
@@ -362,8 +373,8 @@ def _similar(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     sets = shingle_sets(rows, wanted.toArrow()["at"].to_numpy()).groupBy("node").agg(F.first("hashes").alias("hashes"))
     tiles = groups.select("node", F.col("group").alias("tile"))
     tiles = _split(tiles, tiles.groupBy("tile").agg(F.count("*").alias("n")), "node", SETS)
-    roots = components(_by_key(tiles.join(sets, "node").select("node", "hashes", "tile"), "tile", "a long, b long", judge))
-    return found.select("row", "doc_id", "node"), roots
+    tied = _by_key(tiles.join(sets, "node").select("node", "hashes", "tile"), "tile", "a long, b long", judge)
+    return found.select("row", "doc_id", "node"), components(tied if radius is None else tied.unionByName(_by_fingerprint(found, radius)))
 
 
 def similar_texts(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -373,14 +384,15 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, text: str = "text",
     return _least(rows, roots, "node", rows.count()).select("doc_id", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows and columns of docs, one row of each group of similar texts: that with the smallest id (rows without an id
-    after all others), and of equal ids the first.
+def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", radius: int = 2) -> DataFrame:
+    """The rows and columns of docs, one row of each group of near copies: that with the smallest id (rows without an id
+    after all others), and of equal ids the first. Texts are linked if their fingerprints differ by `radius` bits or fewer, as
+    in `near_duplicates`, or if they are similar, as in `similar_texts`.
 
     Rows are judged, not ids: unlike texts of one id all stay, and of equal rows, or rows without an id, one stays.
     """
     keyed = _keyed(docs, text, doc_id)
-    rows, roots = _similar(keyed, similarity)
+    rows, roots = _similar(keyed, similarity, radius)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     own = rows.groupBy("node").agg(F.min(first).alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = own.groupBy("root").agg(F.min("first")["row"].alias("row"))
