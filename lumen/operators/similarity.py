@@ -296,6 +296,26 @@ def image_matches(faces: DataFrame, matches: DataFrame) -> DataFrame:
     return named.where("ia <> ib").groupBy(F.least("ia", "ib").alias("i"), F.greatest("ia", "ib").alias("j")).agg(F.count("*").alias("face_count"))
 
 
+def image_counts(faces: DataFrame, threshold: float) -> DataFrame:
+    """(i, j, face_count) with i < j, as `image_matches` has of `face_matches`, for faces whose face_id is unique.
+
+    Blocks carry the images and count their pairs themselves, so no match is shuffled, only counts of pairs of images.
+    """
+    kind = _arrow(faces, "image_id")
+
+    def meet(left: pa.Table, right: pa.Table, same: bool):
+        x, y, p, q = left["id"].to_numpy(), right["id"].to_numpy(), left["image"].to_numpy(), right["image"].to_numpy()
+        for i, j, s in _tile(_vectors(left), _vectors(right), threshold, same):
+            keep = np.asarray((s > threshold) & (x[i] != y[j]), bool)
+            pairs = _ordered(p[i[keep]], q[j[keep]], kind).group_by(["a", "b"]).aggregate([([], "count_all")])
+            yield pairs.rename_columns(["i", "j", "face_count"])
+
+    usable = faces.where("face_id is not null and image_id is not null").withColumnRenamed("image_id", "image")
+    image = faces.schema["image_id"].dataType.simpleString()
+    cells = _blocked(usable, "face_id", "embedding", None, meet, f"i {image}, j {image}, face_count long", F.col("image"))
+    return cells.groupBy("i", "j").agg(F.sum("face_count").alias("face_count"))
+
+
 def bonus(count, s: Settings = Settings()):
     return F.least(F.lit(s.base_bonus) * count, F.lit(s.max_bonus))
 
