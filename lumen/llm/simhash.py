@@ -232,9 +232,9 @@ def signatures(rows: DataFrame, with_fp: bool = False) -> DataFrame:
 
 def shingle_sets(rows: DataFrame, places: np.ndarray) -> DataFrame:
     """(node, sorted set as bytes) of the rows (row, text) that hash to one of the places (below PLACES), and of no others."""
-    marked = np.zeros(PLACES, bool)
-    marked[places] = True
-    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(marked))
+    marked = np.zeros(PLACES // 8, np.uint8)
+    np.bitwise_or.at(marked, places >> 3, (128 >> (places & 7)).astype(np.uint8))
+    sent = rows.sparkSession.sparkContext.broadcast(marked)
 
     def run(batches):
         marked = np.unpackbits(sent.value).view(bool)

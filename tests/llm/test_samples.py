@@ -27,3 +27,12 @@ def test_samples_come_in_pieces(spark, monkeypatch):
         monkeypatch.setattr(DataFrame, "toArrow", counted)
         assert [x.tolist() for x in pieces] == [x.tolist() for x in whole] and y.tolist() == z.tolist()
         assert len(sent) > 2 and max(sent) <= 24 + 6 * 4  # rows of one hash stay together
+
+
+def test_sample_is_one_block(spark):
+    """All rows of a sample lie in one array, which the driver can give back at once; an empty row and pieces included."""
+    texts = ["a b c", "", "d", "e f g h", "i j"]
+    rows = spark.createDataFrame([(k, t, k % 2) for k, t in enumerate(texts)], "doc_id long, text string, y int")
+    held, y = shared.sampled(rows, lambda t: np.frombuffer("".join(t.split()).encode(), np.uint8), 10)
+    assert sorted(bytes(x.astype(np.uint8)) for x in held) == sorted("".join(t.split()).encode() for t in texts)
+    assert len(y) == len(texts) and len({id(x.base) for x in held}) == 1
