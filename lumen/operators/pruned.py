@@ -6,6 +6,9 @@ block's vectors lie together and no pivot makes a large block. A block knows the
 blocks whose ranges lie further apart at any pivot than the threshold allows have no pair and never meet. All other
 blocks meet as in `similarity`, so the pairs are those of the plain join, whatever the pivots are.
 
+Each pair of blocks that meets is a group of its own, so more than MOST blocks would only cost: from there on blocks get
+larger instead, and the number of groups does not grow with the rows.
+
 Pivots come from a sample of SAMPLE vectors of each common size (a documented bound: they decide about speed only). Ranges
 of blocks are compared in tiles of TILE blocks, dealt over the tasks; nothing but the sample passes through the driver.
 """
@@ -24,6 +27,8 @@ from lumen.plans.durable import stored
 
 #: Vectors from which pivots are chosen; sizes of vectors beyond the commonest few have no pivots and are not pruned.
 SAMPLE, SIZES, PIVOTS, TILE = 1024, 4, 32, 2048
+#: Blocks of the vectors of one size in a batch, if these are more than MOST blocks of the size asked for.
+MOST = 256
 #: What the arithmetic of angles may be off, in radians.
 SLACK = 1e-6
 
@@ -65,8 +70,8 @@ def placed(rows: DataFrame, pivots: dict[int, np.ndarray], block: int) -> DataFr
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.select("id", "v", "batch", "size", "row").mapInArrow(run, f"id {kind}, v array<double>, batch int, size int, row long, near int, far double, angles binary")
     numbered = stored(S.row_index(found, "batch", "size", "near", "far", "row"))
-    first = numbered.groupBy("batch", "size").agg(F.min("idx").alias("first"))
-    return numbered.join(first, ["batch", "size"]).withColumn("block", F.floor((F.col("idx") - F.col("first")) / block).cast("int")).drop("idx", "first", "near", "far", "row")
+    first = numbered.groupBy("batch", "size").agg(F.min("idx").alias("first"), F.greatest(F.lit(block), F.ceil(F.count("*") / MOST)).alias("each"))
+    return numbered.join(first, ["batch", "size"]).withColumn("block", F.floor((F.col("idx") - F.col("first")) / F.col("each")).cast("int")).drop("idx", "first", "each", "near", "far", "row")
 
 
 def ranges(rows: DataFrame) -> DataFrame:

@@ -270,3 +270,12 @@ def test_compacted_tables_have_files_by_their_rows(spark, tmp_path, monkeypatch)
     assert len(list((tmp_path / "t").glob("*.parquet"))) == 4 and spark.read.parquet(str(tmp_path / "t")).count() == 100
     sinks.compact(spark.range(0), str(tmp_path / "none"))
     assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
+def test_many_blocks_get_larger_instead(spark, monkeypatch):
+    monkeypatch.setattr(P, "MOST", 5)
+    rng = np.random.default_rng(2)
+    d = spark.createDataFrame([(k, rng.normal(size=3).tolist()) for k in range(103)], "id long, v array<float>")
+    assert P.pruning(d, "id", "v", 0.9, block=4).first().blocks == 5
+    pairs = lambda m: {(r.a, r.b) for r in m.cosine_pairs(d, "id", "v", 0.9, **({"block": 4} if m is P else {})).collect()}
+    assert pairs(P) == pairs(S) and pairs(S)
