@@ -279,3 +279,12 @@ def test_many_blocks_get_larger_instead(spark, monkeypatch):
     assert P.pruning(d, "id", "v", 0.9, block=4).first().blocks == 5
     pairs = lambda m: {(r.a, r.b) for r in m.cosine_pairs(d, "id", "v", 0.9, **({"block": 4} if m is P else {})).collect()}
     assert pairs(P) == pairs(S) and pairs(S)
+
+
+def test_copies_of_the_graph_are_not_shuffled(spark):
+    """Each block of sources reads the lists of neighbours in a task of its own; an exchange before it would copy them for each block."""
+    e = spark.createDataFrame([(int(a), int(b)) for a, b in {tuple(sorted(p)) for p in np.random.default_rng(5).integers(0, 60, (150, 2)).tolist()} if a != b], "a long, b long")
+    names, packed = G._packed(e, keep=False)
+    found = H.held_hops(packed, len(names), 64)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.count("Exchange") == 1 and "FlatMapGroupsInArrow" not in plan
