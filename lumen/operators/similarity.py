@@ -334,6 +334,18 @@ def image_counts(faces: DataFrame, threshold: float) -> DataFrame:
     return cells.groupBy("i", "j").agg(F.sum("face_count").alias("face_count"))
 
 
+def any_match(faces: DataFrame, threshold: float) -> bool:
+    """Whether `image_counts` has a row; each pair of blocks says so in one."""
+
+    def meet(left: pa.Table, right: pa.Table, same: bool):
+        x, y, p, q = left["id"].to_numpy(), right["id"].to_numpy(), left["image"].to_numpy(), right["image"].to_numpy()
+        found = (((s > threshold) & (x[i] != y[j]) & (p[i] != q[j])).any() for i, j, s in _tile(_vectors(left), _vectors(right), threshold, same))
+        yield pa.table({"hit": [any(found)]})
+
+    usable = faces.where("face_id is not null and image_id is not null").withColumnRenamed("image_id", "image")
+    return not _blocked(usable, "face_id", "embedding", None, meet, "hit boolean", F.col("image")).where("hit").isEmpty()
+
+
 def bonus(count, s: Settings = Settings()):
     return F.least(F.lit(s.base_bonus) * count, F.lit(s.max_bonus))
 
@@ -354,6 +366,81 @@ def fuse_after_threshold(text: DataFrame, faces: DataFrame, s: Settings = Settin
     return fuse(text.where(F.col("score") >= s.text_threshold), faces, s)
 
 
+def _albums(images: DataFrame, faces: DataFrame) -> DataFrame:
+    """Images (image_id, embedding) with `faces`, the usable vectors of their faces (face_id, image_id, embedding) in a list."""
+    own = faces.where("face_id is not null").where(V.usable(F.col("embedding")))
+    lists = own.groupBy(F.col("image_id")).agg(F.collect_list(F.struct(F.col("face_id").alias("id"), F.col("embedding").alias("v"))).alias("faces"))
+    return images.where("image_id is not null").join(lists, "image_id", "left")
+
+
+def _faces(table: pa.Table) -> dict[int, tuple]:
+    """(ids, places of their images in the block, unit vectors) of the faces of a block's images, by the size of their vectors."""
+    lists = table["faces"].combine_chunks()
+    flat, at = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+    ids, v = flat.field("id").to_numpy(zero_copy_only=False), flat.field("v")
+    sizes, out = v.value_lengths().to_numpy(), {}
+    for size in np.unique(sizes).tolist():
+        k = np.flatnonzero(sizes == size)
+        x = v.take(pa.array(k)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(k), size)
+        out[size] = ids[k], at[k], _unit(x)
+    return out
+
+
+def _face_cells(left: pa.Table, right: pa.Table, same: bool, threshold: float, verify: bool):
+    """(keys, counts): the pairs of images of two blocks that share faces, as row * rows of the other block + other row, in order.
+
+    Of one block a pair is counted under the key of its smaller row."""
+    own, other, width = _faces(left), _faces(right), right.num_rows
+    cells = [np.zeros(0, np.int64)]
+    for size in own.keys() & other.keys():
+        (a, p, x), (b, q, y) = own[size], other[size]
+        for i, j, s in _tile(x, y, threshold, same):
+            keep = np.asarray((s > threshold) & (a[i] != b[j]), bool)
+            u, w = p[i[keep]], q[j[keep]]
+            cells.append(np.minimum(u, w) * width + np.maximum(u, w) if same else u * width + w)
+    keys, counts = np.unique(np.concatenate(cells), return_counts=True)
+    return keys, np.minimum(counts, 1) if verify else counts
+
+
+def fused_pairs(images: DataFrame, faces: DataFrame, s: Settings = Settings(), shift: tuple[float, float] | None = None, verify: bool = False) -> DataFrame:
+    """What `fuse` gives of all pairs of images by their vectors and of `image_counts` (`verify`: of `verified`), for images
+    (image_id, embedding) whose ids are unique.
+
+    The faces of an image travel with its vector, and two blocks fuse their pairs themselves: neither scores nor counts are
+    shuffled or joined. `shift` (mean, deviation) makes scores of the cosines.
+    """
+    kind, least = _arrow(images, "image_id"), s.text_threshold - s.max_bonus
+    mean, unit = shift or (0.0, 1.0)
+
+    def meet(left: pa.Table, right: pa.Table, same: bool):
+        x, y, width = left["id"].to_numpy(), right["id"].to_numpy(), right.num_rows
+        keys, counts = _face_cells(left, right, same, s.face_threshold, verify)
+        for i, j, score in _tile(_vectors(left), _vectors(right), mean + least * unit - 1e-9, same):
+            score = (score - mean) / unit if shift else score
+            cell = i * width + j
+            at = np.minimum(np.searchsorted(keys, cell), max(len(keys) - 1, 0))
+            n = np.where(keys[at] == cell, counts[at], 0) if len(keys) else np.zeros(len(cell), np.int64)
+            extra = np.minimum(s.base_bonus * n, s.max_bonus)
+            total = np.minimum(score + extra, 1.0)
+            keep = np.asarray((score >= least) & (total >= s.text_threshold) & (x[i] != y[j]), bool)
+            found = _ordered(x[i[keep]], y[j[keep]], kind, total[keep])
+            yield found.rename_columns(["i", "j", "similarity_score"]).append_column("face_bonus", pa.array(extra[keep])).append_column("face_count", pa.array(n[keep].astype(np.int32)))
+
+    id = images.schema["image_id"].dataType.simpleString()
+    return _blocked(_albums(images, faces), "image_id", "embedding", None, meet, f"i {id}, j {id}, similarity_score double, face_bonus double, face_count int", F.col("faces"))
+
+
+def fused_z(images: DataFrame, faces: DataFrame, s: Settings) -> DataFrame:
+    """What `fuse_z` gives of `z_pairs` and `image_counts`, see `fused_pairs`; the clamp to 1 holds only if faces match at all."""
+    mean, std, n = pair_moments(images, "image_id", "embedding").first()
+    if not n:
+        return fused_pairs(images.limit(0), faces, s)
+    if not any_match(faces, s.face_threshold):
+        z = z_pairs(images, "image_id", "embedding", s.text_threshold)
+        return fuse_z(z.select(F.col("a").alias("i"), F.col("b").alias("j"), "score"), z.limit(0), s)
+    return fused_pairs(images, faces, s, (mean, std + 1e-6))
+
+
 def verified(matches: DataFrame) -> DataFrame:
     """At most one match for each image pair, as a verifier of whole images counts."""
     return matches.withColumn("face_count", F.least("face_count", F.lit(1)))
